@@ -34,18 +34,17 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("bigint")
 
 
+def _below_top(values: Column) -> Column:
+    # Zipped, not captured: a captured expression would be computed again for each item.
+    return F.zip_with(values, F.array_repeat(F.array_max(values), F.size(values)), lambda x, top: x - top)
+
+
 def softmax(values: Column) -> Column:
     """Softmax shifted by the maximum, so large scores do not overflow."""
-    top = F.array_max(values)
-    powers = F.transform(values, lambda x: F.exp(x - top))
+    powers = F.transform(_below_top(values), F.exp)
     total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    return F.zip_with(powers, F.array_repeat(total, F.size(values)), lambda x, t: x / t)
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-
-
-def slice_dims(vec: Column, start: int, width: int) -> Column:
-    return F.slice(vec, start + 1, width)
+    return F.array_max(values) + F.log(F.aggregate(_below_top(values), F.lit(0.0), lambda a, x: a + F.exp(x)))

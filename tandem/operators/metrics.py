@@ -134,28 +134,36 @@ def entity_spans(tags: Column) -> Column:
     """Spans of an array of B-x / I-x / O names as `array<struct<type,first,last>>`.
 
     A span starts at B-x, and at I-x after O or after another type; it ends
-    where the next tag does not continue it. Starts and ends pair up in order,
-    so a sentence is solved inside its row, in one pass each.
+    where the next tag does not continue it. Each tag is zipped with its
+    neighbours, starts and ends are picked out in one pass each and pair up in
+    order: linear in the sentence, and nothing leaves the row.
     """
     n = F.size(tags)
-    at = F.sequence(F.lit(0), n - 1)
-    kind = F.transform(tags, lambda t: F.when(t == "O", F.lit(None)).otherwise(F.substring(t, 3, 1 << 20)))
-    continues = F.transform(
-        F.when(n > 0, at).otherwise(F.array().cast("array<int>")),
-        lambda i: F.coalesce(
-            F.startswith(F.get(tags, i), F.lit("I-")) & (F.get(kind, i) == F.get(kind, i - 1)), F.lit(False)
-        ),
-    )
-    inside = F.when(n > 0, at).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(inside, lambda i: F.get(kind, i).isNotNull() & ~F.get(continues, i))
-    ends = F.filter(
-        inside, lambda i: F.get(kind, i).isNotNull() & ~F.coalesce(F.get(continues, i + 1), F.lit(False))
+    last = F.greatest(n - 1, F.lit(0))
+    near = F.arrays_zip(
+        tags.alias("tag"),
+        F.concat(F.array(F.lit(None).cast("string")), F.slice(tags, F.lit(1), last)).alias("before"),
+        F.slice(tags, F.lit(2), last).alias("after"),
+        F.sequence(F.lit(0), last).alias("at"),
     )
+    starts = F.filter(near, lambda x: (x["tag"] != "O") & ~_continues(x["before"], x["tag"]))
+    ends = F.filter(near, lambda x: (x["tag"] != "O") & ~_continues(x["tag"], x["after"]))
     return F.zip_with(
-        starts, ends, lambda a, b: F.struct(F.get(kind, a).alias("type"), a.alias("first"), b.alias("last"))
+        starts,
+        ends,
+        lambda a, b: F.struct(_kind(a["tag"]).alias("type"), a["at"].alias("first"), b["at"].alias("last")),
     )
 
 
+def _kind(tag: Column) -> Column:
+    return F.substring(tag, 3, 1 << 20)
+
+
+def _continues(tag: Column, following: Column) -> Column:
+    """Whether `following` goes on with the span of `tag`."""
+    return F.coalesce(F.startswith(following, F.lit("I-")) & (tag != "O") & (_kind(tag) == _kind(following)), F.lit(False))
+
+
 def entity_counts(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags") -> DataFrame:
     """One row: exact span matches and spans on each side.
 

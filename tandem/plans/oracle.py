@@ -112,7 +112,7 @@ ENCODERS = f"""encoders AS (SELECT vec_id AS sent_id, label::BIGINT AS label, {e
 PROJ_AB = f"{ENCODERS}, proj AS (SELECT sent_id, label, {linear('a', 32, 32, 0, 0)} AS p1, {linear('b2', 32, 32, 5, 1)} AS p2 FROM encoders)"
 PROJ_AC = f"{ENCODERS}, proj AS (SELECT sent_id, label, {linear('a', 32, 32, 0, 0)} AS p1, {linear('c', 32, 16, 5, 1)} AS p2 FROM encoders)"
 LOGITS = f"{ENCODERS}, logits AS (SELECT sent_id, label, {linear('a', 10, 32, 3, 3)} AS z FROM encoders)"
-FIRST_MAX = "list_position({z}, list_max({z})) - 1"
+FIRST_MAX = "(list_position({z}, list_max({z})) - 1)::BIGINT"
 LSE = "list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z)))))"
 BATCHES = "batches AS (SELECT sent_id, (row_number() OVER (ORDER BY sent_id) - 1) // {n} AS batch_id FROM {source})"
 
@@ -222,8 +222,8 @@ SQL: dict[str, str] = {
         UNION ALL SELECT event_id, (event_id % 100)::DOUBLE, 'arousal' FROM events""",
     "prj_sep_join": f"WITH {LEFT_PAIRS} SELECT sent_id, CASE WHEN text_pair IS NULL THEN text ELSE text || ' SEP ' || text_pair END AS text FROM pairs",
     "prj_zip_pairs": f"""WITH {PAIRS}, cut AS (SELECT sent_id, string_split(text, chr(10)) AS x, string_split(text_pair, chr(10)) AS y FROM pairs),
-        at AS (SELECT *, unnest(range(0, least(len(x), len(y)))) AS pos FROM cut)
-        SELECT sent_id, pos, x[pos + 1] AS text, y[pos + 1] AS text_pair FROM at""",
+        grid AS (SELECT *, unnest(range(0, least(len(x), len(y)))) AS pos FROM cut)
+        SELECT sent_id, pos, x[pos + 1] AS text, y[pos + 1] AS text_pair FROM grid""",
     "set_label_union": "SELECT 'document' AS label_raw, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark",
     # splits and order
     "split_first_n_per_label": f"WITH {dev_rows(30)} SELECT sent_id, label_raw FROM dev",
@@ -289,8 +289,8 @@ SQL: dict[str, str] = {
     # combining
     "cmb_align": f"""WITH {ENCODERS} SELECT x.sent_id, x.label, {r6('x.a[1]')} AS first_1, {r6('y.b2[1]')} AS first_2, {r6('z.c[1]')} AS first_3
         FROM encoders x JOIN encoders y USING (sent_id) JOIN encoders z USING (sent_id)""",
-    "cmb_project": f"""WITH {PROJ_AC}, both AS (SELECT 1 AS encoder, sent_id, p1 AS vec FROM proj UNION ALL SELECT 2, sent_id, p2 FROM proj)
-        {items('both', 'vec', 'encoder, sent_id')}""",
+    "cmb_project": f"""WITH {PROJ_AC}, two AS (SELECT 1 AS encoder, sent_id, p1 AS vec FROM proj UNION ALL SELECT 2, sent_id, p2 FROM proj)
+        {items('two', 'vec', 'encoder, sent_id')}""",
     "cmb_layer_norm": f"""WITH {ENCODERS}, n AS (SELECT sent_id, {norm('a', 32)} AS u FROM encoders),
         s AS (SELECT sent_id, list_transform(range(32), lambda k: u[k + 1] * ((k * 7) % 11 - 5) / 10.0::DOUBLE + ((k * 5) % 7 - 3) / 10.0::DOUBLE) AS vec FROM n)
         {items('s', 'vec', 'sent_id')}""",
@@ -343,7 +343,7 @@ SQL: dict[str, str] = {
     "met_entity_f1": f"WITH {SPANS} SELECT {r6(ENTITY_F1)} AS value",
     "met_val_loss": f"WITH {BATCH_LOSS} SELECT {r6('avg(loss)')} AS value FROM losses",
     "eval_corpus": f"""WITH {EVENT_PAIRS}, {MATTHEWS}, {VALUE_PAIRS}, {RANKS}, {SPANS}
-        SELECT 'classification' AS task, 0 AS rank, 'matthews_corr' AS metric, {r6(MATTHEWS_VALUE)} AS value FROM m
+        SELECT 'classification' AS task, 0::BIGINT AS rank, 'matthews_corr' AS metric, {r6(MATTHEWS_VALUE)} AS value FROM m
         UNION ALL SELECT 'classification', 1, 'accuracy', {r6('avg((gold = pred)::INT)')} FROM ep
         UNION ALL SELECT 'classification', 2, 'f1_score', {r6('avg((gold = pred)::INT)')} FROM ep
         UNION ALL SELECT 'regression', 0, 'spearmanr', {r6('corr(x, y)')} FROM ranks

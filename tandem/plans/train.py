@@ -339,7 +339,7 @@ def fit(
             val_loss = score = None
             if dev is not None:
                 loss, weight, _ = summed_gradient(dev, spec, p, with_grad=False)
-                val_loss = loss / weight if weight else None
+                val_loss = float(loss / weight) if weight else None
                 if metrics:
                     score = _main_score(dev, spec, p, task, metrics)
                     if score is not None and score > best_score:

@@ -53,6 +53,7 @@ def compare(spark, con, sf, name):
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return bool(rows), f"rows only: {len(rows)}", seconds
+    print(f"     {name}: Spark {seconds:.2f}s, now SQL", file=sys.stderr, flush=True)
     result = con.sql(sql)
     kinds = {c: str(t) for c, t in zip(result.columns, result.types)}
     want, want_columns = canonical(result.fetchall(), result.columns)
@@ -72,7 +73,7 @@ def compare(spark, con, sf, name):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
-    spark = build_session("check", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("check", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf), 0
     for name in names:
