@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import MAX_BROADCAST_ROWS, small
+from ..session import MAX_BROADCAST_ROWS, materialize, small
 from .order import range_buckets, with_prefix_sum
 
 HOT_SHARE = 1e-4
@@ -70,12 +70,17 @@ def pearson(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return df.agg(pearson_of(F.col(gold).cast("double"), F.col(pred).cast("double")).alias("value"))
 
 
+def _with_ranks(distinct: DataFrame, value: str) -> DataFrame:
+    """Add `rank` to a table of distinct values with their row counts `n`."""
+    bucket = ["_cell", "_sub"]
+    ranked = with_prefix_sum(range_buckets(distinct, value), bucket, [value], F.col("n"), "_less", MAX_BROADCAST_ROWS)
+    return ranked.withColumn("rank", F.col("_less") + (F.col("n") + 1) / 2).drop("_less", *bucket)
+
+
 def average_ranks(counted: DataFrame, value: str, n: str = "n") -> DataFrame:
     """Rank of each distinct value (ties get their mean rank): `value, c, rank`."""
-    distinct = counted.groupBy(value).agg(F.sum(n).alias("c"))
-    bucket = ["_cell", "_sub"]
-    ranked = with_prefix_sum(range_buckets(distinct, value), bucket, [value], F.col("c"), "_less", MAX_BROADCAST_ROWS)
-    return ranked.select(value, "c", (F.col("_less") + (F.col("c") + 1) / 2).alias("rank"))
+    distinct = counted.groupBy(value).agg(F.sum(n).alias("n"))
+    return _with_ranks(distinct, value).withColumnRenamed("n", "c")
 
 
 def attach_by_value(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -96,22 +101,24 @@ def attach_by_value(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def spearman(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Pearson correlation of average ranks.
 
-    Rows collapse to distinct (gold, pred) pairs with counts first; the ranks of
-    both sides come from their distinct values; moments are weighted by the counts.
+    Rows collapse to distinct (gold, pred) pairs with counts, which are stored
+    once. Ranks of predictions are joined to the pairs; ranks of gold values are
+    not joined at all, because the pairs are summed up per gold value first.
     """
-    pairs = (
-        df.select(F.col(gold).cast("double").alias("g"), F.col(pred).cast("double").alias("p"))
-        .dropna()
-        .groupBy("g", "p")
-        .agg(F.count(F.lit(1)).alias("n"))
+    g, p = F.col(gold).cast("double").alias("g"), F.col(pred).cast("double").alias("p")
+    pairs = materialize(
+        df.select(g, p).dropna().groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")), "rank-pairs"
     )
-    g_ranks = average_ranks(pairs, "g").withColumnRenamed("rank", "x")
-    p_ranks = average_ranks(pairs, "p").withColumnRenamed("rank", "y")
-    joined = attach_by_value(attach_by_value(pairs, g_ranks, "g").drop("c"), p_ranks, "p")
+    p_ranks = materialize(average_ranks(pairs, "p"), "ranks").withColumnRenamed("rank", "y")
     # Ranks average (N + 1) / 2; centring first keeps the sums of squares exact enough.
     mid = (pairs.agg(F.sum("n")).scalar() + 1) / 2
-    x, y, n = F.col("x") - mid, F.col("y") - mid, F.col("n")
-    sums = joined.agg(F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    n, y = F.col("n"), F.col("y") - mid
+    per_gold = attach_by_value(pairs, p_ranks, "p").groupBy("g").agg(
+        F.sum("n").alias("n"), F.sum(n * y).alias("sy"), F.sum(n * y * y).alias("syy")
+    )
+    x = F.col("rank") - mid
+    ranked = _with_ranks(materialize(per_gold, "rank-sums"), "g")
+    sums = ranked.agg(F.sum(x * F.col("sy")).alias("xy"), F.sum(F.col("n") * x * x).alias("xx"), F.sum("syy").alias("yy"))
     return sums.select(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("value"))
 
 

@@ -76,36 +76,36 @@ def with_file_index(df: DataFrame, index: str = "idx", line: str | None = None)
 # --- keys ----------------------------------------------------------------
 
 
+def _magnitude(k: Column) -> Column:
+    """Cell of a number: its sign and power of two, as an ordered whole number (NaN last)."""
+    power = F.floor(F.log2(F.abs(k)))
+    return (
+        F.when(F.isnan(k), 2 * CELLS)
+        .when(k > 0, F.least(power, F.lit(1100)) + 2000)
+        .when(k < 0, -F.least(power, F.lit(1100)) - 2000)
+        .otherwise(0)
+        .cast("int")
+    )
+
+
 def range_buckets(df: DataFrame, key: str) -> DataFrame:
     """Add ordered bucket columns `_cell`, `_sub` for a numeric key.
 
-    Equal-width cells between the smallest and the largest key; a cell with more
-    than CELL_ROWS rows is cut again into equal-width pieces of its own key
-    range, so an outlier that stretches the range does not pile the rest up.
-    The cell table has at most CELLS rows.
+    A cell is one power of two, so there are at most CELLS of them and no pass
+    is needed to learn the range. A cell with more than CELL_ROWS rows is cut
+    into equal-width pieces of its own key range. Ids count up evenly within a
+    power of two, and a far outlier only gets a cell of its own.
     """
     k = F.col(key).cast("double")
-    ends = df.agg(F.struct(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi"))).scalar()
-    span = ends["hi"] - ends["lo"]
-    cell = F.coalesce(
-        F.least(F.floor(F.try_divide((k - ends["lo"]) * CELLS, span)), F.lit(CELLS - 1).cast("bigint")),
-        F.lit(0).cast("bigint"),
-    )
-    placed = df.withColumn("_cell", cell)
+    placed = df.withColumn("_cell", _magnitude(k))
     cells = placed.groupBy("_cell").agg(
         F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_pieces"),
         F.min(k).alias("_lo"),
         F.max(k).alias("_hi"),
     )
-    sub = F.coalesce(
-        F.least(F.floor(F.try_divide((k - F.col("_lo")) * F.col("_pieces"), F.col("_hi") - F.col("_lo"))), F.col("_pieces") - 1),
-        F.lit(0).cast("bigint"),
-    )
-    return (
-        placed.join(small(cells, CELLS), "_cell")
-        .withColumn("_sub", sub)
-        .drop("_pieces", "_lo", "_hi")
-    )
+    piece = F.floor(F.try_divide((k - F.col("_lo")) * F.col("_pieces"), F.col("_hi") - F.col("_lo")))
+    sub = F.when(F.col("_pieces") > 1, F.coalesce(F.least(piece, F.col("_pieces") - 1), F.lit(0).cast("bigint"))).otherwise(0)
+    return placed.join(small(cells, CELLS), "_cell").withColumn("_sub", sub).drop("_pieces", "_lo", "_hi")
 
 
 def bucket_totals(df: DataFrame, bucket: list[str], value: Column) -> DataFrame:

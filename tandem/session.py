@@ -48,6 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared scratch folder and read it back.
+
+    For intermediate tables that are used several times: the lineage ends at
+    stored files, which outlive any executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, max_rows: int | None) -> DataFrame:
     """Broadcast `df` if `max_rows`, a bound proven by the caller, is within the limit.
 
