@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def explode_once(df: DataFrame, keep: Sequence[str | Column], array: str | Column, pos: str, item: str) -> DataFrame:
+    """One row per array item, the array being computed once.
+
+    The plain generator also filters its input by the size of the array; where
+    the array is an expression or a UDF, that computes it a second time. The
+    outer generator does not, and its row for an empty array is dropped behind it.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
 def label_literal(label_map: Mapping[str, int]) -> Column:

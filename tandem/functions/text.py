@@ -10,7 +10,8 @@ SPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_RUN = "[" + SPACE_CHARS + "]+"
+# The same characters as a pattern; ranges keep the test of a character short.
+SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # The spellings accepted as a number, and as a whole number.
 DIGITS = r"\d+(?:_\d+)*"
@@ -28,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between runs of white space; never an empty word."""
-    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
+    return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
 
 def is_number(text: Column) -> Column:
@@ -45,8 +46,3 @@ def to_float(text: Column) -> Column:
     """DOUBLE for every accepted spelling of a number, NULL otherwise."""
     plain = strip(text)
     return F.when(plain.rlike(NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
-
-
-def hash_code(word: Column, first_digit: int, digits: int) -> Column:
-    """Number made of `digits` hex digits of the word's md5, starting at 1-based `first_digit`."""
-    return F.conv(F.substring(F.md5(word), first_digit, digits), 16, 10).cast("int")

@@ -8,6 +8,7 @@ Parameters are small dense arrays and travel with the plan.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -132,17 +133,23 @@ def running_start(counts: Column, base: int) -> Column:
     return apply(counts)
 
 
-def bucket_sums(buckets: Column, values: Column, width: int) -> Column:
-    """Dense vector of length `width`: item j is the sum of `values` whose bucket is j."""
+def hashed_bag(words: Column, width: int) -> Column:
+    """Signed hashed bag of words (ARRAY<STRING> in): item j counts the words hashed to j, up or down.
 
-    @F.arrow_udf(VECTOR)
-    def apply(b: pa.Array, v: pa.Array) -> pa.Array:
-        n = row_lengths(b)
-        cell = np.repeat(np.arange(len(n)), n) * width + _ints(b)
-        sums = np.bincount(cell, weights=_ints(v), minlength=len(n) * width)
-        return from_matrix(sums.astype(np.float64).reshape(len(n), width))
-
-    def _ints(a: pa.Array) -> np.ndarray:
-        return _one_array(a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    The first three hex digits of a word's md5 give bucket and sign. Each
+    distinct word of an Arrow batch is hashed once.
+    """
 
-    return apply(buckets, values)
+    @F.arrow_udf(VECTOR)
+    def apply(ws: pa.Array) -> pa.Array:
+        ws = _one_array(ws)
+        n = row_lengths(ws)
+        coded = ws.flatten().dictionary_encode()
+        digits = (hashlib.md5(w.encode()).hexdigest()[:3] for w in coded.dictionary.to_pylist())
+        code = np.fromiter((int(d, 16) for d in digits), np.int64, len(coded.dictionary))
+        code = code[coded.indices.to_numpy(zero_copy_only=False)] if len(code) else code
+        cell = np.repeat(np.arange(len(n)), n) * width + (code >> 4) % width
+        sums = np.bincount(cell, weights=1.0 - 2.0 * (code % 2), minlength=len(n) * width)
+        return from_matrix(sums.reshape(len(n), width))
+
+    return apply(words)

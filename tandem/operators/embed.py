@@ -8,19 +8,14 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
-from ..functions.vectors import bucket_sums
+from ..functions.vectors import hashed_bag
 
 POOLINGS = ("cls", "mean", "word-level")
 
 
 def hash_encode(text: Column, width: int = 16) -> Column:
-    """Demo encoder: signed hashed bag of words, from the md5 of each word."""
-    words = tx.words(text)
-    # One md5 per word gives both numbers: bucket from digits 1-2, sign from digit 3.
-    codes = F.transform(words, lambda w: tx.hash_code(w, 1, 3))
-    bucket = F.transform(codes, lambda c: F.shiftright(c, 4) % width)
-    sign = F.transform(codes, lambda c: F.when(c % 2 == 0, 1).otherwise(-1))
-    return bucket_sums(bucket, sign, width)
+    """Demo encoder: signed hashed bag of words."""
+    return hashed_bag(tx.words(text), width)
 
 
 def batch_infer(

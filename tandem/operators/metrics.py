@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrays import explode_once
 from ..session import MAX_BROADCAST_ROWS, materialize, small
 from .order import range_buckets, with_prefix_sum
 
@@ -128,7 +129,7 @@ def spearman(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame
 def unpad(df: DataFrame, gold: str = "gold", pred: str = "pred", key: str = "sent_id") -> DataFrame:
     """One row per real word: padded positions (gold -1) are dropped."""
     pairs = F.arrays_zip(F.col(gold).alias("gold"), F.slice(F.col(pred), 1, F.size(gold)).alias("pred"))
-    return df.select(key, F.posexplode(pairs).alias("word_pos", "x")).select(
+    return explode_once(df, [key], pairs, "word_pos", "x").select(
         key, "word_pos", F.col("x.gold").alias("gold"), F.col("x.pred").alias("pred")
     ).where(F.col("gold") != -1)
 

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import explode_once
+
 SPLITS = ("train", "dev", "test")
 
 # Metrics used when a corpus names none.
@@ -32,8 +34,11 @@ def label_dictionary(df: DataFrame, label: str = "label") -> DataFrame:
     """Count of each label (or each tag, if the column holds arrays) over train and dev."""
     rows = labelled_splits(df)
     kind = df.schema[label].dataType.typeName()
-    value = F.explode(label) if kind == "array" else F.col(label)
-    return rows.select(value.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    if kind == "array":
+        rows = explode_once(rows, [], label, "_pos", "label")
+    else:
+        rows = rows.select(F.col(label).alias("label"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def num_classes(df: DataFrame, label: str = "label", task: str = "Sentence classification") -> DataFrame:

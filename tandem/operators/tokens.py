@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import explode_once
 from ..functions.vectors import running_start
 
 
@@ -55,7 +56,11 @@ def word_starts(counts: Column, max_length: int, cls_first: bool = True) -> Colu
 
 
 def explode_words(df: DataFrame, words: str = "words", *aligned: str) -> DataFrame:
-    """One row per word: `word_pos`, `word`, and the item of each aligned array (NULL past its end)."""
+    """One row per word: `word_pos`, `word`, and the item of each aligned array (NULL past its end).
+
+    The arrays are zipped before they are exploded, so no row carries a whole array.
+    """
     keep = [c for c in df.columns if c != words and c not in aligned]
-    exploded = df.select(*keep, *aligned, F.posexplode(words).alias("word_pos", "word"))
-    return exploded.select(*keep, "word_pos", "word", *[F.get(a, F.col("word_pos")).alias(a) for a in aligned])
+    zipped = F.arrays_zip(F.col(words).alias("word"), *[F.col(a).alias(a) for a in aligned])
+    exploded = explode_once(df, keep, zipped, "word_pos", "_x")
+    return exploded.select(*keep, "word_pos", "_x.word", *[f"_x.{a}" for a in aligned])

@@ -7,9 +7,9 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import arrays as ax, text as tx
+from ..functions import arrays as ax
 from ..operators import batching, combine, embed, heads, labels as lb, metrics as mt, order, splits, stats, tokens
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import registry as rg, sink, text as src
 from . import inputs as inp, train as tr
 from .inputs import ENC_A, ENC_B, ENC_C, LANGS, TAGS, r6
@@ -25,7 +25,7 @@ def query(fn: Query) -> Query:
 
 def components(df: DataFrame, vec: str, *keep: str) -> DataFrame:
     """One row per vector item, for comparison: the report form of a vector."""
-    return df.select(*keep, F.posexplode(vec).alias("j", "value")).select(
+    return ax.explode_once(df, keep, vec, "j", "value").select(
         *keep, F.col("j").cast("bigint").alias("j"), r6(F.col("value").cast("double")).alias("value")
     )
 
@@ -239,7 +239,7 @@ def lbl_first_annotation(spark, sf):
     t = inp.tagged(spark, sf)
     both = F.zip_with("gold_tags", "pred_tags", lambda a, b: F.concat(a, F.lit(","), b))
     firsts = F.transform(both, lb.first_annotation)
-    return t.select("sent_id", F.explode(firsts).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return ax.explode_once(t, ["sent_id"], firsts, "pos", "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -272,7 +272,7 @@ def prj_zip_pairs(spark, sf):
     first, second = F.split("text", "\n"), F.split("text_pair", "\n")
     n = F.least(F.size(first), F.size(second))
     zipped = lb.zip_pairs(F.slice(first, 1, n), F.slice(second, 1, n))
-    return p.select("sent_id", F.posexplode(zipped).alias("pos", "x")).select(
+    return ax.explode_once(p, ["sent_id"], zipped, "pos", "x").select(
         "sent_id", F.col("pos").cast("bigint").alias("pos"), F.col("x.text").alias("text"), F.col("x.text_pair").alias("text_pair")
     )
 
@@ -403,9 +403,7 @@ def batch_pad_words(spark, sf):
     per = w.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "vec"))).alias("v"))
     vectors = per.select("sent_id", F.transform("v", lambda x: x["vec"].cast("array<double>")).alias("vectors"))
     padded = batching.pad_words(_batched(vectors, "sent_id", 4), ENC_C[1])
-    return padded.select(
-        "sent_id", "batch_id", F.posexplode("vectors").alias("word_pos", "v")
-    ).select(
+    return ax.explode_once(padded, ["sent_id", "batch_id"], "vectors", "word_pos", "v").select(
         "sent_id", "batch_id", F.col("word_pos").cast("bigint").alias("word_pos"),
         r6(F.get("v", F.lit(0))).alias("v0"), r6(F.get("v", F.lit(ENC_C[1] - 1))).alias("v15"),
     )
@@ -416,17 +414,18 @@ def batch_pad_words(spark, sf):
 
 @query
 def tok_words(spark, sf):
-    d = inp.docs(spark, sf).select("sent_id", tokens.words(F.col("text")).alias("words"))
-    return d.select("sent_id", F.posexplode("words").alias("word_pos", "word")).select(
+    d = inp.doc_words(spark, sf).drop("split")
+    return ax.explode_once(d, ["sent_id"], "words", "word_pos", "word").select(
         "sent_id", F.col("word_pos").cast("bigint").alias("word_pos"), "word"
     )
 
 
 @query
 def tok_subword_counts(spark, sf):
-    d = inp.docs(spark, sf).select("sent_id", tokens.words(F.col("text")).alias("words"))
+    d = inp.doc_words(spark, sf).drop("split")
     counts = tokens.tokenizer_counts(F.col("words"), _demo_tokenizer)
-    return d.select(F.explode(F.arrays_zip(F.col("words").alias("word"), counts.alias("n"))).alias("x")).groupBy(
+    zipped = F.arrays_zip(F.col("words").alias("word"), counts.alias("n"))
+    return ax.explode_once(d, ["sent_id"], zipped, "pos", "x").groupBy(
         F.col("x.word").alias("word")
     ).agg(F.max("x.n").cast("bigint").alias("n_subwords"), F.count(F.lit(1)).alias("n_occurrences"))
 
@@ -438,7 +437,7 @@ def _demo_tokenizer(words: list[str]) -> list[int]:
 
 @query
 def tok_word_starts(spark, sf):
-    d = inp.docs(spark, sf).select("sent_id", tokens.words(F.col("text")).alias("words"))
+    d = inp.doc_words(spark, sf).drop("split")
     counts = tokens.rule_counts(F.col("words"))
     starts = d.select("sent_id", "words", counts.alias("counts")).withColumn(
         "starts", tokens.word_starts(F.col("counts"), inp.MAX_LENGTH)
@@ -450,13 +449,13 @@ def tok_word_starts(spark, sf):
 
 @query
 def emb_hash_encode(spark, sf):
-    d = inp.docs(spark, sf)
+    d = spread(inp.docs(spark, sf).select("sent_id", "text"), "sent_id")
     return components(d.select("sent_id", embed.hash_encode(F.col("text")).alias("vec")), "vec", "sent_id")
 
 
 @query
 def emb_batch_infer(spark, sf):
-    d = inp.docs(spark, sf)
+    d = spread(inp.docs(spark, sf).select("sent_id", "text"), "sent_id")
     return components(d.select("sent_id", embed.batch_infer(F.col("text"), _demo_model).alias("vec")), "vec", "sent_id")
 
 
@@ -741,7 +740,7 @@ def met_tag_accuracy(spark, sf):
 def met_entity_spans(spark, sf):
     t = inp.tagged(spark, sf)
     parts = [
-        t.select("sent_id", F.lit(side).alias("side"), F.explode(mt.entity_spans(F.col(f"{side}_tags"))).alias("s"))
+        ax.explode_once(t, ["sent_id", F.lit(side).alias("side")], mt.entity_spans(F.col(f"{side}_tags")), "k", "s")
         for side in ("gold", "pred")
     ]
     return parts[0].unionByName(parts[1]).select(

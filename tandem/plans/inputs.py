@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text as tx
+from ..functions.arrays import explode_once, label_literal, lookup
 from ..operators import embed, tokens
 from ..operators.combine import CombineParams, align
+from ..operators.labels import encode
+from ..session import spread
 from ..sources.registry import bio, numbered
 
 LANGS = numbered("de,en,es,fr")
@@ -52,8 +54,6 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lang_id(lang: Column) -> Column:
-    from ..operators.labels import encode
-
     return encode(lang, LANGS)
 
 
@@ -121,15 +121,19 @@ def pred_rule(word: Column, pos: Column) -> Column:
 
 
 def tag_ids(names: Column) -> Column:
-    from ..functions.arrays import label_literal, lookup
-
     mapping = label_literal(TAGS)
     return F.transform(names, lambda t: lookup(mapping, t))
 
 
+def doc_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as word arrays."""
+    d = spread(docs(spark, sf).select("sent_id", "split", "text"), "sent_id")
+    return d.select("sent_id", "split", tokens.words(F.col("text")).alias("words"))
+
+
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as word arrays with gold and predicted tag names."""
-    d = docs(spark, sf).select("sent_id", "split", tokens.words(F.col("text")).alias("words"))
+    d = doc_words(spark, sf)
     return d.select(
         "*",
         F.transform("words", gold_rule).alias("gold_tags"),
@@ -184,13 +188,14 @@ def dme_params(widths: tuple[int, ...] = (32, 32), layer_norm: bool = False) ->
 
 def turn_words(spark: SparkSession, sf: str) -> DataFrame:
     """Turns with their words, subword counts and word starts, all as arrays."""
-    t = turns(spark, sf).select("sent_id", "text", tokens.words(F.col("text")).alias("words"))
+    t = spread(turns(spark, sf).select("sent_id", "text"), "sent_id")
+    t = t.withColumn("words", tokens.words(F.col("text")))
     t = t.withColumn("counts", tokens.rule_counts(F.col("words")))
     return t.withColumn("starts", tokens.word_starts(F.col("counts"), MAX_LENGTH))
 
 
 def word_starts(spark: SparkSession, sf: str) -> DataFrame:
-    return turn_words(spark, sf).select("sent_id", F.posexplode("starts").alias("word_pos", "start"))
+    return explode_once(turn_words(spark, sf), ["sent_id"], "starts", "word_pos", "start")
 
 
 def subwords(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_C) -> DataFrame:
@@ -223,8 +228,6 @@ def word_tags(spark: SparkSession, sf: str) -> DataFrame:
         F.col("starts").isNotNull()
     )
     name = gold_rule(F.col("word"), F.col("word_pos"))
-    from ..operators.labels import encode
-
     return rows.select("sent_id", "word_pos", "word", encode(name, TAGS).alias("tag_id"))
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side may carry a broadcast hint only when its row count is bounded by this.
 MAX_BROADCAST_ROWS = 1_000_000
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "tandem", master: str | None = None, **conf) -> SparkSession:
     """Session with adaptive execution and skew handling on; `conf` keys use `__` for dots."""
@@ -27,6 +31,21 @@ def build_session(app: str = "tandem", master: str | None = None, **conf) -> Spa
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, once per session.
+
+    The functions inside the Arrow UDFs belong to it. Not needed when it is
+    installed on the executors or was given with `--py-files`.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tandem-')}/{root.name}", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
@@ -48,6 +67,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that comes in fewer pieces than a few per core.
+
+    A file with a single row group is read by one task; row-local work on texts
+    would then use one core. A large table has many more pieces than cores and
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared scratch folder and read it back.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..functions.arrays import label_literal, lookup
+from ..functions.arrays import explode_once, label_literal, lookup
 from ..operators import labels as lb
 from ..operators.order import with_file_index
 
@@ -180,40 +180,40 @@ def read_tagged_text(
     record. For files with another line end pass `newline`.
     """
     blocks = with_file_index(spark.read.option("lineSep", newline * 2).text(paths), "_block_no")
-    pieces = F.split(F.col("value"), rf"\r?\n[{tx.SPACE_CHARS}]*\r?\n|^[{tx.SPACE_CHARS}]*\r?\n")
-    sentences = blocks.select("_file", "_block_no", F.posexplode(pieces).alias("_piece", "_lines"))
-    lines = F.filter(F.transform(F.split("_lines", "\n"), tx.strip), lambda x: x != "")
-    out = (
-        sentences.select("_file", "_block_no", "_piece", lines.alias("_l"))
-        .where(F.size("_l") > 0)
-        .select("_file", "_block_no", "_piece", F.transform("_l", lambda x: F.split(x, _quoted(delimiter))).alias("_r"))
-        .select(
-            "_file",
-            # Pieces keep their order inside the record; one record is one sentence unless its
-            # blank lines differ from the record separator.
-            F.when(F.col("_piece") < PIECES, F.col("_block_no") * PIECES + F.col("_piece"))
-            .otherwise(F.raise_error(F.lit("records do not end where expected; pass the file's newline")).cast("bigint"))
-            .alias("sent_id"),
-            F.transform("_r", lambda r: F.get(r, F.lit(word_position))).alias("words"),
-            F.transform("_r", lambda r: lb.first_annotation(F.get(r, F.lit(label_position)))).alias("tag_names"),
-        )
+    blank = rf"\r?\n{tx.SPACE_CLASS}*\r?\n|^{tx.SPACE_CLASS}*\r?\n"
+    mapping = label_literal(label_map)
+    field = lambda line, at: F.nullif(F.split_part(line, F.lit(delimiter), F.lit(at + 1)), F.lit(""))
+    # Stripping every line at once: white space around each line break goes.
+    to_lines = lambda piece: F.split(
+        F.regexp_replace(tx.strip(piece), rf"{tx.SPACE_CLASS}*\n{tx.SPACE_CLASS}*", "\n"), "\n"
+    )
+    parse = lambda lines: F.struct(
+        F.transform(lines, lambda x: field(x, word_position)).alias("words"),
+        F.transform(lines, lambda x: lb.first_annotation(field(x, label_position))).alias("tag_names"),
+    )
+    with_ids = lambda s: F.struct(
+        s["words"].alias("words"),
+        s["tag_names"].alias("tag_names"),
+        F.transform(s["tag_names"], lambda t: lookup(mapping, t)).alias("tags"),
+    )
+    # Parsed inside the generator, so that later filters do not parse again.
+    pieces = F.filter(F.transform(F.split("value", blank), tx.strip), lambda p: p != "")
+    parsed = F.transform(F.transform(F.transform(pieces, to_lines), parse), with_ids)
+    sentences = explode_once(blocks, ["_file", "_block_no"], parsed, "_piece", "_s")
+    # Pieces keep their order inside the record; one record is one sentence unless its
+    # blank lines differ from the record separator.
+    sent_id = F.when(F.col("_piece") < PIECES, F.col("_block_no") * PIECES + F.col("_piece")).otherwise(
+        F.raise_error(F.lit("records do not end where expected; pass the file's newline")).cast("bigint")
     )
+    out = sentences.select("_file", sent_id.alias("sent_id"), "_s.words", "_s.tag_names", "_s.tags")
     if skip_docstart:
         out = out.where(~((F.size("words") == 1) & (F.get("words", F.lit(0)) == "-DOCSTART-")))
-    mapping = label_literal(label_map)
     out = out.select(
-        "*",
-        lb.join_words(F.col("words")).alias("text"),
-        F.transform("tag_names", lambda t: lookup(mapping, t)).alias("tags"),
-        F.lit("single-sentence").alias("sentence_type"),
+        "*", lb.join_words(F.col("words")).alias("text"), F.lit("single-sentence").alias("sentence_type")
     )
     return out if with_file else out.drop("_file")
 
 
-def _quoted(delimiter: str) -> str:
-    return r"\Q" + delimiter + r"\E"
-
-
 def tagged_good_rows(sentences: DataFrame) -> DataFrame:
     """Sentences whose words are all there and whose tags are all in the label map."""
     return sentences.where(~_tag_problem())
@@ -230,7 +230,7 @@ def _tag_problem() -> Column:
 def explode_tagged(sentences: DataFrame) -> DataFrame:
     """Canonical tagged rows: one per word."""
     zipped = F.arrays_zip(F.col("words").alias("word"), F.col("tag_names").alias("tag"), F.col("tags").alias("tag_id"))
-    return sentences.select("sent_id", F.posexplode(zipped).alias("word_pos", "_x")).select(
+    return explode_once(sentences, ["sent_id"], zipped, "word_pos", "_x").select(
         "sent_id", "word_pos", "_x.word", "_x.tag", "_x.tag_id"
     )
 
