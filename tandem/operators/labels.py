@@ -51,7 +51,7 @@ def decode(label: Column, label_map: Mapping[str, int]) -> Column:
 
 def coarse_label(line: Column) -> Column:
     """Part before the colon of the first space-separated token."""
-    return F.split_part(F.split_part(line, F.lit(" "), F.lit(1)), F.lit(":"), F.lit(1))
+    return F.substring_index(F.substring_index(line, " ", 1), ":", 1)
 
 
 def after_first_token(line: Column) -> Column:
@@ -69,7 +69,7 @@ def without_tags(line: Column) -> Column:
 
 
 def first_annotation(tag: Column) -> Column:
-    return F.split_part(tag, F.lit(","), F.lit(1))
+    return F.substring_index(tag, ",", 1)
 
 
 def without_tabs(text: Column) -> Column:

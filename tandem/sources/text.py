@@ -70,7 +70,7 @@ def bad_rows(parsed: DataFrame) -> DataFrame:
 
 def strict_rows(parsed: DataFrame) -> DataFrame:
     """Like `good_rows`, but a problem row stops the query."""
-    checked = F.when(F.col("problem").isNull(), F.col("label_raw")).otherwise(F.raise_error("problem"))
+    checked = F.when(F.col("problem").isNull(), F.col("label_raw")).otherwise(F.raise_error(F.col("problem")))
     return good_rows(parsed.withColumn("label_raw", checked).withColumn("problem", F.lit(None).cast("string")))
 
 
@@ -182,7 +182,9 @@ def read_tagged_text(
     blocks = with_file_index(spark.read.option("lineSep", newline * 2).text(paths), "_block_no")
     blank = rf"\r?\n{tx.SPACE_CLASS}*\r?\n|^{tx.SPACE_CLASS}*\r?\n"
     mapping = label_literal(label_map)
-    field = lambda line, at: F.nullif(F.split_part(line, F.lit(delimiter), F.lit(at + 1)), F.lit(""))
+    # A single plain character splits without a regular expression.
+    pattern = delimiter if len(delimiter) == 1 and delimiter not in ".$|()[{^?*+\\" else rf"\Q{delimiter}\E"
+    field = lambda line, at: F.nullif(F.get(F.split(line, pattern), F.lit(at)), F.lit(""))
     # Stripping every line at once: white space around each line break goes.
     to_lines = lambda piece: F.split(
         F.regexp_replace(tx.strip(piece), rf"{tx.SPACE_CLASS}*\n{tx.SPACE_CLASS}*", "\n"), "\n"
