@@ -18,7 +18,7 @@ CELL_ROWS = 1 << 20
 
 
 def locate(df: DataFrame) -> DataFrame:
-    """Add the place of each row in its source files: `_file`, `_block`, `_mono`.
+    """Add the place of each row in its source files: `_file`, `_block`, `_file_size`, `_mono`.
 
     `df` must come straight from a file reader (filters are fine).
     """
@@ -26,6 +26,7 @@ def locate(df: DataFrame) -> DataFrame:
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_file_size"),
         F.monotonically_increasing_id().alias("_mono"),
     )
 
@@ -36,19 +37,30 @@ def _block_bound(df: DataFrame) -> int:
     return len(df.inputFiles()) + 2 * df.rdd.getNumPartitions()
 
 
-def with_file_index(df: DataFrame, index: str = "idx", line: str | None = None) -> DataFrame:
+def with_file_index(
+    df: DataFrame, index: str = "idx", line: str | None = None, record_bytes: Column | None = None
+) -> DataFrame:
     """Row number in file order (path, then position), rows staying where they are.
 
     One narrow pass counts rows per file block; the running totals of that block
     table are joined back. `line` names a second column: the row number inside
     the file. A row without its block (the scan was split differently the
-    second time) stops the query instead of getting a wrong number.
+    second time) stops the query instead of getting a wrong number. With
+    `record_bytes` (size of a record and its separator) the records of a file
+    that was split must add up to the file, or the query stops.
     """
     located = locate(df)
     part = F.shiftright("_mono", 33)
     blocks = located.groupBy("_file", "_block", part.alias("_part")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first")
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_mono").alias("_first"),
+        F.first("_file_size").alias("_file_size"),
+        F.sum(F.lit(0) if record_bytes is None else record_bytes).alias("_bytes"),
     )
+    whole_file = Window.partitionBy("_file")
+    surplus = F.sum("_bytes").over(whole_file) - F.col("_file_size")
+    # The last record of a file may lack its separator of two bytes.
+    tiled = F.lit(True) if record_bytes is None else (F.count(F.lit(1)).over(whole_file) == 1) | surplus.isin(0, 2)
     in_order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
@@ -56,6 +68,7 @@ def with_file_index(df: DataFrame, index: str = "idx", line: str | None = None)
         "_block",
         "_part",
         "_first",
+        tiled.alias("_tiled"),
         (F.col("_first") + F.col("_n")).alias("_end"),
         F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_before"),
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_before_in_file"),
@@ -64,8 +77,10 @@ def with_file_index(df: DataFrame, index: str = "idx", line: str | None = None)
         small(blocks, _block_bound(df)), ["_file", "_block", "_part"], "left"
     )
     inside = F.col("_mono").between(F.col("_first"), F.col("_end") - 1)
-    at = F.when(inside, F.col("_mono") - F.col("_first")).otherwise(
-        F.raise_error(F.lit("file blocks changed between two scans; pin the scan split size")).cast("bigint")
+    at = (
+        F.when(~F.col("_tiled"), F.raise_error(F.lit("records overlap at a file split; read with regroup=True")).cast("bigint"))
+        .when(inside, F.col("_mono") - F.col("_first"))
+        .otherwise(F.raise_error(F.lit("file blocks changed between two scans; pin the scan split size")).cast("bigint"))
     )
     out = [F.col(c) for c in df.columns] + [(F.col("_before") + at).alias(index)]
     if line:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..functions.arrays import explode_once, label_literal, lookup
 from ..operators import labels as lb
-from ..operators.order import with_file_index
+from ..operators.order import with_file_index, with_prefix_sum
 
 PIECES = 1 << 20
+LINES_PER_CHUNK = 1 << 18
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines with `idx` (number over all files), `line_no` (number in the file) and `_file`."""
@@ -171,15 +172,26 @@ def read_tagged_text(
     skip_docstart: bool = False,
     newline: str = "\n",
     with_file: bool = False,
+    regroup: bool = False,
 ) -> DataFrame:
     """One row per sentence from word-per-line text: words, tag names, tag ids and joined text.
 
     The reader's record separator is the blank line, so one record is a sentence
-    and sentences cross file splits safely: no line is shuffled to be regrouped.
+    and sentences may cross file splits: no line is shuffled to be regrouped.
     Longer runs of blank lines, and lines of white space, are cut inside the
     record. For files with another line end pass `newline`.
+
+    Where a file split falls into a run of three or more line ends, the file
+    reader may hand out a record twice. That is noticed by size and stops the
+    query; `regroup=True` then reads line by line and gathers the lines of each
+    sentence by shuffles, which is right for every input.
     """
-    blocks = with_file_index(spark.read.option("lineSep", newline * 2).text(paths), "_block_no")
+    if regroup:
+        blocks = _regrouped(spark, paths)
+    else:
+        records = spark.read.option("lineSep", newline * 2).text(paths)
+        size = F.octet_length("value") + 2 * len(newline)
+        blocks = with_file_index(records, "_block_no", record_bytes=size if newline == "\n" else None)
     blank = rf"\r?\n{tx.SPACE_CLASS}*\r?\n|^{tx.SPACE_CLASS}*\r?\n"
     mapping = label_literal(label_map)
     # A single plain character splits without a regular expression.
@@ -216,6 +228,21 @@ def read_tagged_text(
     return out if with_file else out.drop("_file")
 
 
+def _regrouped(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Sentences as blocks of lines: a sentence is numbered by the blank lines before it."""
+    lines = read_lines(spark, paths)
+    first = F.when(F.col("line_no") == 0, 1).otherwise(0)
+    blank = F.when(tx.strip(F.col("value")) == "", 1).otherwise(0)
+    # A new file starts a new sentence, too; both counts grow with the line number.
+    marked = lines.withColumn("_chunk", F.floor(F.col("idx") / LINES_PER_CHUNK)).withColumn("_new", first + blank)
+    counted = with_prefix_sum(marked, ["_chunk"], ["idx"], F.col("_new").cast("bigint"), "_earlier", None)
+    numbered = counted.select("_file", "idx", "value", (F.col("_earlier") + F.col("_new")).alias("_block_no"), blank.alias("_blank"))
+    gathered = numbered.where(F.col("_blank") == 0).groupBy("_file", "_block_no").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_lines")
+    )
+    return gathered.select("_file", "_block_no", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"))
+
+
 def tagged_good_rows(sentences: DataFrame) -> DataFrame:
     """Sentences whose words are all there and whose tags are all in the label map."""
     return sentences.where(~_tag_problem())

@@ -83,19 +83,40 @@ TAGGED = "-DOCSTART- -X- -X- O\n\nEU N X B-ORG\nrejects V X O\n\n\nGerman J X B-
 TAGGED_WANT = [(["-DOCSTART-"], [0]), (["EU", "rejects"], [3, 0]), (["German"], [7]), (["call", "Blackburn"], [0, 1])]
 
 
-@pytest.mark.parametrize("size", list(range(1, 40)) + [1 << 20])
-def test_tagged_sentences_cross_file_splits(spark, tmp_path, size):
-    (tmp_path / "a.txt").write_text(TAGGED)
+def read_in_splits(spark, path, size, **options):
     saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     spark.conf.set("spark.sql.files.openCostInBytes", 0)
     try:
-        df = src.read_tagged_text(spark, str(tmp_path), rg.CORPORA["conll2003"].label_map)
-        got = [(r.words, r.tags) for r in df.orderBy("sent_id").collect()]
+        df = src.read_tagged_text(spark, str(path), rg.CORPORA["conll2003"].label_map, **options)
+        return [(r.words, r.tags) for r in df.orderBy("sent_id").collect()]
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
-    assert got == TAGGED_WANT
+
+
+@pytest.mark.parametrize("size", list(range(1, 24)) + [1 << 20])
+def test_tagged_sentences_cross_file_splits(spark, tmp_path, size):
+    # Single blank lines only: any split is fine.
+    text = TAGGED.replace("\n\n\n", "\n\n")
+    (tmp_path / "a.txt").write_text(text)
+    assert read_in_splits(spark, tmp_path, size) == TAGGED_WANT
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 11, 23, 1 << 20])
+def test_runs_of_blank_lines_are_right_or_refused(spark, tmp_path, size):
+    (tmp_path / "a.txt").write_text(TAGGED)
+    try:
+        assert read_in_splits(spark, tmp_path, size) == TAGGED_WANT
+    except Exception as e:
+        assert "regroup=True" in str(e) and size < 1 << 20
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_regrouped_sentences_are_right_for_every_split(spark, tmp_path, size):
+    (tmp_path / "a.txt").write_text(TAGGED)
+    (tmp_path / "b.txt").write_text(TAGGED)
+    assert read_in_splits(spark, tmp_path, size, regroup=True) == TAGGED_WANT * 2
 
 
 def test_tagged_variants(spark, tmp_path):
