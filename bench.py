@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose
 the data and the number of threads. Each query runs once to warm up and then
-BENCH_RUNS times (default 3); the median counts.
+BENCH_RUNS times (default 2); the median counts.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def run(spark, sf: str, name: str) -> float:
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = build_session(
         "bench",

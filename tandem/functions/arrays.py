@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,6 +17,11 @@ def explode_once(df: DataFrame, keep: Sequence[str | Column], array: str | Colum
     return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def label_literal(label_map: Mapping[str, int]) -> Column:
     """Label map as a literal MAP<STRING,BIGINT>."""
     parts = [F.lit(x) for name, i in label_map.items() for x in (name, i)]

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import explode_once
+from ..functions.arrays import bind, explode_once
 from ..session import MAX_BROADCAST_ROWS, materialize, small
 from .order import range_buckets, with_prefix_sum
 
@@ -146,14 +146,20 @@ def entity_spans(tags: Column) -> Column:
     neighbours, starts and ends are picked out in one pass each and pair up in
     order: linear in the sentence, and nothing leaves the row.
     """
-    n = F.size(tags)
-    last = F.greatest(n - 1, F.lit(0))
-    near = F.arrays_zip(
+    return bind(bind(tags, _with_neighbours), _pair_ends)
+
+
+def _with_neighbours(tags: Column) -> Column:
+    last = F.greatest(F.size(tags) - 1, F.lit(0))
+    return F.arrays_zip(
         tags.alias("tag"),
         F.concat(F.array(F.lit(None).cast("string")), F.slice(tags, F.lit(1), last)).alias("before"),
         F.slice(tags, F.lit(2), last).alias("after"),
         F.sequence(F.lit(0), last).alias("at"),
     )
+
+
+def _pair_ends(near: Column) -> Column:
     starts = F.filter(near, lambda x: (x["tag"] != "O") & ~_continues(x["before"], x["tag"]))
     ends = F.filter(near, lambda x: (x["tag"] != "O") & ~_continues(x["tag"], x["after"]))
     return F.zip_with(
@@ -169,7 +175,7 @@ def _kind(tag: Column) -> Column:
 
 def _continues(tag: Column, following: Column) -> Column:
     """Whether `following` goes on with the span of `tag`."""
-    return F.coalesce(F.startswith(following, F.lit("I-")) & (tag != "O") & (_kind(tag) == _kind(following)), F.lit(False))
+    return F.coalesce((following == F.concat(F.lit("I-"), _kind(tag))) & (tag != "O"), F.lit(False))
 
 
 def entity_counts(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags") -> DataFrame:
@@ -180,7 +186,7 @@ def entity_counts(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags
     final sum.
     """
     text = lambda c: F.transform(
-        entity_spans(F.col(c)), lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string"), s["type"])
+        entity_spans(F.col(c)), lambda s: F.concat(s["first"].cast("string"), F.lit(":"), s["last"].cast("string"), F.lit(":"), s["type"])
     )
     spans = df.select(text(gold).alias("g"), text(pred).alias("p"))
     return spans.agg(
