@@ -38,7 +38,7 @@ def _block_bound(df: DataFrame) -> int:
 
 
 def with_file_index(
-    df: DataFrame, index: str = "idx", line: str | None = None, record_bytes: Column | None = None
+    df: DataFrame, index: str = "idx", line: str | None = None, record_bytes: Column | None = None, separator: int = 2
 ) -> DataFrame:
     """Row number in file order (path, then position), rows staying where they are.
 
@@ -46,7 +46,7 @@ def with_file_index(
     table are joined back. `line` names a second column: the row number inside
     the file. A row without its block (the scan was split differently the
     second time) stops the query instead of getting a wrong number. With
-    `record_bytes` (size of a record and its separator) the records of a file
+    `record_bytes` (size of a record and its `separator` bytes) the records of a file
     that was split must add up to the file, or the query stops.
     """
     located = locate(df)
@@ -59,8 +59,8 @@ def with_file_index(
     )
     whole_file = Window.partitionBy("_file")
     surplus = F.sum("_bytes").over(whole_file) - F.col("_file_size")
-    # The last record of a file may lack its separator of two bytes.
-    tiled = F.lit(True) if record_bytes is None else (F.count(F.lit(1)).over(whole_file) == 1) | surplus.isin(0, 2)
+    # The last record of a file may lack its separator.
+    tiled = F.lit(True) if record_bytes is None else (F.count(F.lit(1)).over(whole_file) == 1) | surplus.isin(0, separator)
     in_order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(

@@ -191,7 +191,7 @@ def read_tagged_text(
     else:
         records = spark.read.option("lineSep", newline * 2).text(paths)
         size = F.octet_length("value") + 2 * len(newline)
-        blocks = with_file_index(records, "_block_no", record_bytes=size if newline == "\n" else None)
+        blocks = with_file_index(records, "_block_no", record_bytes=size, separator=2 * len(newline))
     blank = rf"\r?\n{tx.SPACE_CLASS}*\r?\n|^{tx.SPACE_CLASS}*\r?\n"
     mapping = label_literal(label_map)
     # A single plain character splits without a regular expression.
