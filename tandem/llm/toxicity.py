@@ -24,9 +24,10 @@ from tandem.llm.positions import terms_of
 BITS = 18
 #: Labelled texts that a model is learned from, at most.
 SAMPLE_ROWS = 20_000
-LEARNERS = 8
-ROUNDS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 3.0, 0.1
+LEARNERS = 4
+ROUNDS = 8
+SCALE = 100.0
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
 
 
 class _Hashes(dict):
@@ -112,7 +113,8 @@ def _learner(state, turn: int):  # noqa: ANN001, ANN202
             x = np.frombuffer(slots[i], np.int32)
             w = _weights(z[x], n[x])
             w[-1] = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2)
-            g = _sigmoid(w.sum()) - label[i]
+            value = np.append(np.full(len(x) - 1, np.sqrt(SCALE / len(x))), 1.0)
+            g = (_sigmoid(w @ value) - label[i]) * value
             rate = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
             z[x] += g - rate * w
             n[x] += g * g
@@ -134,9 +136,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             found = []
             for text in texts(batch.column(text_col)):
-                slots = features(text, hashes)
-                slots = np.unique(slots[weights[slots] != 0])
-                found.append(_sigmoid(weights[slots].sum()))
+                slots = np.unique(features(text, hashes))
+                w = weights[slots]
+                found.append(_sigmoid(w[:-1].sum() * np.sqrt(SCALE / len(slots)) + w[-1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
