@@ -127,8 +127,8 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with score, the model's probability of label 1; null texts count as empty."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`docs` with the model's probability of label 1 in `score_col`, a new name; null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 slots = np.unique(features(text, hashes))
                 w = weights[slots]
                 found.append(_sigmoid(w[:-1].sum() * np.sqrt(SCALE / len(slots)) + w[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{score_col}` double")
