@@ -1,8 +1,8 @@
 """Token-id files with Elias-Fano coded document boundaries.
 
 A data set is a folder of shards in the order of the documents. A shard has two
-files: `.ids`, its token ids as little-endian unsigned 32-bit integers one
-after another, and `.idx`, an Elias-Fano code of the document boundaries (0,
+files: `.ids`, its token ids as little-endian unsigned integers one after
+another (16 bits wide if the vocabulary allows it, else 32), and `.idx`, an Elias-Fano code of the document boundaries (0,
 the end of the first document, ...) with the document ids. The offset of a
 document is one select on the code, in about 2 + log2(mean length) bits a
 document; no table of 64-bit offsets is kept or built.
@@ -14,10 +14,14 @@ system of its address, by the executors themselves.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +31,22 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tandem.llm.common import stored, texts
 from tandem.llm.elias_fano import EliasFano, encode
 
-#: Tokens of a shard, about: 64 MB of ids.
+#: Tokens of a shard, about.
 SHARD_TOKENS = 16_000_000
-#: Units of text whose ids a worker remembers.
-KNOWN_UNITS = 600_000
+#: Parts and pieces of texts whose ids a worker remembers.
+KNOWN_PARTS, KNOWN_PIECES = 500_000, 1_000_000
 END_ID = 0
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the ids of repeated units remembered.
+    """Ids of whole texts by the tokenizers library, with the ids of repeated pieces remembered.
 
-    A text may be cut before a single space between two characters that are not
-    white space: the pre-tokenizer always begins a new piece there, and merges
-    don't cross pieces. So a text's ids are those of its units, one after the
-    other. A text with other white space around a space is encoded in larger
-    units, down to the whole text.
+    Merges don't cross the pieces that the pre-tokenizer cuts, so a text may be
+    encoded in parts where it always cuts: before a single space between two
+    characters that are not white space, before and after a single line end
+    between two such characters, and after a run of letters. Parts that other
+    white space touches are encoded together with their neighbours.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,43 +54,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        # The narrowest width that holds all ids.
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.units(text) for text in batch]
-        if len(self.known) > KNOWN_UNITS:
-            self.known.clear()
-        new = list({u for units in cut for u in units if u not in self.known})
-        extra = {}
-        if new:
-            for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, "<u4").tobytes()
-                # Long units are unlikely to come again.
-                (self.known if len(unit) <= 64 else extra)[unit] = ids
-        get = lambda u: self.known[u] if u in self.known else extra[u]
-        return [b"".join(map(get if extra else self.known.__getitem__, units)) for units in cut]
-
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if any(s in text for s in self.special):
-            return [text]
-        parts = text.split(" ")
-        units = [parts[0], *(" " + p for p in parts[1:])]
-        if all(map(_clean, parts)):
-            return units
-        # A unit that begins or ends with white space, or is empty, stays with its neighbours.
-        joined, open_ = [units[0]], not _ends_clean(parts[0])
-        for unit, part in zip(units[1:], parts[1:], strict=True):
+        """Ids of each text as little-endian integers of the encoder's width."""
+        cut = [text.split(" ") for text in batch]
+        seen: set[str] = set()
+        for parts in cut:
+            seen.update(parts)
+        new = [p for p in seen if p not in self.parts]
+        unclean = {p for p in new if not _clean(p)}
+        plans = {p: _pieces(" ", p) for p in new if p not in unclean}
+        # Texts that are not a row of clean parts have pieces of their own.
+        own = {}
+        for i, (text, parts) in enumerate(zip(batch, cut, strict=True)):
+            if any(x in text for x in self.special):
+                own[i] = (text,)
+            elif unclean and not unclean.isdisjoint(parts):
+                own[i] = self._odd(text, parts)
+        heads = [() if i in own else _pieces("", parts[0]) for i, parts in enumerate(cut)]
+        self._learn(chain(chain.from_iterable(plans.values()), chain.from_iterable(heads), chain.from_iterable(own.values())))
+        get = self.pieces.__getitem__
+        for p, found in plans.items():
+            self.parts[p] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        known = self.parts.__getitem__
+        out = []
+        for i, parts in enumerate(cut):
+            if i in own:
+                out.append(b"".join(map(get, own[i])))
+            else:
+                del parts[0]
+                out.append(b"".join(chain(map(get, heads[i]), map(known, parts))))
+        if len(self.parts) > KNOWN_PARTS:
+            self.parts.clear()
+        if len(self.pieces) > KNOWN_PIECES:
+            self.pieces.clear()
+        return out
+
+    def _learn(self, wanted: Iterable[str]) -> None:
+        new = [x for x in set(wanted) if x not in self.pieces]
+        code = "H" if self.kind == "<u2" else "I"
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = array(code, found.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                self.pieces[piece] = ids.tobytes()
+
+    @staticmethod
+    def _odd(text: str, parts: list[str]) -> list[str]:
+        """Pieces of a text with other white space around a space: parts that it touches stay together."""
+        joined, open_ = [parts[0]], not _ends_clean(parts[0])
+        for part in parts[1:]:
             if open_ or not _begins_clean(part):
-                joined[-1] += unit
+                joined[-1] += " " + part
             else:
-                joined.append(unit)
+                joined.append(" " + part)
             open_ = not _ends_clean(part)
         return joined
 
 
+def _pieces(space: str, part: str) -> tuple[str, ...] | list[str]:
+    """A clean part, after a space or none, cut at its single line ends and after the letters that begin a line."""
+    if part.isalpha():
+        return (space + part,)
+    if part[:-1].isalpha():
+        return space + part[:-1], part[-1]
+    lines = part.split("\n")
+    if not all(map(_clean, lines)):
+        return (space + part,)
+    found = []
+    for line in lines:
+        letters = _LETTERS.match(line)
+        end = letters.end() if letters else 0
+        if 0 < end < len(line):
+            found += [space + line[:end], line[end:], "\n"]
+        else:
+            found += [space + line, "\n"]
+        space = ""
+    return found[:-1]
+
+
 def _begins_clean(part: str) -> bool:
     return part != "" and not part[0].isspace()
 
@@ -124,14 +177,14 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
 
         known, ids, found, size, n = encoder(vocabulary), [], [], 0, 0
         part = TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], known.kind).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
                 for doc, body in zip(some.column(0).to_pylist(), known.encode(texts(some.column(1))), strict=True):
                     ids.append(doc)
                     found.append(body + end)
-                    size += len(found[-1]) // 4
+                    size += len(found[-1]) // len(end)
                     if size >= SHARD_TOKENS:
                         yield shard(part, n, ids, found)
                         ids, found, size, n = [], [], 0, n + 1
@@ -140,9 +193,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
 
     def shard(part: int, n: int, ids: list, found: list[bytes]) -> pa.RecordBatch:
         name = f"{part:06d}-{n:04d}"
-        ends = np.cumsum([len(x) // 4 for x in found])
+        width = 2 if encoder(vocabulary).kind == "<u2" else 4
+        ends = np.cumsum([len(x) // width for x in found])
         _put(folder, f"{name}.ids", b"".join(found))
-        _put(folder, f"{name}.idx", _index(np.r_[0, ends], ids, kind))
+        _put(folder, f"{name}.idx", _index(np.r_[0, ends], ids, kind, width))
         row = [[name], [str(ids[0])], [len(ids)], [int(ends[-1])]]
         return pa.RecordBatch.from_arrays(
             [pa.array(x, t) for x, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
@@ -154,13 +208,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     return stored(ordered.mapInArrow(run, "part string, first_id string, n_docs bigint, n_tokens bigint"), "manifest")
 
 
-def _index(bounds: np.ndarray, ids: list, kind: str) -> bytes:
+def _index(bounds: np.ndarray, ids: list, kind: str, width: int) -> bytes:
     code = encode(bounds)
     sink = pa.BufferOutputStream()
     column = pa.array(ids, pa.int64() if kind == "bigint" else pa.string())
     with pa.ipc.new_stream(sink, pa.schema([("id", column.type)])) as writer:
         writer.write_batch(pa.RecordBatch.from_arrays([column], names=["id"]))
-    return struct.pack("<Q", len(code)) + code + sink.getvalue().to_pybytes()
+    return struct.pack("<QQ", width, len(code)) + code + sink.getvalue().to_pybytes()
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -183,10 +237,10 @@ class Shard:
 
     def __init__(self, folder: str, name: str) -> None:
         index = _get(folder, f"{name}.idx")
-        (size,) = struct.unpack_from("<Q", index)
-        self.bounds = EliasFano(index[8 : 8 + size])
-        self.ids = pa.ipc.open_stream(index[8 + size :]).read_all().column(0)
-        self.tokens = np.frombuffer(_get(folder, f"{name}.ids"), "<u4")
+        width, size = struct.unpack_from("<QQ", index)
+        self.bounds = EliasFano(index[16 : 16 + size])
+        self.ids = pa.ipc.open_stream(index[16 + size :]).read_all().column(0)
+        self.tokens = np.frombuffer(_get(folder, f"{name}.ids"), f"<u{width}")
 
     def offsets(self, document: np.ndarray) -> np.ndarray:
         """Where documents, given by their number in the shard, begin."""
@@ -211,7 +265,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_type: str = "
             for row in batch.to_pylist():
                 shard = Shard(folder, row["part"])
                 bounds = shard.offsets(np.arange(len(shard.ids) + 1))
-                sums = [zlib.crc32(shard.tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                sums = [zlib.crc32(shard.tokens[a:b].astype("<u4")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         shard.ids.combine_chunks(),
