@@ -14,6 +14,7 @@ system of its address, by the executors themselves.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import sys
@@ -34,7 +35,7 @@ from tandem.llm.elias_fano import EliasFano, encode
 #: Tokens of a shard, about.
 SHARD_TOKENS = 16_000_000
 #: Parts and pieces of texts whose ids a worker remembers.
-KNOWN_PARTS, KNOWN_PIECES = 500_000, 1_000_000
+KNOWN_PARTS, KNOWN_PIECES = 300_000, 1_500_000
 END_ID = 0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,6 +51,8 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs a task on each core; threads of the library's own would only compete.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
