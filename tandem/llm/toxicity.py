@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tandem.llm.common import stored, texts, uniform
@@ -25,7 +26,7 @@ BITS = 18
 #: Labelled texts that a model is learned from, at most.
 SAMPLE_ROWS = 20_000
 LEARNERS = 4
-ROUNDS = 8
+ROUNDS, PASSES = 8, 1
 SCALE = 100.0
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
 
@@ -60,6 +61,15 @@ class Model:
         return out
 
 
+def _packed(slots: np.ndarray) -> bytes:
+    """Ascending slots by their gaps, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(slots, prepend=0).astype(np.uint32).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32), dtype=np.int64)
+
+
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     shrunk = np.sign(z) * np.maximum(np.abs(z) - L1, 0)
     return -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
@@ -79,10 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            found = [np.unique(features(t, hashes)).astype(np.int32) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "label", "slots"]
-            )
+            found = [_packed(np.unique(features(t, hashes))) for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["id", "label", "slots"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     sample = stored(rows.select("id", "text", "label").mapInArrow(slots, f"id {kind}, label int, slots binary"), "sample")
@@ -106,11 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _learner(state, turn: int):  # noqa: ANN001, ANN202
     def run(part: pa.Table) -> pa.Table:
         z, n = (x.copy() for x in state.value)
-        # Another order each round, the same in every run.
-        order = np.argsort([xxhash.xxh64_intdigest(f"{turn}|{i}|{len(s)}") for i, s in zip(part.column("id").to_pylist(), part.column("slots").to_pylist(), strict=True)], kind="stable")
-        label, slots = part.column("label").to_pylist(), part.column("slots").to_pylist()
-        for i in order.tolist():
-            x = np.frombuffer(slots[i], np.int32)
+        ids, label, slots = (part.column(c).to_pylist() for c in ("id", "label", "slots"))
+        # Another order each pass, the same in every run.
+        keys = [(str(i), xxhash.xxh64_intdigest(s)) for i, s in zip(ids, slots, strict=True)]
+        order = [i for k in range(PASSES) for i in sorted(range(len(ids)), key=lambda i: xxhash.xxh64_intdigest(f"{turn}|{k}|{keys[i]}"))]
+        for i in order:
+            x = _unpacked(slots[i])
             w = _weights(z[x], n[x])
             w[-1] = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA + L2)
             value = np.append(np.full(len(x) - 1, np.sqrt(SCALE / len(x))), 1.0)
