@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,6 +33,16 @@ def uniform(seed: str, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+#: What a worker process keeps from task to task, by owner, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def release(owner: str) -> None:
+    """Let go of what other operators keep in this worker process; called where a task begins."""
+    for name in [x for x in HELD if x != owner]:
+        HELD.pop(name)()
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Whole texts of an Arrow column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

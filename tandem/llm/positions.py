@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import stored, texts
+from tandem.llm.common import release, stored, texts
 
 BLOCK_WORDS = 1_000_000
 #: Words of queries that go to the executors in one broadcast: 16 MB.
@@ -40,7 +40,7 @@ class Hashes(dict):
     """Term to its hash, remembered."""
 
     def __missing__(self, term: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[term] = value = xxhash.xxh64_intdigest(term)
         return value
@@ -50,6 +50,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Index rows of all documents. Null texts have no words; documents without words are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("positions")
         hashes, ids, found, size = Hashes(), [], [], 0
         for batch in batches:
             for i, text in enumerate(texts(batch.column(1))):

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import stored, texts, words_of
+from tandem.llm.common import release, stored, texts, words_of
 from tandem.llm.components import components
 
 SHARD_ROWS = 8192
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("simhash")
         for batch in batches:
             found = b"".join(fingerprint(t, shingle, seed, wide) for t in texts(batch.column(1)))
             halves = np.frombuffer(found, ">u8").astype(np.uint64).view(np.int64).reshape(-1, 1 + wide)

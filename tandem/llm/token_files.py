@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tandem.llm.common import stored, texts
+from tandem.llm.common import HELD, stored, texts
 from tandem.llm.elias_fano import EliasFano, encode
 
 #: Tokens of a shard, about.
@@ -161,6 +161,7 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    HELD["token_files"] = _ENCODERS.clear
     return _ENCODERS[path]
 
 

@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.common import stored, texts, uniform
+from tandem.llm.common import release, stored, texts, uniform
 from tandem.llm.positions import terms_of
 
 BITS = 18
@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh32_intdigest(word)
         return value
@@ -87,6 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("toxicity")
         hashes = _Hashes()
         for batch in batches:
             found = [_packed(np.unique(features(t, hashes))) for t in texts(batch.column(1))]
@@ -141,6 +142,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("toxicity")
         weights, hashes = Model(*shared.value).dense(), _Hashes()
         for batch in batches:
             found = []
