@@ -65,7 +65,10 @@ def head_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """Add `split`: the first `n` rows in key order are dev, the rest train.
 
     Only the key at position n-1 is looked up; the rows themselves do not move.
+    With n of 0 or less every row is train; with n above the number of rows, dev.
     """
+    if n <= 0:
+        return df.withColumn("split", F.lit("train"))
     last = slice_rows(df.select(key), key, n - 1, n).agg(F.max(key)).scalar()
     return df.withColumn("split", F.when(last.isNull() | (F.col(key) <= last), "dev").otherwise("train"))
 

@@ -48,3 +48,9 @@ def test_choose_target(spark):
     assert lb.choose_target(df, "AROUSAL", ("valence", "arousal")).first().target == 3.0
     with pytest.raises(ValueError):
         lb.choose_target(df, "dominance", ("valence", "arousal"))
+
+
+def test_head_of_no_rows_is_all_train(spark):
+    df = spark.range(5)
+    assert {r.split for r in splits.head_n(df, "id", 0).collect()} == {"train"}
+    assert {r.split for r in splits.head_n(df, "id", 9).collect()} == {"dev"}
