@@ -1,3 +1,39 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from tandem.llm.licenses import KNOWN, LINES, RULES
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NAMES = ", ".join(f"'{name}'" for name in KNOWN.values())
+_TEXTS = ", ".join(f"'{text}'" for text in KNOWN)
+_RUNS = ", ".join(f"array_to_string(parts[i:i + {k}], ' ')" for k in range(LINES))
+_HELD = ", ".join(
+    f"CASE WHEN regexp_matches(line, '{',.*,'.join(rule).join([',', ','])}') THEN '{name}' END" for name, rule in RULES
+)
+
+SQL: dict[str, str] = {
+    "op7_license_sentences": f"""
+WITH cut AS (
+  SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t]+', '\\1\n', 'g'), '[\r\n]+') AS lines
+  FROM documents
+), clean AS (
+  SELECT doc_id, list_filter(list_transform(lines,
+    lambda x: trim(regexp_replace(translate(x, '{_UPPER}', '{_UPPER.lower()}'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS parts
+  FROM cut
+), found AS (
+  SELECT doc_id, len(parts) AS n_sentences, row_number() OVER () AS r, parts FROM clean
+), places AS (
+  SELECT r, i, unnest([1, 2, 3]) AS k, unnest([{_RUNS}]) AS run
+  FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i FROM found)
+), firsts AS (
+  SELECT r, i, min(k) AS k, list_extract([{_NAMES}], list_position([{_TEXTS}], run)) AS name
+  FROM places WHERE list_contains([{_TEXTS}], run) GROUP BY r, i, run
+), lists AS (
+  SELECT r, string_agg(name, ',' ORDER BY i, k) AS sentences, ',' || string_agg(name, ',,' ORDER BY i, k) || ',' AS line
+  FROM firsts GROUP BY r
+)
+SELECT doc_id, n_sentences, coalesce(sentences, '') AS sentences,
+  coalesce((SELECT string_agg(name, ',' ORDER BY n) FROM (
+    SELECT name, min(n) AS n FROM (SELECT unnest([{_HELD}]) AS name, unnest(range({len(RULES)})) AS n) WHERE name IS NOT NULL GROUP BY name)), '') AS licenses
+FROM found LEFT JOIN lists USING (r)
+""",
+}
