@@ -136,8 +136,8 @@ def running_start(counts: Column, base: int) -> Column:
 def hashed_bag(words: Column, width: int) -> Column:
     """Signed hashed bag of words (ARRAY<STRING> in): item j counts the words hashed to j, up or down.
 
-    The first three hex digits of a word's md5 give bucket and sign. Each
-    distinct word of an Arrow batch is hashed once.
+    The first 60 bits of a word's md5 give bucket (56 bits, so any width is
+    filled) and sign. Each distinct word of an Arrow batch is hashed once.
     """
 
     @F.arrow_udf(VECTOR)
@@ -145,7 +145,7 @@ def hashed_bag(words: Column, width: int) -> Column:
         ws = _one_array(ws)
         n = row_lengths(ws)
         coded = ws.flatten().dictionary_encode()
-        digits = (hashlib.md5(w.encode()).hexdigest()[:3] for w in coded.dictionary.to_pylist())
+        digits = (hashlib.md5(w.encode()).hexdigest()[:15] for w in coded.dictionary.to_pylist())
         code = np.fromiter((int(d, 16) for d in digits), np.int64, len(coded.dictionary))
         code = code[coded.indices.to_numpy(zero_copy_only=False)] if len(code) else code
         cell = np.repeat(np.arange(len(n)), n) * width + (code >> 4) % width

@@ -19,13 +19,14 @@ def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
 
 
 def accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    return df.agg(F.avg((F.col(gold) == F.col(pred)).cast("double")).alias("value"))
+    """Share of the rows whose prediction is right; a NULL prediction is a wrong one."""
+    return df.agg(F.avg(F.coalesce(F.col(gold) == F.col(pred), F.lit(False)).cast("double")).alias("value"))
 
 
 def f1_micro(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Micro F1: hits, false alarms and misses summed over the classes."""
+    """Micro F1: hits, false alarms and misses summed over the classes; a NULL prediction counts as wrong."""
     hit = F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0))
-    off = F.sum(F.when(F.col("gold") != F.col("pred"), F.col("n")).otherwise(0))
+    off = F.sum(F.when(F.col("gold") == F.col("pred"), 0).otherwise(F.col("n")))
     return confusion(df, gold, pred).agg(hit.alias("tp"), off.alias("fp"), off.alias("fn")).select(_f1().alias("value"))
 
 
@@ -170,7 +171,7 @@ def _pair_ends(near: Column) -> Column:
 
 
 def _kind(tag: Column) -> Column:
-    return F.substring(tag, 3, 1 << 20)
+    return F.substr(tag, F.lit(3))
 
 
 def _continues(tag: Column, following: Column) -> Column:
@@ -259,10 +260,12 @@ def run_summary(runs: DataFrame, baseline: str, combo: str = "combo", score: str
 
 
 def progress_loss(batch_losses: DataFrame, n_batches: int | Column, parts: int = 10) -> DataFrame:
-    """Average loss of each full tenth of an epoch; batches are numbered from 1."""
+    """Average loss of each tenth of an epoch, with the number of its batches, numbered from 1.
+
+    Batches that fill no whole tenth are one more, shorter part.
+    """
     n = n_batches if isinstance(n_batches, Column) else F.lit(n_batches)
     step = F.greatest(F.floor(n / parts), F.lit(1).cast("bigint"))
-    per_part = batch_losses.groupBy(F.floor((F.col("batch") - 1) / step).alias("part"), step.alias("_step")).agg(
-        F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("_n")
+    return batch_losses.groupBy(F.floor((F.col("batch") - 1) / step).alias("part")).agg(
+        F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n")
     )
-    return per_part.where(F.col("_n") == F.col("_step")).select("part", "loss")

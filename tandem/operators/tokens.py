@@ -46,13 +46,14 @@ def tokenizer_counts(words: Column, tokenize: Callable[[Sequence[str]], list[int
     return apply(words)
 
 
-def word_starts(counts: Column, max_length: int, cls_first: bool = True) -> Column:
+def word_starts(counts: Column, max_length: int | None = None, cls_first: bool = True) -> Column:
     """Subword position at which each word starts, from the subword counts.
 
-    Starts at or past `max_length` are dropped, so the array may be shorter than
-    the list of words.
+    All words have a start. Only with a `max_length` are starts at or past it
+    dropped, and the array may then be shorter than the list of words.
     """
-    return F.filter(running_start(counts, 1 if cls_first else 0), lambda s: s < max_length)
+    starts = running_start(counts, 1 if cls_first else 0)
+    return starts if max_length is None else F.filter(starts, lambda s: s < max_length)
 
 
 def explode_words(df: DataFrame, words: str = "words", *aligned: str) -> DataFrame:

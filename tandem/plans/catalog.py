@@ -187,8 +187,7 @@ def prj_sentence_type(spark, sf):
 
 @query
 def flt_nonempty(spark, sf):
-    second = F.split_part("text", F.lit("\n"), F.lit(2))
-    d = inp.docs(spark, sf).select("sent_id", second.alias("text"))
+    d = inp.docs(spark, sf).select("sent_id", F.explode(F.split("text", "\n")).alias("text"))
     return d.where(lb.nonempty(F.col("text")))
 
 
@@ -399,7 +398,7 @@ def batch_plan(spark, sf):
 @query
 def batch_pad_words(spark, sf):
     w = inp.word_vectors(spark, sf)
-    # A sentence has at most MAX_LENGTH words.
+    # One group is one sentence.
     per = w.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "vec"))).alias("v"))
     vectors = per.select("sent_id", F.transform("v", lambda x: x["vec"].cast("array<double>")).alias("vectors"))
     padded = batching.pad_words(_batched(vectors, "sent_id", 4), ENC_C[1])
@@ -440,7 +439,7 @@ def tok_word_starts(spark, sf):
     d = inp.doc_words(spark, sf).drop("split")
     counts = tokens.rule_counts(F.col("words"))
     starts = d.select("sent_id", "words", counts.alias("counts")).withColumn(
-        "starts", tokens.word_starts(F.col("counts"), inp.MAX_LENGTH)
+        "starts", tokens.word_starts(F.col("counts"))
     )
     return tokens.explode_words(starts.drop("counts"), "words", "starts").where(F.col("starts").isNotNull()).select(
         "sent_id", F.col("word_pos").cast("bigint").alias("word_pos"), "word", F.col("starts").alias("start")
@@ -842,7 +841,7 @@ def fit_tagger(spark, sf):
     words = inp.word_vectors(spark, sf).join(inp.word_tags(spark, sf), ["sent_id", "word_pos"])
     # Each sentence counts once, whatever its number of words.
     sizes = inp.turn_words(spark, sf).select("sent_id", F.size("starts").alias("n_words"))
-    rows = words.join(sizes, "sent_id").withColumn("id", F.col("sent_id") * inp.MAX_LENGTH + F.col("word_pos"))
+    rows = words.join(sizes, "sent_id").withColumn("id", F.xxhash64("sent_id", "word_pos"))
     table = tr.training_table(rows, "id", F.col("tag_id"), ["vec"], 1 / F.col("n_words"))
     result = tr.fit(table, tr.HeadSpec([ENC_C[1]], len(TAGS)), epochs=3, learning_rate=0.05)
     return result.score(table).select("id", F.col("y").alias("gold"), F.col("pred").cast("double").alias("pred"))

@@ -15,7 +15,6 @@ LANGS = numbered("de,en,es,fr")
 TAGS = bio("PER ORG LOC MISC")
 EVENTS = numbered("click,error,purchase,signup,view")
 CLASSES = {f"class_{i}": i for i in range(10)}
-MAX_LENGTH = 512
 TURN_SPAN = 1_000_000
 
 # Encoders: slices of the stored vectors, start and width.
@@ -191,7 +190,7 @@ def turn_words(spark: SparkSession, sf: str) -> DataFrame:
     t = spread(turns(spark, sf).select("sent_id", "text"), "sent_id")
     t = t.withColumn("words", tokens.words(F.col("text")))
     t = t.withColumn("counts", tokens.rule_counts(F.col("words")))
-    return t.withColumn("starts", tokens.word_starts(F.col("counts"), MAX_LENGTH))
+    return t.withColumn("starts", tokens.word_starts(F.col("counts")))
 
 
 def word_starts(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +205,7 @@ def subwords(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_C) -> Dat
     e = table(spark, sf, "embeddings")
     n_vecs = e.agg(F.count(F.lit(1))).scalar()
     total = F.aggregate("counts", F.lit(0), lambda a, x: a + x) + 2
-    s = turn_words(spark, sf).select("sent_id", F.least(total, F.lit(MAX_LENGTH)).alias("total"))
+    s = turn_words(spark, sf).select("sent_id", total.alias("total"))
     padded = (F.ceil(F.col("total") / 8) * 8).cast("int")
     rows = s.select(
         "sent_id", "total", F.explode(F.sequence(F.lit(0), padded - 1)).alias("subword_pos")

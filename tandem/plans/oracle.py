@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources import registry as rg
-from .inputs import CLASSES, EVENTS, LANGS, MAX_LENGTH, TAGS, TURN_SPAN
+from .inputs import CLASSES, EVENTS, LANGS, TAGS, TURN_SPAN
 
 # --- building blocks -----------------------------------------------------
 
@@ -119,13 +119,13 @@ BATCHES = "batches AS (SELECT sent_id, (row_number() OVER (ORDER BY sent_id) - 1
 TURN_WORDS = f"{TURNS}, turn_words AS ({word_rows('turns', 'sent_id')})"
 STARTS = TURN_WORDS + f""", counted AS (SELECT *, ceil(length(word) / 4.0)::BIGINT AS n FROM turn_words),
   all_starts AS (SELECT *, 1 + coalesce(sum(n) OVER (PARTITION BY sent_id ORDER BY word_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM counted),
-  starts AS (SELECT sent_id, word_pos, word, start::BIGINT AS start FROM all_starts WHERE start < {MAX_LENGTH})"""
+  starts AS (SELECT sent_id, word_pos, word, start::BIGINT AS start FROM all_starts)"""
 
 
 def subwords(start: int, width: int, name: str = "subwords") -> str:
     return f"""{name} AS (SELECT s.sent_id, s.subword_pos, s.subword_pos >= s.total AS is_pad, e.embedding[{start + 1}:{start + width}]::DOUBLE[] AS vec
   FROM (SELECT sent_id, total, unnest(range(0, (ceil(total / 8.0) * 8)::BIGINT)) AS subword_pos
-        FROM (SELECT t.sent_id, least(coalesce(sum(n), 0) + 2, {MAX_LENGTH})::BIGINT AS total FROM turns t LEFT JOIN counted c USING (sent_id) GROUP BY t.sent_id)) s
+        FROM (SELECT t.sent_id, (coalesce(sum(n), 0) + 2)::BIGINT AS total FROM turns t LEFT JOIN counted c USING (sent_id) GROUP BY t.sent_id)) s
   JOIN embeddings e ON e.vec_id = (s.sent_id * 7 + s.subword_pos) % (SELECT count(*) FROM embeddings))"""
 
 
@@ -209,7 +209,7 @@ SQL: dict[str, str] = {
     "prj_pair_columns": f"WITH {PAIRS} SELECT sent_id, {FLAT} AS text, replace(text_pair, chr(10), ' ') AS text_pair, label FROM pairs",
     "prj_sentence_type": f"""WITH {LEFT_PAIRS} SELECT sent_id, CASE WHEN text_pair IS NULL THEN 'single-sentence' ELSE 'sentence-pair' END AS by_number,
         CASE WHEN text_pair IS NULL THEN 'single-sentence' ELSE 'sentence-pair' END AS sentence_type FROM pairs""",
-    "flt_nonempty": "SELECT doc_id AS sent_id, split_part(text, chr(10), 2) AS text FROM documents WHERE split_part(text, chr(10), 2) <> ''",
+    "flt_nonempty": "SELECT * FROM (SELECT doc_id AS sent_id, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE text <> ''",
     "lbl_encode": f"""SELECT doc_id AS sent_id, CASE doc_id % 7 WHEN 0 THEN lang WHEN 1 THEN (doc_id % 4)::VARCHAR WHEN 2 THEN '1.0' WHEN 3 THEN 'nan'
         WHEN 4 THEN 'unknown' WHEN 5 THEN '1_' || (doc_id % 4) ELSE '1d' END AS label_raw,
         CASE doc_id % 7 WHEN 0 THEN {LANG_ID} WHEN 1 THEN doc_id % 4 WHEN 5 THEN 10 + doc_id % 4 ELSE -1 END AS label FROM documents""",
@@ -266,8 +266,8 @@ SQL: dict[str, str] = {
         FROM doc_words GROUP BY word""",
     "tok_word_starts": f"""WITH {DOC_WORDS}, s AS (SELECT *, 1 + coalesce(sum(ceil(length(word) / 4.0)::BIGINT)
         OVER (PARTITION BY sent_id ORDER BY word_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM doc_words)
-        SELECT sent_id, word_pos, word, start::BIGINT AS start FROM s WHERE start < {MAX_LENGTH}""",
-    "emb_hash_encode": f"""WITH {DOC_WORDS}, coded AS (SELECT sent_id, ('0x' || substr(md5(word), 1, 3))::INT AS c FROM doc_words),
+        SELECT sent_id, word_pos, word, start::BIGINT AS start FROM s""",
+    "emb_hash_encode": f"""WITH {DOC_WORDS}, coded AS (SELECT sent_id, ('0x' || substr(md5(word), 1, 15))::BIGINT AS c FROM doc_words),
         sums AS (SELECT sent_id, (c >> 4) % 16 AS j, sum(CASE WHEN c % 2 = 0 THEN 1 ELSE -1 END) AS v FROM coded GROUP BY 1, 2),
         grid AS (SELECT sent_id, unnest(range(0, 16)) AS j FROM docs)
         SELECT sent_id, j, coalesce(v, 0)::DOUBLE AS value FROM grid LEFT JOIN sums USING (sent_id, j)""",
@@ -356,8 +356,8 @@ SQL: dict[str, str] = {
         SELECT combo, count(*) AS runs, {r6('avg(score)')} AS mean, {r6('stddev_samp(score)')} AS deviation,
         {r6("avg(score) - (SELECT avg(score) FROM runs WHERE combo = 'click')")} AS gain FROM runs GROUP BY combo""",
     "rpt_progress_loss": f"""WITH {BATCH_LOSS}, sized AS (SELECT batch_id, loss, greatest(1, (SELECT count(*) FROM losses) // 10) AS step FROM losses),
-        parts AS (SELECT batch_id // step AS part, avg(loss) AS loss, count(*) AS n, any_value(step) AS step FROM sized GROUP BY 1)
-        SELECT part, {r6('loss')} AS loss FROM parts WHERE n = step""",
+        parts AS (SELECT batch_id // step AS part, avg(loss) AS loss FROM sized GROUP BY 1)
+        SELECT part, {r6('loss')} AS loss FROM parts""",
     # training
     "fit_lr_schedule": f"""WITH {PLAN}, s AS (SELECT unnest(range(0, training_steps)) AS step, training_steps AS t, warmup_steps AS w FROM plan)
         SELECT step, {r6('20 * CASE WHEN step < w THEN step / greatest(1, w)::DOUBLE ELSE greatest(0, (t - step) / greatest(1, t - w)::DOUBLE) END')} AS lr_millionths FROM s""",

@@ -27,6 +27,12 @@ def test_small_known_values(spark):
     assert value(mt.matthews(df)) == pytest.approx(-1 / 3)
 
 
+def test_missing_prediction_is_wrong(spark):
+    df = table(spark, [1, 1], [1, None], "bigint")
+    assert value(mt.accuracy(df)) == 0.5
+    assert value(mt.f1_micro(df)) == 0.5
+
+
 def test_single_class_has_no_correlation(spark):
     assert value(mt.matthews(table(spark, [1, 1], [1, 1], "bigint"))) == 0.0
     assert value(mt.pearson(table(spark, [1.0, 2.0], [3.0, 3.0]))) is None
@@ -102,6 +108,7 @@ def test_evaluate_keeps_the_order_and_checks_names(spark):
 def test_progress_and_summary(spark, rows):
     losses = spark.createDataFrame([(i, float(i)) for i in range(1, 26)], "batch int, loss double")
     got = rows(mt.progress_loss(losses, 25))
-    assert got[0] == (0, 1.5) and len(got) == 12
+    # The last batch fills no part of two and is a part of its own.
+    assert got[0] == (0, 1.5, 2) and got[12] == (12, 25.0, 1) and len(got) == 13
     runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "combo string, score double")
     assert rows(mt.run_summary(runs, "a"), "combo", "mean", "gain") == [("a", 2.0, 0.0), ("b", 5.0, 3.0)]

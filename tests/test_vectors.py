@@ -110,3 +110,14 @@ def test_pooling(spark, rows):
     assert rows(embed.pool(s, "word-level", starts=starts, keep_special_tokens=True)) == [(1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0])]
     with pytest.raises(ValueError):
         embed.pool(s, "max")
+
+
+def test_hashed_bag_fills_wide_vectors(spark):
+    vec = spark.range(1).select(vx.hashed_bag(F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda k: k.cast("string")), 1024).alias("v")).first().v
+    assert len(vec) == 1024 and all(any(vec[i : i + 64]) for i in range(0, 1024, 64))
+
+
+def test_word_starts_have_no_limit_of_their_own(spark):
+    counts = F.array_repeat(F.lit(1), 2000)
+    starts = spark.range(1).select(tokens.word_starts(counts).alias("s")).first().s
+    assert starts == list(range(1, 2001))
