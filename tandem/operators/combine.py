@@ -38,17 +38,28 @@ def check_method(method: str, n_encoders: int) -> str:
     return "none" if n_encoders == 1 else method
 
 
-def align(tables: Sequence[DataFrame], key: str = "sent_id", vec: str = "vec") -> DataFrame:
-    """One row per sentence with vec_1 … vec_n: inner equi-joins on the same key.
+def align(tables: Sequence[DataFrame], key: str = "sent_id", vec: str = "vec", drop_missing: bool = False) -> DataFrame:
+    """One row per sentence with vec_1 … vec_n: equi-joins on the same key.
 
-    Tables bucketed by the key (see `sources.sink.write_bucketed`) join without
-    a shuffle; otherwise each table is shuffled once, as all joins share the key.
+    A sentence that one of the tables lacks stops the query; `drop_missing`
+    leaves such sentences out. Tables bucketed by the key (see
+    `sources.sink.write_bucketed`) join without a shuffle; otherwise each table
+    is shuffled once, as all joins share the key.
     """
     renamed = [
         t.select(key, F.col(vec).alias(f"vec_{i}"), *[c for c in t.columns if i == 1 and c not in (key, vec)])
         for i, t in enumerate(tables, 1)
     ]
-    return reduce(lambda a, b: a.join(b, key), renamed)
+    if drop_missing or len(renamed) == 1:
+        return reduce(lambda a, b: a.join(b, key), renamed)
+    there = [F.col(f"_in_{i}") for i in range(len(renamed))]
+    marked = [t.withColumn(f"_in_{i}", F.lit(True)) for i, t in enumerate(renamed)]
+    joined = reduce(lambda a, b: a.join(b, key, "full"), marked)
+    lacking = F.concat(F.lit("an encoder has no vector of sentence "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in there])
+    return joined.where(F.when(complete, F.lit(True)).otherwise(F.raise_error(lacking).cast("boolean"))).drop(
+        *[f"_in_{i}" for i in range(len(renamed))]
+    )
 
 
 def project(vec: Column, weight, bias) -> Column:

@@ -8,29 +8,25 @@ from operator import and_
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import small
-from .order import slice_rows
-
-SALTS = 64
-
+from .order import range_buckets, slice_rows
 
 def first_n_keys(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """(label, key) of the first `n` rows of each label, in key order.
+    """(label, key) of the first `n` rows of each label, in the order of a numeric key.
 
-    Two rounds, because one label may hold most of the rows: each label is
-    first cut by input partition into up to 64 groups, then the survivors of
-    those groups (at most 64 * n per label) are ranked again. Only the two key
-    columns move.
+    One label may hold most of the rows, so no label is sorted as a whole: rows
+    are counted by label and range bucket, running totals tell which buckets
+    begin before position `n`, and only rows of those are ranked, each in its
+    bucket. The plan is the same for every `n`; only the two key columns move.
     """
-    keys = df.select(label, key).withColumn("_salt", F.spark_partition_id() % SALTS)
-    first = Window.partitionBy(label, "_salt").orderBy(key)
-    last = Window.partitionBy(label).orderBy(key)
-    return (
-        keys.withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(last))
-        .where(F.col("_rank") <= n)
-        .select(label, key)
-    )
+    bucket = [label, "_cell", "_sub"]
+    placed = range_buckets(df.select(label, key), key)
+    counts = placed.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(label).orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).where(F.col("_before") < n)
+    same = reduce(and_, (F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in bucket))
+    touched = placed.alias("p").join(before.alias("b"), same).select("p.*", "_before")
+    ranked = touched.withColumn("_rank", F.row_number().over(Window.partitionBy(*bucket).orderBy(key)))
+    return ranked.where((F.col("_rank") <= n) & (F.col("_before") + F.col("_rank") <= n)).select(label, key)
 
 
 def first_n_per_label(df: DataFrame, label: str, key: str, n: int, max_labels: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import batching, combine, embed, heads, labels as lb, metrics a
 from ..session import scratch_path, spread
 from ..sources import registry as rg, sink, text as src
 from . import inputs as inp, train as tr
-from .inputs import ENC_A, ENC_B, ENC_C, LANGS, TAGS, r6
+from .inputs import ENC_A, ENC_ALL, ENC_B, ENC_L, ENC_R, LANGS, TAGS, r6
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,11 +115,11 @@ def sink_roundtrip(spark, sf):
 
 @query
 def sink_head_params(spark, sf):
-    fitted = _fit(spark, sf, (ENC_A,), outputs=10, epochs=1)
+    fitted = _fit(spark, sf, (ENC_ALL,), outputs=10, epochs=1)
     path = scratch_path(spark, "params")
     sink.save_params(spark, fitted.params, path)
     loaded = sink.load_params(spark, path, {n: a.shape for n, a in fitted.params.items()})
-    scored = heads.with_prediction(inp.encoder(spark, sf, ENC_A), loaded["dec_w"], loaded["dec_b"])
+    scored = heads.with_prediction(inp.encoder(spark, sf, ENC_ALL), loaded["dec_w"], loaded["dec_b"])
     return scored.select("sent_id", "label", "pred")
 
 
@@ -130,15 +130,16 @@ def corpus_registry(spark, sf):
     classes = corpora.select(
         "corpus", "task", "label_column", "text_column", F.coalesce("pair_column", F.lit(-1)).alias("pair_column"), "header",
         F.get("metrics", F.lit(0)).alias("main_metric"), F.size("label_map").alias("n_labels"),
-        F.explode("label_map").alias("l"),
+        F.explode_outer("label_map").alias("l"),
     )
     # Each document falls in one class of every corpus: counted by id once, then looked up.
     hits = inp.docs(spark, sf).select(
         F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n_labels"), "sent_id"
     ).groupBy("n_labels", (F.col("sent_id") % F.col("n_labels")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    # Corpora without classes and classes without documents stay.
     return classes.select("*", F.col("l.label").alias("label"), F.col("l.id").alias("id")).drop("l").join(
-        hits, ["n_labels", "id"]
-    ).select(
+        hits, ["n_labels", "id"], "left"
+    ).fillna(0, ["n"]).select(
         "corpus", "task", *[F.col(c).cast("bigint").alias(c) for c in ("label_column", "text_column", "pair_column")],
         "header", "main_metric", "label", "id", "n",
     )
@@ -268,9 +269,8 @@ def prj_sep_join(spark, sf):
 @query
 def prj_zip_pairs(spark, sf):
     p = inp.pairs(spark, sf)
-    first, second = F.split("text", "\n"), F.split("text_pair", "\n")
-    n = F.least(F.size(first), F.size(second))
-    zipped = lb.zip_pairs(F.slice(first, 1, n), F.slice(second, 1, n))
+    # The shorter side has no partner for the last lines of the longer one.
+    zipped = lb.zip_pairs(F.split("text", "\n"), F.split("text_pair", "\n"))
     return ax.explode_once(p, ["sent_id"], zipped, "pos", "x").select(
         "sent_id", F.col("pos").cast("bigint").alias("pos"), F.col("x.text").alias("text"), F.col("x.text_pair").alias("text_pair")
     )
@@ -401,10 +401,10 @@ def batch_pad_words(spark, sf):
     # One group is one sentence.
     per = w.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "vec"))).alias("v"))
     vectors = per.select("sent_id", F.transform("v", lambda x: x["vec"].cast("array<double>")).alias("vectors"))
-    padded = batching.pad_words(_batched(vectors, "sent_id", 4), ENC_C[1])
+    padded = batching.pad_words(_batched(vectors, "sent_id", 4), ENC_ALL[1])
     return ax.explode_once(padded, ["sent_id", "batch_id"], "vectors", "word_pos", "v").select(
         "sent_id", "batch_id", F.col("word_pos").cast("bigint").alias("word_pos"),
-        r6(F.get("v", F.lit(0))).alias("v0"), r6(F.get("v", F.lit(ENC_C[1] - 1))).alias("v15"),
+        _fixed(F.col("v")).alias("items"),
     )
 
 
@@ -482,21 +482,23 @@ def pool_cls(spark, sf):
 def pool_mean(spark, sf):
     s = inp.subwords(spark, sf)
     parts = [
-        embed.pool(s, "mean", width=ENC_C[1], include_pad=pad).withColumn("include_pad", F.lit(pad)) for pad in (True, False)
+        embed.pool(s, "mean", width=ENC_ALL[1], include_pad=pad).withColumn("include_pad", F.lit(pad)) for pad in (True, False)
     ]
     return components(parts[0].unionByName(parts[1]), "vec", "include_pad", "sent_id")
 
 
-def _ends(df: DataFrame, vec: str, *keep: str) -> DataFrame:
-    return df.select(
-        *keep, F.col("word_pos").cast("bigint").alias("word_pos"),
-        r6(F.get(vec, F.lit(0)).cast("double")).alias("v0"), r6(F.get(vec, F.lit(ENC_C[1] - 1)).cast("double")).alias("v15"),
-    )
+def _fixed(vec: Column) -> Column:
+    """All items of a vector as one text, in ten-thousandths."""
+    return listed(F.transform(vec, lambda v: F.round(v.cast("double") * 10000).cast("bigint")))
+
+
+def _word_items(df: DataFrame, vec: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.col("word_pos").cast("bigint").alias("word_pos"), _fixed(F.col(vec)).alias("items"))
 
 
 @query
 def pool_word_first(spark, sf):
-    return _ends(embed.pool(inp.subwords(spark, sf), "word-level", starts=inp.word_starts(spark, sf)), "vec", "sent_id")
+    return _word_items(embed.pool(inp.subwords(spark, sf), "word-level", starts=inp.word_starts(spark, sf)), "vec", "sent_id")
 
 
 @query
@@ -504,12 +506,12 @@ def pool_word_with_cls(spark, sf):
     pooled = embed.pool(
         inp.subwords(spark, sf), "word-level", starts=inp.word_starts(spark, sf), keep_special_tokens=True
     )
-    return _ends(pooled, "vec", "sent_id")
+    return _word_items(pooled, "vec", "sent_id")
 
 
 @query
 def emb_width_check(spark, sf):
-    return embed.width_check({n: inp.encoder(spark, sf, e) for n, e in (("A", ENC_A), ("B", ENC_B), ("C", ENC_C))})
+    return embed.width_check({n: inp.encoder(spark, sf, e) for n, e in (("all", ENC_ALL), ("left", ENC_L), ("right", ENC_R))})
 
 
 # --- combining -----------------------------------------------------------
@@ -517,15 +519,14 @@ def emb_width_check(spark, sf):
 
 @query
 def cmb_align(spark, sf):
-    a = inp.aligned(spark, sf, ENC_A, ENC_B, ENC_C)
-    ends = [r6(F.get(f"vec_{i}", F.lit(0)).cast("double")).alias(f"first_{i}") for i in (1, 2, 3)]
-    return a.select("sent_id", "label", *ends)
+    a = inp.aligned(spark, sf, ENC_ALL, ENC_L, ENC_R)
+    return a.select("sent_id", "label", *[_fixed(F.col(f"vec_{i}")).alias(f"items_{i}") for i in (1, 2, 3)])
 
 
 @query
 def cmb_project(spark, sf):
-    p = inp.dme_params((32, 16))
-    a = inp.aligned(spark, sf, ENC_A, ENC_C)
+    p = inp.dme_params((40, 24))
+    a = inp.aligned(spark, sf, ENC_L, ENC_R)
     parts = [
         a.select("sent_id", F.lit(i + 1).alias("encoder"), combine.project(F.col(f"vec_{i + 1}"), w, b).alias("vec"))
         for i, (w, b) in enumerate(p.projections)
@@ -535,20 +536,20 @@ def cmb_project(spark, sf):
 
 @query
 def cmb_layer_norm(spark, sf):
-    a = inp.encoder(spark, sf, ENC_A)
-    normed = combine.layer_norm(F.col("vec"), inp.attention(32), inp.biases(32))
+    a = inp.encoder(spark, sf, ENC_ALL)
+    normed = combine.layer_norm(F.col("vec"), inp.attention(64), inp.biases(64))
     return components(a.select("sent_id", normed.alias("vec")), "vec", "sent_id")
 
 
 @query
 def cmb_concat(spark, sf):
-    c = combine.combine(inp.aligned(spark, sf, ENC_A, ENC_C), ["vec_1", "vec_2"], "concat")
+    c = combine.combine(inp.aligned(spark, sf, ENC_L, ENC_R), ["vec_1", "vec_2"], "concat")
     return components(c, "vec", "sent_id")
 
 
 @query
 def cmb_mean(spark, sf):
-    c = combine.combine(inp.aligned(spark, sf, ENC_A, ENC_C), ["vec_1", "vec_2"], "mean", inp.dme_params((32, 16)))
+    c = combine.combine(inp.aligned(spark, sf, ENC_L, ENC_R), ["vec_1", "vec_2"], "mean", inp.dme_params((40, 24)))
     return components(c, "vec", "sent_id")
 
 
@@ -565,17 +566,17 @@ def cmb_dme_weights(spark, sf):
 
 @query
 def cmb_dme(spark, sf):
-    c = combine.combine(inp.aligned(spark, sf, ENC_A, ENC_C), ["vec_1", "vec_2"], "dme", inp.dme_params((32, 16), True))
+    c = combine.combine(inp.aligned(spark, sf, ENC_L, ENC_R), ["vec_1", "vec_2"], "dme", inp.dme_params((40, 24), True))
     return components(c, "vec", "sent_id")
 
 
 @query
 def cmb_dme_words(spark, sf):
     starts = inp.word_starts(spark, sf)
-    first, second = [embed.pool_word_first(starts, inp.subwords(spark, sf, d)) for d in inp.WORD_ENC]
+    first, second = [embed.pool_word_first(starts, inp.subwords(spark, sf, d)) for d in (ENC_A, ENC_B)]
     both = first.withColumnRenamed("vec", "vec_1").join(second.withColumnRenamed("vec", "vec_2"), ["sent_id", "word_pos"])
-    c = combine.combine(both, ["vec_1", "vec_2"], "dme", inp.dme_params((16, 16)))
-    return _ends(c.select("sent_id", "word_pos", "vec", *_shares(2)), "vec", "sent_id", "dme_1", "dme_2")
+    c = combine.combine(both, ["vec_1", "vec_2"], "dme", inp.dme_params())
+    return _word_items(c.select("sent_id", "word_pos", "vec", *_shares(2)), "vec", "sent_id", "dme_1", "dme_2")
 
 
 @query
@@ -587,11 +588,13 @@ def rpt_attention(spark, sf):
 
 # --- heads ---------------------------------------------------------------
 
-W10, B10 = inp.weights(10, 32, 3), inp.biases(10, 3)
+W10, B10 = inp.weights(10, 64, 3), inp.biases(10, 3)
+#: The head behind two encoders of width 32.
+W10_META = inp.weights(10, 32, 3)
 
 
 def _scored(spark, sf, *keep: str) -> DataFrame:
-    e = inp.encoder(spark, sf, ENC_A).withColumn("logits", heads.logits(F.col("vec"), W10, B10))
+    e = inp.encoder(spark, sf, ENC_ALL).withColumn("logits", heads.logits(F.col("vec"), W10, B10))
     return e.drop("vec")
 
 
@@ -613,13 +616,13 @@ def head_classify(spark, sf):
 
 @query
 def head_regress(spark, sf):
-    e = inp.encoder(spark, sf, ENC_A)
+    e = inp.encoder(spark, sf, ENC_ALL)
     return e.select("sent_id", r6(heads.regress(F.col("vec"), W10[0], B10[0])).alias("score"))
 
 
 def _tag_scores(spark, sf) -> DataFrame:
     v = inp.word_vectors(spark, sf)
-    w, b = inp.weights(len(TAGS), ENC_C[1], 3), inp.biases(len(TAGS), 3)
+    w, b = inp.weights(len(TAGS), ENC_ALL[1], 3), inp.biases(len(TAGS), 3)
     return v.select("sent_id", "word_pos", heads.logits(F.col("vec"), w, b).alias("logits")).withColumn(
         "pred", heads.classify(F.col("logits"))
     )
@@ -633,7 +636,7 @@ def head_tag_words(spark, sf):
 @query
 def head_classify_with_attention(spark, sf):
     a = inp.aligned(spark, sf)
-    s = heads.predict_with_attention(a, ["vec_1", "vec_2"], inp.dme_params(), W10, B10)
+    s = heads.predict_with_attention(a, ["vec_1", "vec_2"], inp.dme_params(), W10_META, B10)
     return s.select("sent_id", F.col("label").alias("gold"), "pred", *_shares(2))
 
 
@@ -641,7 +644,7 @@ def head_classify_with_attention(spark, sf):
 def rpt_predictions(spark, sf):
     texts = inp.docs(spark, sf).select("sent_id", "text")
     a = inp.aligned(spark, sf).join(texts, "sent_id")
-    s = heads.predict(a, ["vec_1", "vec_2"], "dme", inp.dme_params(), W10, B10)
+    s = heads.predict(a, ["vec_1", "vec_2"], "dme", inp.dme_params(), W10_META, B10)
     r = heads.prediction_report(s, inp.CLASSES)
     return r.select("sent_id", "text", *_shares(2), "prediction", "prediction_name")
 
@@ -665,7 +668,7 @@ def loss_cross_entropy(spark, sf):
 
 @query
 def loss_mse(spark, sf):
-    e = inp.encoder(spark, sf, ENC_A)
+    e = inp.encoder(spark, sf, ENC_ALL)
     rows = e.select("sent_id", heads.regress(F.col("vec"), W10[0], B10[0]).alias("score"), F.col("label").cast("double").alias("target"))
     return heads.loss_squared(_batched(rows, "sent_id")).select("batch_id", r6(F.col("loss")).alias("loss"))
 
@@ -795,7 +798,7 @@ def rpt_run_summary(spark, sf):
 @query
 def rpt_progress_loss(spark, sf):
     losses = _batch_losses(spark, sf).select((F.col("batch_id") + 1).alias("batch"), "loss")
-    n = inp.encoder(spark, sf, ENC_A).agg(F.ceil(F.count(F.lit(1)) / 16)).scalar()
+    n = inp.encoder(spark, sf, ENC_ALL).agg(F.ceil(F.count(F.lit(1)) / 16)).scalar()
     return mt.progress_loss(losses, n).select("part", r6(F.col("loss")).alias("loss"))
 
 
@@ -828,12 +831,12 @@ def _fit_predictions(spark, sf, result: tr.FitResult, encoders) -> DataFrame:
 
 @query
 def fit_classifier(spark, sf):
-    return _fit_predictions(spark, sf, _fit(spark, sf, (ENC_A,), 10), (ENC_A,))
+    return _fit_predictions(spark, sf, _fit(spark, sf, (ENC_ALL,), 10), (ENC_ALL,))
 
 
 @query
 def fit_regressor(spark, sf):
-    return _fit_predictions(spark, sf, _fit(spark, sf, (ENC_A,), 1), (ENC_A,))
+    return _fit_predictions(spark, sf, _fit(spark, sf, (ENC_ALL,), 1), (ENC_ALL,))
 
 
 @query
@@ -843,13 +846,13 @@ def fit_tagger(spark, sf):
     sizes = inp.turn_words(spark, sf).select("sent_id", F.size("starts").alias("n_words"))
     rows = words.join(sizes, "sent_id").withColumn("id", F.xxhash64("sent_id", "word_pos"))
     table = tr.training_table(rows, "id", F.col("tag_id"), ["vec"], 1 / F.col("n_words"))
-    result = tr.fit(table, tr.HeadSpec([ENC_C[1]], len(TAGS)), epochs=3, learning_rate=0.05)
+    result = tr.fit(table, tr.HeadSpec([ENC_ALL[1]], len(TAGS)), epochs=3, learning_rate=0.05)
     return result.score(table).select("id", F.col("y").alias("gold"), F.col("pred").cast("double").alias("pred"))
 
 
 @query
 def fit_dme(spark, sf):
-    encoders = (ENC_A, ENC_C)
+    encoders = (ENC_L, ENC_R)
     result = _fit(
         spark, sf, encoders, 10, "dme", layer_norm=True, dropout=0.1, learning_rate=[0.05, 0.02], decoder_learning_rate=0.05,
         use_linear_scheduler=True,

@@ -17,9 +17,10 @@ EVENTS = numbered("click,error,purchase,signup,view")
 CLASSES = {f"class_{i}": i for i in range(10)}
 TURN_SPAN = 1_000_000
 
-# Encoders: slices of the stored vectors, start and width.
-ENC_A, ENC_B, ENC_C = (0, 32), (32, 32), (0, 16)
-WORD_ENC = ((0, 16), (16, 16))
+# Encoders: the whole stored vector, or two that share it out in equal or unequal parts; start and width.
+ENC_ALL = (0, 64)
+ENC_A, ENC_B = (0, 32), (32, 32)
+ENC_L, ENC_R = (0, 40), (40, 24)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -197,7 +198,7 @@ def word_starts(spark: SparkSession, sf: str) -> DataFrame:
     return explode_once(turn_words(spark, sf), ["sent_id"], "starts", "word_pos", "start")
 
 
-def subwords(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_C) -> DataFrame:
+def subwords(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_ALL) -> DataFrame:
     """One row per subword of a turn: first and last are special, padded to a multiple of 8.
 
     Its vector is one of the stored vectors, picked by sentence and position.
@@ -216,7 +217,7 @@ def subwords(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_C) -> Dat
     )
 
 
-def word_vectors(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_C) -> DataFrame:
+def word_vectors(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_ALL) -> DataFrame:
     return embed.pool_word_first(word_starts(spark, sf), subwords(spark, sf, dims))
 
 

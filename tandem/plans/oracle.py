@@ -108,10 +108,10 @@ def dme(source: str, a_bias: float = 0.1, width: int = 32, keep: str = "sent_id,
     meta AS (SELECT {keep}, dme_1, dme_2, list_transform(range({width}), lambda k: dme_1 * p1[k + 1] + dme_2 * p2[k + 1]) AS vec FROM shares)"""
 
 
-ENCODERS = f"""encoders AS (SELECT vec_id AS sent_id, label::BIGINT AS label, {enc(0, 32)} AS a, {enc(32, 32)} AS b2, {enc(0, 16)} AS c FROM embeddings)"""
+ENCODERS = f"""encoders AS (SELECT vec_id AS sent_id, label::BIGINT AS label, {enc(0, 64)} AS v, {enc(0, 32)} AS a, {enc(32, 32)} AS b2, {enc(0, 40)} AS l, {enc(40, 24)} AS r FROM embeddings)"""
 PROJ_AB = f"{ENCODERS}, proj AS (SELECT sent_id, label, {linear('a', 32, 32, 0, 0)} AS p1, {linear('b2', 32, 32, 5, 1)} AS p2 FROM encoders)"
-PROJ_AC = f"{ENCODERS}, proj AS (SELECT sent_id, label, {linear('a', 32, 32, 0, 0)} AS p1, {linear('c', 32, 16, 5, 1)} AS p2 FROM encoders)"
-LOGITS = f"{ENCODERS}, logits AS (SELECT sent_id, label, {linear('a', 10, 32, 3, 3)} AS z FROM encoders)"
+PROJ_LR = f"{ENCODERS}, proj AS (SELECT sent_id, label, {linear('l', 40, 40, 0, 0)} AS p1, {linear('r', 40, 24, 5, 1)} AS p2 FROM encoders)"
+LOGITS = f"{ENCODERS}, logits AS (SELECT sent_id, label, {linear('v', 10, 64, 3, 3)} AS z FROM encoders)"
 FIRST_MAX = "(list_position({z}, list_max({z})) - 1)::BIGINT"
 LSE = "list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z)))))"
 BATCHES = "batches AS (SELECT sent_id, (row_number() OVER (ORDER BY sent_id) - 1) // {n} AS batch_id FROM {source})"
@@ -129,11 +129,16 @@ def subwords(start: int, width: int, name: str = "subwords") -> str:
   JOIN embeddings e ON e.vec_id = (s.sent_id * 7 + s.subword_pos) % (SELECT count(*) FROM embeddings))"""
 
 
-SUBWORDS = f"{STARTS}, {subwords(0, 16)}"
+SUBWORDS = f"{STARTS}, {subwords(0, 64)}"
 WORD_VECS = SUBWORDS + """, word_vecs AS (SELECT s.sent_id, s.word_pos, s.word, u.vec FROM starts s
   JOIN subwords u ON u.sent_id = s.sent_id AND u.subword_pos = s.start)"""
-TAG_SCORES = f"{WORD_VECS}, tag_scores AS (SELECT sent_id, word_pos, word, {linear('vec', len(TAGS), 16, 3, 3)} AS z, {TAG_ID('(' + GOLD + ')')} AS tag_id FROM word_vecs)"
-ENDS = f"{r6('vec[1]')} AS v0, {r6('vec[16]')} AS v15"
+TAG_SCORES = f"{WORD_VECS}, tag_scores AS (SELECT sent_id, word_pos, word, {linear('vec', len(TAGS), 64, 3, 3)} AS z, {TAG_ID('(' + GOLD + ')')} AS tag_id FROM word_vecs)"
+
+
+def fixed(vec: str, name: str = "items") -> str:
+    return f"array_to_string(list_transform({vec}, lambda v: round(v::DOUBLE * 10000)::BIGINT), ',') AS {name}"
+
+
 
 EVENT_PAIRS = f"""ep AS (SELECT event_type AS gold, CASE WHEN event_id % 3 = 0 THEN [{", ".join(f"'{e}'" for e in EVENTS)}][(event_id // 3) % 5 + 1]
   ELSE event_type END AS pred FROM events)"""
@@ -170,11 +175,13 @@ def dev_rows(n: int) -> str:
 def _registry_rows() -> str:
     rows = []
     for key, c in rg.CORPORA.items():
+        pair = -1 if c.pair is None else c.pair
+        fixed_part = f"'{key}', '{c.task}', {c.label}, {c.text}, {pair}, {str(c.header).lower()}, '{c.main_metric}'"
         for label, i in (c.label_map or {}).items():
-            pair = -1 if c.pair is None else c.pair
-            rows.append(
-                f"('{key}', '{c.task}', {c.label}, {c.text}, {pair}, {str(c.header).lower()}, '{c.main_metric}', '{label}', {i}, {len(c.label_map)})"
-            )
+            rows.append(f"({fixed_part}, '{label}', {i}, {len(c.label_map)})")
+        if not c.label_map:
+            # Regression: no classes, so no document falls in one.
+            rows.append(f"({fixed_part}, NULL, NULL, NULL)")
     return ", ".join(rows)
 
 
@@ -200,7 +207,7 @@ SQL: dict[str, str] = {
         label, {FLAT} AS text, trim(replace(text_pair, chr(10), ' ')) AS text_pair FROM pairs""",
     "corpus_registry": f"""WITH reg(corpus, task, label_column, text_column, pair_column, header, main_metric, label, id, k) AS (VALUES {_registry_rows()})
         SELECT corpus, task, label_column::BIGINT AS label_column, text_column::BIGINT AS text_column, pair_column::BIGINT AS pair_column,
-        header, main_metric, label, id::BIGINT AS id, count(*) AS n FROM reg JOIN documents ON doc_id % k = id GROUP BY ALL""",
+        header, main_metric, label, id::BIGINT AS id, count(doc_id) AS n FROM reg LEFT JOIN documents ON doc_id % k = id GROUP BY ALL""",
     "src_dev_variant": f"""WITH {PAIRS}, named AS (SELECT m.matched, CASE conv_id % 3 WHEN 0 THEN 'train' ELSE 'dev' END AS split,
         (conv_id % 3)::BIGINT AS label, {FLAT} AS text, replace(text_pair, chr(10), ' ') AS text_pair, conv_id % 3 AS part
         FROM pairs, (VALUES (true), (false)) m(matched))
@@ -222,7 +229,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT event_id, (event_id % 100)::DOUBLE, 'arousal' FROM events""",
     "prj_sep_join": f"WITH {LEFT_PAIRS} SELECT sent_id, CASE WHEN text_pair IS NULL THEN text ELSE text || ' SEP ' || text_pair END AS text FROM pairs",
     "prj_zip_pairs": f"""WITH {PAIRS}, cut AS (SELECT sent_id, string_split(text, chr(10)) AS x, string_split(text_pair, chr(10)) AS y FROM pairs),
-        grid AS (SELECT *, unnest(range(0, least(len(x), len(y)))) AS pos FROM cut)
+        grid AS (SELECT *, unnest(range(0, greatest(len(x), len(y)))) AS pos FROM cut)
         SELECT sent_id, pos, x[pos + 1] AS text, y[pos + 1] AS text_pair FROM grid""",
     "set_label_union": "SELECT 'document' AS label_raw, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark",
     # splits and order
@@ -258,7 +265,7 @@ SQL: dict[str, str] = {
     "batch_pad_words": f"""WITH {WORD_VECS}, per AS (SELECT sent_id, count(*) AS n FROM word_vecs GROUP BY sent_id),
         {BATCHES.format(n=4, source='per')}, sized AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS m FROM per JOIN batches USING (sent_id)),
         grid AS (SELECT sent_id, batch_id, unnest(range(0, m)) AS word_pos FROM sized)
-        SELECT sent_id, batch_id, word_pos, {r6('coalesce(vec[1], 0)')} AS v0, {r6('coalesce(vec[16], 0)')} AS v15
+        SELECT sent_id, batch_id, word_pos, {fixed('coalesce(vec, list_transform(range(64), lambda j: 0.0::DOUBLE))')}
         FROM grid LEFT JOIN word_vecs USING (sent_id, word_pos)""",
     # words and embeddings
     "tok_words": f"WITH {DOC_WORDS} SELECT sent_id, word_pos, word FROM doc_words",
@@ -280,32 +287,32 @@ SQL: dict[str, str] = {
         unnest(list_transform(vec, lambda v, j: {{'j': j, 'v': v}})) AS x FROM subwords))
         SELECT true AS include_pad, sent_id, j, {r6('avg(v)')} AS value FROM e GROUP BY sent_id, j
         UNION ALL SELECT false, sent_id, j, {r6('avg(v)')} FROM e WHERE NOT is_pad GROUP BY sent_id, j""",
-    "pool_word_first": f"WITH {WORD_VECS} SELECT sent_id, word_pos, {ENDS} FROM word_vecs",
-    "pool_word_with_cls": f"""WITH {WORD_VECS} SELECT sent_id, word_pos + 1 AS word_pos, {ENDS} FROM word_vecs
-        UNION ALL SELECT sent_id, 0, {ENDS} FROM subwords WHERE subword_pos = 0""",
-    "emb_width_check": """SELECT 'A' AS encoder, min(len(embedding[1:32])) AS min_width, max(len(embedding[1:32])) AS max_width, true AS even FROM embeddings
-        UNION ALL SELECT 'B', min(len(embedding[33:64])), max(len(embedding[33:64])), true FROM embeddings
-        UNION ALL SELECT 'C', min(len(embedding[1:16])), max(len(embedding[1:16])), true FROM embeddings""",
+    "pool_word_first": f"WITH {WORD_VECS} SELECT sent_id, word_pos, {fixed('vec')} FROM word_vecs",
+    "pool_word_with_cls": f"""WITH {WORD_VECS} SELECT sent_id, word_pos + 1 AS word_pos, {fixed('vec')} FROM word_vecs
+        UNION ALL SELECT sent_id, 0, {fixed('vec')} FROM subwords WHERE subword_pos = 0""",
+    "emb_width_check": """SELECT 'all' AS encoder, min(len(embedding[1:64])) AS min_width, max(len(embedding[1:64])) AS max_width, true AS even FROM embeddings
+        UNION ALL SELECT 'left', min(len(embedding[1:40])), max(len(embedding[1:40])), true FROM embeddings
+        UNION ALL SELECT 'right', min(len(embedding[41:64])), max(len(embedding[41:64])), true FROM embeddings""",
     # combining
-    "cmb_align": f"""WITH {ENCODERS} SELECT x.sent_id, x.label, {r6('x.a[1]')} AS first_1, {r6('y.b2[1]')} AS first_2, {r6('z.c[1]')} AS first_3
+    "cmb_align": f"""WITH {ENCODERS} SELECT x.sent_id, x.label, {fixed('x.v', 'items_1')}, {fixed('y.l', 'items_2')}, {fixed('z.r', 'items_3')}
         FROM encoders x JOIN encoders y USING (sent_id) JOIN encoders z USING (sent_id)""",
-    "cmb_project": f"""WITH {PROJ_AC}, two AS (SELECT 1 AS encoder, sent_id, p1 AS vec FROM proj UNION ALL SELECT 2, sent_id, p2 FROM proj)
+    "cmb_project": f"""WITH {PROJ_LR}, two AS (SELECT 1 AS encoder, sent_id, p1 AS vec FROM proj UNION ALL SELECT 2, sent_id, p2 FROM proj)
         {items('two', 'vec', 'encoder, sent_id')}""",
-    "cmb_layer_norm": f"""WITH {ENCODERS}, n AS (SELECT sent_id, {norm('a', 32)} AS u FROM encoders),
-        s AS (SELECT sent_id, list_transform(range(32), lambda k: u[k + 1] * ((k * 7) % 11 - 5) / 10.0::DOUBLE + ((k * 5) % 7 - 3) / 10.0::DOUBLE) AS vec FROM n)
+    "cmb_layer_norm": f"""WITH {ENCODERS}, n AS (SELECT sent_id, {norm('v', 64)} AS u FROM encoders),
+        s AS (SELECT sent_id, list_transform(range(64), lambda k: u[k + 1] * ((k * 7) % 11 - 5) / 10.0::DOUBLE + ((k * 5) % 7 - 3) / 10.0::DOUBLE) AS vec FROM n)
         {items('s', 'vec', 'sent_id')}""",
-    "cmb_concat": f"WITH {ENCODERS} {items('encoders', 'list_concat(a, c)', 'sent_id')}",
-    "cmb_mean": f"""WITH {PROJ_AC}, m AS (SELECT sent_id, list_transform(range(32), lambda k: (p1[k + 1] + p2[k + 1]) / 2) AS vec FROM proj)
+    "cmb_concat": f"WITH {ENCODERS} {items('encoders', 'list_concat(l, r)', 'sent_id')}",
+    "cmb_mean": f"""WITH {PROJ_LR}, m AS (SELECT sent_id, list_transform(range(40), lambda k: (p1[k + 1] + p2[k + 1]) / 2) AS vec FROM proj)
         {items('m', 'vec', 'sent_id')}""",
     "cmb_dme_weights": f"""WITH {ENCODERS}, raw AS (SELECT sent_id, label, a AS p1, b2 AS p2 FROM encoders), {dme('raw')}
         SELECT sent_id, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2 FROM meta""",
-    "cmb_dme": f"""WITH {PROJ_AC}, normed AS (SELECT sent_id, label, {norm('p1', 32)} AS p1, {norm('p2', 32)} AS p2 FROM proj), {dme('normed')}
+    "cmb_dme": f"""WITH {PROJ_LR}, normed AS (SELECT sent_id, label, {norm('p1', 40)} AS p1, {norm('p2', 40)} AS p2 FROM proj), {dme('normed', width=40)}
         {items('meta', 'vec', 'sent_id')}""",
-    "cmb_dme_words": f"""WITH {STARTS}, {subwords(0, 16, 's1')}, {subwords(16, 16, 's2')},
-        proj AS (SELECT s.sent_id, s.word_pos, {linear('s1.vec', 16, 16, 0, 0)} AS p1, {linear('s2.vec', 16, 16, 5, 1)} AS p2 FROM starts s
+    "cmb_dme_words": f"""WITH {STARTS}, {subwords(0, 32, 's1')}, {subwords(32, 32, 's2')},
+        proj AS (SELECT s.sent_id, s.word_pos, {linear('s1.vec', 32, 32, 0, 0)} AS p1, {linear('s2.vec', 32, 32, 5, 1)} AS p2 FROM starts s
           JOIN s1 ON s1.sent_id = s.sent_id AND s1.subword_pos = s.start JOIN s2 ON s2.sent_id = s.sent_id AND s2.subword_pos = s.start),
-        {dme('proj', width=16, keep='sent_id, word_pos')}
-        SELECT sent_id, word_pos, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2, {ENDS} FROM meta""",
+        {dme('proj', keep='sent_id, word_pos')}
+        SELECT sent_id, word_pos, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2, {fixed('vec')} FROM meta""",
     "rpt_attention": f"""WITH {PROJ_AB}, {dme('proj')} SELECT label, {r6('avg(dme_1)')} AS dme_1, {r6('avg(dme_2)')} AS dme_2, count(*) AS n FROM meta GROUP BY label""",
     # heads
     "head_logits": f"WITH {LOGITS} {items('logits', 'z', 'sent_id')}",

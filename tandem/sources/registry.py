@@ -166,13 +166,14 @@ def load_corpus(
     label_type: str = "valence",
     evaluate_on_matched: bool = True,
     dev_label: int | None = None,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """Sentences of a prepared corpus under `base_path`, all splits in one table.
 
     `label_type` picks the target of a corpus with several; `evaluate_on_matched`
     picks the dev file where there are two; `dev_label` is the label position in
-    the dev file, if it differs.
+    the dev file, if it differs. Rows with a problem stop the query; with
+    `strict=False` they are left out.
     """
     spec = CORPORA[corpus]
     path = f"{base_path.rstrip('/')}/{spec.folder}"
@@ -184,7 +185,8 @@ def load_corpus(
             spark, [f"{path}/{f}" for f in files.values()], spec.label_map, spec.text, spec.label, spec.delimiter,
             with_file=True,
         )
-        return src.tagged_good_rows(df.withColumn("split", src.split_of("_file", files)).drop("_file"))
+        checked = (src.tagged_strict_rows if strict else src.tagged_good_rows)(df)
+        return checked.withColumn("split", src.split_of("_file", files)).drop("_file")
     label = target_position(spec, label_type)
     read = lambda names, position: src.read_corpus_dir(
         spark, path, position, spec.text, spec.task, spec.pair, spec.header, spec.label_map, names, strict
@@ -210,8 +212,8 @@ def target_position(spec: CorpusSpec, label_type: str) -> int:
 # [text_pair], [targets] and split, ready for sink.write_labeled_text.
 
 
-def convert_isear(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    return _first_n("isear", src.read_quoted(spark, path, {"label_raw": 0, "text": 1}, width, index="sent_id"))
+def convert_isear(spark: SparkSession, path: str, width: int = 2, strict: bool = True) -> DataFrame:
+    return _first_n("isear", src.read_quoted(spark, path, {"label_raw": 0, "text": 1}, width, index="sent_id"), strict)
 
 
 def convert_questions(spark: SparkSession, train: str, dev: str) -> DataFrame:
@@ -220,9 +222,9 @@ def convert_questions(spark: SparkSession, train: str, dev: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-def convert_sick(spark: SparkSession, path: str, width: int = 12) -> DataFrame:
+def convert_sick(spark: SparkSession, path: str, width: int = 12, strict: bool = True) -> DataFrame:
     columns = {"label_raw": 3, "text": 1, "text_pair": 2}
-    return _first_n("sick", src.read_quoted(spark, path, columns, width, sep="\t", index="sent_id"))
+    return _first_n("sick", src.read_quoted(spark, path, columns, width, sep="\t", index="sent_id"), strict)
 
 
 def convert_clickbait(spark: SparkSession, clickbait: str, other: str, seed: int = 0) -> DataFrame:
@@ -236,13 +238,13 @@ def convert_clickbait(spark: SparkSession, clickbait: str, other: str, seed: int
     return shuffle_rows(_first_n("clickbait", rows), seed)
 
 
-def convert_emotion_stimulus(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
+def convert_emotion_stimulus(spark: SparkSession, path: str, seed: int = 0, strict: bool = True) -> DataFrame:
     lines = src.read_lines(spark, path)
     stripped = src.tx.strip(F.col("value"))
     rows = lines.select(
         F.col("idx").alias("sent_id"), lb.inline_tag(stripped).alias("label_raw"), lb.without_tags(stripped).alias("text")
-    ).where(F.col("label_raw").isNotNull())
-    return shuffle_rows(_first_n("emotion_stimulus", rows), seed)
+    )
+    return shuffle_rows(_first_n("emotion_stimulus", rows, strict), seed)
 
 
 def convert_emobank(spark: SparkSession, path: str) -> DataFrame:
@@ -262,8 +264,14 @@ def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
     return with_epoch_order(df, "sent_id", epoch=2, seed=seed)
 
 
-def _first_n(corpus: str, rows: DataFrame) -> DataFrame:
+def _first_n(corpus: str, rows: DataFrame, strict: bool = True) -> DataFrame:
+    """Dev and train of a corpus; a label that it doesn't know stops the query, or is left out."""
     spec = CORPORA[corpus]
     values = ["label_raw", "text"] + (["text_pair"] if spec.pair is not None else [])
-    known = rows.where(F.col("label_raw").isin(*spec.label_map))
-    return sp.head_split(known, "label_raw", "sent_id", values, DEV_PER_LABEL[corpus], len(spec.label_map))
+    known = F.coalesce(F.col("label_raw").isin(*spec.label_map), F.lit(False))
+    if strict:
+        problem = F.raise_error(F.concat(F.lit(f"{corpus}: label "), F.coalesce("label_raw", F.lit("missing")), F.lit(" is not known")))
+        rows = rows.withColumn("label_raw", F.when(known, F.col("label_raw")).otherwise(problem))
+    else:
+        rows = rows.where(known)
+    return sp.head_split(rows, "label_raw", "sent_id", values, DEV_PER_LABEL[corpus], len(spec.label_map))

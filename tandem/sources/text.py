@@ -84,9 +84,13 @@ def read_labeled_text(
     sentence_pair_column: int | None = None,
     skip_header: bool = True,
     label_map: Mapping[str, int] | None = None,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
-    """Tab-separated labelled text as canonical sentence rows; `sent_id` follows the file order."""
+    """Tab-separated labelled text as canonical sentence rows; `sent_id` follows the file order.
+
+    A row with a problem stops the query; with `strict=False` it is left out
+    (`bad_rows(parse_lines(...))` gives those rows with their reason).
+    """
     parsed = parse_lines(
         spark, paths, label_column, sentence_column, task, sentence_pair_column, skip_header, label_map
     )
@@ -113,12 +117,12 @@ def read_corpus_dir(
     skip_header: bool = True,
     label_map: Mapping[str, int] | None = None,
     files: Mapping[str, str] | None = None,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """All splits of a corpus folder in one plan, with `split` taken from the file.
 
     `files` maps split -> file name; the default is train.csv, dev.csv and, if
-    it is there, test.csv.
+    it is there, test.csv. `strict` as in `read_labeled_text`.
     """
     files = dict(files or {"train": "train.csv", "dev": "dev.csv", "test": "test.csv"})
     base = path.rstrip("/")
@@ -142,24 +146,20 @@ def read_corpus_dir(
 
 
 def split_of(path: str, files: Mapping[str, str]) -> Column:
-    """Split name whose file name is in the path."""
+    """Split whose name is that of the file, or of the folder it lies in."""
+    parts = F.split(path, "/")
+    file, folder = F.get(parts, F.size(parts) - 1), F.get(parts, F.size(parts) - 2)
     result = F.lit(None).cast("string")
     for split, name in files.items():
-        result = F.when(F.contains(F.col(path), F.lit(f"/{name.split('/')[-1]}")), split).otherwise(result)
+        last = name.split("/")[-1]
+        result = F.when((file == last) | (folder == last), split).otherwise(result)
     return result
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, on whatever file system the path names."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.format("binaryFile").load(path).inputFiles()
-        return True
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def read_tagged_text(
@@ -248,6 +248,12 @@ def tagged_good_rows(sentences: DataFrame) -> DataFrame:
     return sentences.where(~_tag_problem())
 
 
+def tagged_strict_rows(sentences: DataFrame) -> DataFrame:
+    """All sentences; one with a word that is missing or a tag outside the label map stops the query."""
+    problem = F.raise_error(F.concat(F.lit("missing word or unknown tag in sentence "), F.col("sent_id").cast("string")))
+    return sentences.withColumn("words", F.when(_tag_problem(), problem).otherwise(F.col("words")))
+
+
 def tagged_bad_rows(sentences: DataFrame) -> DataFrame:
     return sentences.where(_tag_problem())
 

@@ -195,3 +195,32 @@ def test_params_round_trip(spark, tmp_path):
     sink.save_params(spark, params, str(tmp_path / "p"))
     back = sink.load_params(spark, str(tmp_path / "p"), {"w": (2, 3), "b": (2,)})
     assert all((back[k] == params[k]).all() for k in params)
+
+
+def test_readers_stop_at_a_bad_row_unless_told_to_leave_it_out(spark, tmp_path):
+    path = tmp_path / "one.tsv"
+    path.write_text("yes\tgood\nwhat\tbad\n")
+    with pytest.raises(Exception, match="label not understood"):
+        src.read_labeled_text(spark, str(path), 0, 1, "Sentence classification", skip_header=False, label_map=MAP).collect()
+    kept = src.read_labeled_text(spark, str(path), 0, 1, "Sentence classification", skip_header=False, label_map=MAP, strict=False)
+    assert [r.text for r in kept.collect()] == ["good"]
+
+
+def test_an_unknown_tag_stops_the_strict_form(spark, tmp_path):
+    path = tmp_path / "tags.txt"
+    path.write_text("a X Y O\n\nb X Y B-NEW\n")
+    df = src.read_tagged_text(spark, str(path), {"O": 0})
+    with pytest.raises(Exception, match="unknown tag in sentence"):
+        src.tagged_strict_rows(df).collect()
+    assert src.tagged_good_rows(df).count() == 1
+
+
+def test_split_is_read_from_the_file_or_its_folder(spark):
+    files = {"train": "train.csv", "dev": "dev.csv"}
+    paths = ["/train.csv/x/dev.csv", "/a/train.csv/part-0", "/a/old-train.csv", "/a/train.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", src.split_of("p", files).alias("s"))
+    assert {r.p: r.s for r in df.collect()} == dict(zip(paths, ["dev", "train", None, "train"]))
+
+
+def test_existence_is_asked_of_the_file_system(spark, tmp_path):
+    assert src.exists(spark, str(tmp_path)) and not src.exists(spark, str(tmp_path / "none"))

@@ -54,3 +54,17 @@ def test_head_of_no_rows_is_all_train(spark):
     df = spark.range(5)
     assert {r.split for r in splits.head_n(df, "id", 0).collect()} == {"train"}
     assert {r.split for r in splits.head_n(df, "id", 9).collect()} == {"dev"}
+
+
+@pytest.mark.parametrize("n", [1, 999, 1001, 2000])
+def test_first_n_of_a_label_with_most_rows(spark, n):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 50 == 7, "rare").when(F.col("id") % 50 == 8, None).otherwise("hot").alias("label"))
+    got = {(r.label, r.id) for r in splits.first_n_keys(df.repartition(7), "label", "id", n).collect()}
+    want = set()
+    for label, keys in {
+        "rare": [i for i in range(5000) if i % 50 == 7],
+        None: [i for i in range(5000) if i % 50 == 8],
+        "hot": [i for i in range(5000) if i % 50 not in (7, 8)],
+    }.items():
+        want |= {(label, i) for i in keys[:n]}
+    assert got == want

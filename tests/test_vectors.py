@@ -121,3 +121,11 @@ def test_word_starts_have_no_limit_of_their_own(spark):
     counts = F.array_repeat(F.lit(1), 2000)
     starts = spark.range(1).select(tokens.word_starts(counts).alias("s")).first().s
     assert starts == list(range(1, 2001))
+
+
+def test_a_sentence_without_a_vector_stops_the_alignment(spark):
+    one, two = (spark.createDataFrame([(i, [1.0]) for i in ids], "sent_id bigint, vec array<double>") for ids in ([1, 2], [2, 3]))
+    with pytest.raises(Exception, match="no vector of sentence"):
+        cb.align([one, two]).collect()
+    assert [r.sent_id for r in cb.align([one, two], drop_missing=True).collect()] == [2]
+    assert cb.align([one, one.where("false")], drop_missing=True).count() == 0
