@@ -28,8 +28,6 @@ from tandem.llm.components import components
 SHARD_ROWS = 8192
 #: Tree searches of one numpy step: bounds the frontier of (query, node) pairs.
 FRONTIER = 4_000_000
-#: Wide prints: shards take two of eight blocks of a word up to so many rows, three beyond.
-PAIR_ROWS = 1 << 26
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -80,9 +78,10 @@ def component_ids(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, wi
 
     Equal fingerprints are linked, so copies are collapsed before any search.
     Null ids are a component's smallest only where it has no other. Of 64 bits
-    all links are found. Wide prints share a shard when two (three) of eight
-    blocks of either half agree: links of up to 16 differing bits of 128 are found
-    nearly always, and rarer the farther apart they are.
+    all links are found. Wide prints share a shard when two of eight blocks of
+    either half agree, whatever the number of rows: links of up to 16 differing bits
+    of 128 are found nearly always, and rarer the farther apart they are. Only a
+    shard of more than SHARD_ROWS is cut by further blocks.
     """
     firsts = prints.groupBy("fp").agg(F.min(id_col).alias("_first"), F.min("fp2").alias("fp2"))
     firsts = stored(firsts, "fingerprints")
@@ -96,11 +95,10 @@ def component_ids(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, wi
 
 def links(prints: DataFrame, radius: int, wide: bool = False) -> DataFrame:
     """(fp, near): links whose components are those of all pairs within `radius` bits that share a shard."""
-    taken = 2 if not wide or prints.count() <= PAIR_ROWS else 3
     masks: dict[int, tuple[int, int]] = {0: (0, 0)}
     rows, found = prints, []
     while True:
-        masks = _finer(masks, 8 if wide else radius + 2, taken, wide)
+        masks = _finer(masks, 8 if wide else radius + 2, wide)
         rows = stored(_crowded(_sharded(rows, masks)), "shards")
         found.append(_search(rows.where(F.col("n") <= SHARD_ROWS), radius))
         rows = rows.where(F.col("n") > SHARD_ROWS).select("shard_of", "fp", "fp2")
@@ -114,15 +112,15 @@ def links(prints: DataFrame, radius: int, wide: bool = False) -> DataFrame:
     return result
 
 
-def _finer(masks: dict[int, tuple[int, int]], blocks: int, taken: int, wide: bool) -> dict[int, tuple[int, int]]:
-    """Masks one level deeper: for each mask, those that fix `taken` more of so many blocks of a half's free bits."""
+def _finer(masks: dict[int, tuple[int, int]], blocks: int, wide: bool) -> dict[int, tuple[int, int]]:
+    """Masks one level deeper: for each mask, those that fix two more of so many blocks of a half's free bits."""
     finer = {}
     for of, both in masks.items():
         k = 0
         for half in range(1 + wide):
             free = [b for b in range(64) if not both[half] >> b & 1]
             cut = [sum(1 << b for b in free[i::blocks]) for i in range(blocks)]
-            for chosen in combinations(cut, taken):
+            for chosen in combinations(cut, 2):
                 k += 1
                 more = both[half] | sum(chosen)
                 finer[of * 200 + k] = (more, both[1]) if half == 0 else (both[0], more)
