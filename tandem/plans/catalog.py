@@ -291,13 +291,13 @@ DEV_N = 30
 @query
 def split_first_n_per_label(spark, sf):
     d = inp.docs(spark, sf).select("sent_id", "label_raw")
-    return splits.first_n_per_label(d, "label_raw", "sent_id", DEV_N, len(LANGS))
+    return splits.first_n_per_label(d, "label_raw", "sent_id", DEV_N)
 
 
 @query
 def split_train_antijoin(spark, sf):
     d = inp.docs(spark, sf).select("sent_id", "label_raw", "text")
-    return splits.head_split(d, "label_raw", "sent_id", ["label_raw", "text"], DEV_N, len(LANGS)).select("sent_id", "split")
+    return splits.head_split(d, "label_raw", "sent_id", ["label_raw", "text"], DEV_N).select("sent_id", "split")
 
 
 @query
