@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tandem.llm import mixing, positions, simhash, token_files, toxicity
+from tandem.llm import jaccard, mixing, positions, simhash, token_files, toxicity
 from tandem.llm.common import WORD, stored, table
+from tandem.llm.components import components
 from tandem.llm.queries import WINDOW, toxicity_model, vocabulary
 from tandem.session import scratch_path, ship_package, small
 
 TOXIC = 0.5
 #: Near copies: five-word shingles of Jaccard similarity 0.8 differ in about 19 of
 #: the 128 bits, with a deviation of 4; the distance of unrelated texts is 64.
-SHINGLE, NEAR_BITS = 5, 22
+#: Such prints only make candidates; a link is a similarity of NEAR or more.
+SHINGLE, NEAR_BITS, NEAR = 5, 22, 0.8
 
 
 def _hash() -> Column:
@@ -34,11 +36,33 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, score_col="_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(key, component_id) of each row: key is (doc_id, h), component_id the smallest key linked with it.
+
+    Components of the fingerprints are candidates. All pairs of different texts
+    of a candidate group are compared by their shingle sets.
+    """
     keyed = docs.select(F.struct("doc_id", _hash().alias("h")).alias("key"), "text")
     prints = stored(simhash.fingerprints(keyed, "key", shingle=SHINGLE, wide=True), "prints")
-    grouped = stored(simhash.component_ids(prints, "key", NEAR_BITS, wide=True).select("key", "component_id"), "groups")
+    near = simhash.component_ids(prints, "key", NEAR_BITS, wide=True)
+    rows = stored(near.select("key", F.col("key.h").alias("h"), F.xxhash64("component_id").alias("c")), "candidates")
+    # Rows of one text are copies, whatever their ids; one of them stands for the text.
+    distinct = stored(rows.groupBy("c", "h").agg(F.min("key").alias("first")), "texts")
+    sizes = distinct.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+    doubtful = stored(distinct.join(sizes, "c").select("c", "n", F.col("first.doc_id").alias("_id"), F.col("h").alias("_h2")), "doubtful")
+    marked = docs.select("doc_id", "text", _hash().alias("_h"))
+    same = marked["doc_id"].eqNullSafe(doubtful["_id"]) & (marked["_h"] == doubtful["_h2"])
+    candidates = marked.join(small(doubtful, doubtful.count()), same).select("c", "n", F.col("_h").alias("h"), "text")
+    roots = components(jaccard.links(candidates, SHINGLE, NEAR), "h", "near").withColumnRenamed("node", "h")
+    rooted = stored(distinct.join(roots, "h", "left").select("h", "first", F.coalesce("root", "h").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select("h", "component_id")
+    return rows.join(named, "h").select("key", "component_id")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingle sets of Jaccard similarity NEAR: the one with the smallest id."""
+    grouped = stored(near_groups(docs), "groups")
     leads = F.col("key") == F.col("component_id")
     lost = grouped.where(~leads).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h2")).distinct()
     kept = _without(docs.withColumn("_h", _hash()), stored(lost, "lost"))

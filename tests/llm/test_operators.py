@@ -322,3 +322,25 @@ def test_pipeline_stages_take_odd_rows(spark, docs, tmp_path):
         if name == "decontamination":
             assert 1 not in [r.doc_id for r in now.collect()]
     assert now.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_near_copies_are_the_exact_components(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(pipeline.jaccard, "SLICE_ROWS", 4)
+    draw = np.random.default_rng(12)
+    texts = []
+    for g in range(12):
+        base = [f"w{g}x{k}" for k in range(400)]
+        for share in (0.0, 0.003, 0.01, 0.015, 0.03, 0.04, 0.05, 0.06):
+            texts.append(" ".join(f"n{draw.integers(10**9)}" if draw.random() < share else w for w in base))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    label = simhash._local_components(len(texts), *np.nonzero(near >= 0.8))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    candidates = simhash.fingerprints(rows, shingle=5, wide=True)
+    coarse = {r.doc_id: r.component_id for r in simhash.component_ids(candidates, radius=22, wide=True).collect()}
+    kept = {r.doc_id for r in pipeline.near_duplicates(spark, rows, "").collect()}
+    # The prints alone drop texts without a neighbour at 0.8, and lose no link of these groups.
+    assert any(coarse[k] != k and not (np.delete(near[k], k) >= 0.8).any() for k in range(len(texts)))
+    assert all(coarse[i] == coarse[j] for i, j in zip(*np.nonzero(near >= 0.8), strict=True))
+    assert kept == set(label.tolist())
