@@ -8,8 +8,9 @@ fingerprints has no size bound and can't be broadcast; the trees stay in the
 tasks that hold their shards, which are bounded: a shard of more than
 SHARD_ROWS fingerprints is cut again by blocks of its remaining bits. Since
 fingerprints are distinct, a shard in which only b bits are free has at most
-2^b rows, so the cutting ends. Shards return a spanning forest of their links,
-not pairs.
+2^b rows, so the cutting ends. Of wide fingerprints further equal bits would
+lose links; a crowded shard is cut into tiles, pairs of its slices, each with a
+tree of its own. Shards return a spanning forest of their links, not pairs.
 """
 
 from __future__ import annotations
@@ -80,25 +81,32 @@ def component_ids(prints: DataFrame, id_col: str = "doc_id", radius: int = 4, wi
     Null ids are a component's smallest only where it has no other. Of 64 bits
     all links are found. Wide prints share a shard when two of eight blocks of
     either half agree, whatever the number of rows: links of up to 16 differing bits
-    of 128 are found nearly always, and rarer the farther apart they are. Only a
-    shard of more than SHARD_ROWS is cut by further blocks.
+    of 128 are found nearly always, and rarer the farther apart they are.
     """
-    firsts = prints.groupBy("fp").agg(F.min(id_col).alias("_first"), F.min("fp2").alias("fp2"))
+    # Of wide prints both halves name a node; the second half of the others is 0.
+    halves = ["fp", "fp2"] if wide else ["fp"]
+    node = F.struct(*halves) if wide else F.col("fp")
+    firsts = prints.groupBy(*halves).agg(F.min(id_col).alias("_first"), *([] if wide else [F.min("fp2").alias("fp2")]))
     firsts = stored(firsts, "fingerprints")
-    roots = components(links(firsts.select("fp", "fp2"), radius, wide), "fp", "near").withColumnRenamed("node", "fp")
-    rooted = stored(
-        firsts.join(roots, "fp", "left").select("fp", "_first", F.coalesce("root", "fp").alias("root")), "rooted"
-    )
+    roots = components(links(firsts.select("fp", "fp2"), radius, wide), "fp", "near").withColumnRenamed("node", "_node")
+    rooted = firsts.withColumn("_node", node).join(roots, "_node", "left")
+    rooted = stored(rooted.select(*halves, "_first", F.coalesce("root", "_node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left")
+    return prints.join(rooted.join(least, "root").select(*halves, "component_id"), halves, "left")
 
 
 def links(prints: DataFrame, radius: int, wide: bool = False) -> DataFrame:
-    """(fp, near): links whose components are those of all pairs within `radius` bits that share a shard."""
+    """(fp, near): links whose components are those of all pairs within `radius` bits that share a shard.
+
+    Of wide prints both are structs (fp, fp2).
+    """
     masks: dict[int, tuple[int, int]] = {0: (0, 0)}
+    if wide:
+        rows = stored(_crowded(_sharded(prints, _finer(masks, 8, wide))), "shards")
+        return _search(_tiled(rows), radius, wide)
     rows, found = prints, []
     while True:
-        masks = _finer(masks, 8 if wide else radius + 2, wide)
+        masks = _finer(masks, radius + 2, wide)
         rows = stored(_crowded(_sharded(rows, masks)), "shards")
         found.append(_search(rows.where(F.col("n") <= SHARD_ROWS), radius))
         rows = rows.where(F.col("n") > SHARD_ROWS).select("shard_of", "fp", "fp2")
@@ -112,6 +120,18 @@ def links(prints: DataFrame, radius: int, wide: bool = False) -> DataFrame:
     return result
 
 
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Shards of more than SHARD_ROWS fingerprints as tiles: every pair of slices of half as many, under a number of its own."""
+    large = F.col("n") > SHARD_ROWS
+    slices = F.when(large, F.ceil(F.col("n") * 2 / SHARD_ROWS)).otherwise(1)
+    cut = rows.withColumn("_k", slices.cast("long")).withColumn("_s", F.pmod(F.xxhash64("fp", "fp2"), F.col("_k")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), lambda o: (o != F.col("_s")) | (F.col("_k") == 1))
+    dealt = cut.withColumn("_o", F.explode(others))
+    # Shards have numbers below 200; with the two slices behind them they name a tile.
+    i, j = F.least("_s", "_o"), F.greatest("_s", "_o")
+    return dealt.withColumn("shard_of", (i * F.col("_k") + j) * 200 + F.col("shard_of")).drop("_k", "_s", "_o")
+
+
 def _finer(masks: dict[int, tuple[int, int]], blocks: int, wide: bool) -> dict[int, tuple[int, int]]:
     """Masks one level deeper: for each mask, those that fix two more of so many blocks of a half's free bits."""
     finer = {}
@@ -165,16 +185,22 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, key).select(*key, "fp", "fp2", "n")
 
 
-def _search(rows: DataFrame, radius: int) -> DataFrame:
+def _search(rows: DataFrame, radius: int, wide: bool = False) -> DataFrame:
     key = ["shard_of", "k1", "k2"]
+    node = "struct<fp:bigint,fp2:bigint>" if wide else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, fp in _whole_shards(batches):
-            a, b = shard_links(shard, fp, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["fp", "near"])
+            a, b = (_nodes(fp[x], wide) for x in shard_spanning(shard, fp, radius))
+            yield pa.RecordBatch.from_arrays([a, b], names=["fp", "near"])
 
     dealt = rows.select(*key, "fp", "fp2").repartition(*key)
-    return dealt.sortWithinPartitions(*key).mapInArrow(run, "fp bigint, near bigint")
+    return dealt.sortWithinPartitions(*key).mapInArrow(run, f"fp {node}, near {node}")
+
+
+def _nodes(fp: np.ndarray, wide: bool) -> pa.Array:
+    first, second = (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fp.T)
+    return pa.StructArray.from_arrays([first, second], names=["fp", "fp2"]) if wide else first
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,7 +225,13 @@ def _numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the shards: first words of each fingerprint and of the first of its component in the shard."""
-    out_a, out_b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    a, b = shard_spanning(shard, fp, radius)
+    return fp[a, 0], fp[b, 0]
+
+
+def shard_spanning(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the shards: rows of each fingerprint and of the first of its component in the shard."""
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     size = np.bincount(shard).astype(np.int64)
     part = (np.cumsum(size**2) - size**2) // FRONTIER
     cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(size)]
@@ -209,8 +241,8 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         a, b = tree.spanning(radius)
         label = _local_components(hi - lo, a, b)
         member = np.flatnonzero(label != np.arange(hi - lo))
-        out_a.append(fp[lo:hi][member, 0])
-        out_b.append(fp[lo:hi][label[member], 0])
+        out_a.append(lo + member)
+        out_b.append(lo + label[member])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 

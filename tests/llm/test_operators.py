@@ -344,3 +344,26 @@ def test_pipeline_near_copies_are_the_exact_components(spark, monkeypatch):
     assert any(coarse[k] != k and not (np.delete(near[k], k) >= 0.8).any() for k in range(len(texts)))
     assert all(coarse[i] == coarse[j] for i, j in zip(*np.nonzero(near >= 0.8), strict=True))
     assert kept == set(label.tolist())
+
+
+def test_wide_crowded_shards_keep_every_pair_that_meets(spark, monkeypatch):
+    draw = np.random.default_rng(14)
+    base = [int(x) for x in draw.integers(0, 2**63, 2)]
+    # Variants 16 to 26 bits from one hot print, and prints that share the first half alone.
+    rows = {(base[0], base[1])}
+    for _ in range(150):
+        flips = draw.choice(126, int(draw.integers(8, 14)), replace=False)
+        rows.add(tuple(base[h] ^ sum(1 << int(b % 63) for b in flips if b // 63 == h) for h in (0, 1)))
+    far = int(draw.integers(0, 2**63))
+    rows = sorted(rows | {(5, far), (5, far ^ 0b111), (5, far ^ (2**40 - 1))})
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, fp bigint, fp2 bigint")
+    v = np.array(rows, np.uint64)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]).sum(axis=2) <= 18
+    blocks = [sum(1 << b for b in range(i, 64, 8)) for i in range(8)]
+    agree = sum(((v[:, None] ^ v[None, :]) & np.uint64(m) == 0).astype(int) for m in blocks) >= 2
+    want = simhash._local_components(len(v), *np.nonzero(near & agree.any(axis=2))).tolist()
+    for most in (8192, 16):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", most)
+        got = {r.doc_id: r.component_id for r in simhash.component_ids(table, radius=18, wide=True).collect()}
+        assert [got[k] for k in range(len(rows))] == want
+    assert len({want[rows.index((5, x))] for x in (far, far ^ 0b111, far ^ (2**40 - 1))}) == 2
