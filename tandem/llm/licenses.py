@@ -1,17 +1,21 @@
 """Licence recognition by known sentences and the order in which they come.
 
-A text is cut at line ends and after sentence marks. Pieces and up to three
-neighbouring pieces together are normalised (lower case, runs of all but
-letters and digits become one space) and looked up among the known sentences,
-which gives a sequence of sentence identifiers. A rule is a sequence of
-identifiers; it holds where a text's sequence has its identifiers in that order,
-with others between them allowed. Everything is a column expression.
+A text is cut at line ends and after sentence marks, and its pieces are
+normalised (lower case, runs of all but letters and digits become one space).
+The known sentences are sought in the joined pieces, so a sentence may run over
+any number of lines; it begins and ends with a piece, but for those of WITHIN,
+which are parts of longer sentences. That gives a sequence of sentence
+identifiers. A rule is a sequence of identifiers; it holds where a text's
+sequence has its identifiers in that order, with others between them allowed.
+The search runs in Arrow batches, all else is a column expression.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Sentences of public licence texts and notices, as they are known.
@@ -61,9 +65,21 @@ RULES = (
     ("MPL-2.0", ("mpl-notice",)),
     ("proprietary", ("all-rights",)),
 )
-#: A sentence may run over so many lines.
+#: Lines of a sentence in the SQL form, which has the sentences and rules above alone.
 LINES = 3
 
+# Sentences and rules of whole licence texts, which the SQL form does not have.
+WHOLE = {
+    "gpl3-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl2-preamble": "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
+}
+WHOLE_RULES = (("GPL-3.0", ("gpl3-preamble",)), ("GPL-2.0", ("gpl2-preamble",)))
+#: Parts of a sentence: they may begin and end inside a piece.
+WITHIN = {
+    "apache-copy", "apache-basis", "mit-grant", "mit-condition", "mit-warranty", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names",
+    "gpl-free", "gpl-version3", "gpl-version2", "gpl2-preamble",
+}
+
 
 def normal(sentence: str) -> str:
     """Python's form of the normalisation, for the known sentences."""
@@ -73,6 +89,7 @@ def normal(sentence: str) -> str:
 #: Normalised sentence to identifier, and the place of an identifier.
 KNOWN = {normal(text): name for name, text in SENTENCES.items()}
 NUMBER = {name: k for k, name in enumerate(SENTENCES)}
+SOUGHT = KNOWN | {normal(text): name for name, text in WHOLE.items()}
 
 
 def pieces(text: Column) -> Column:
@@ -83,30 +100,47 @@ def pieces(text: Column) -> Column:
     return F.filter(F.transform(cut, clean), lambda x: x != "")
 
 
-def identifiers(parts: Column) -> Column:
-    """Identifiers of the known sentences in order: at each piece, of the piece alone or with the next ones."""
-    table = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    # First words of known sentences: a piece that starts otherwise needs no joining.
-    firsts = sorted({s.split(" ")[0] for s in KNOWN})
+def _pattern(sentence: str, name: str) -> re.Pattern[str]:
+    """A known sentence in pieces joined by '|': words of letters and digits, with a space or '|' between them."""
+    before, after = (r"(?<![^| ])", r"(?![^| ])") if name in WITHIN else (r"(?<![^|])", r"(?![^|])")
+    return re.compile(before + "[ |]".join(sentence.split(" ")) + after)
+
+
+def identifiers(joined: str, patterns: dict[str, re.Pattern[str]]) -> list[str]:
+    """Identifiers of the known sentences in pieces joined by '|', by their place, the shorter first."""
+    flat, found = joined.replace("|", " "), []
+    for sentence, name in SOUGHT.items():
+        if sentence in flat:
+            found += [(m.start(), m.end(), name) for m in patterns[name].finditer(joined)]
+    return [name for _, _, name in sorted(found)]
+
 
-    def at(i: Column) -> Column:
-        runs = F.array(*(F.array_join(F.slice(parts, i, F.lit(k)), " ") for k in range(1, LINES + 1)))
-        some = F.filter(F.transform(F.array_distinct(runs), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
-        return F.when(F.substring_index(F.element_at(parts, i), " ", 1).isin(firsts), some).otherwise(F.array().cast("array<string>"))
+def _sought(docs: DataFrame, id_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = {name: _pattern(sentence, name) for sentence, name in SOUGHT.items()}
+        for batch in batches:
+            found = pa.array([identifiers(x, patterns) for x in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=[id_col, "n_sentences", "sentences"])
 
-    places = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(places, at))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, n_sentences bigint, sentences array<string>")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_sentences, sentences, licenses) of every row.
 
-    sentences: identifiers in the order of the text; licenses: names of the
-    rules that hold, each once, in the order of RULES. Null and empty texts have
-    none of either.
+    n_sentences: the pieces of the text; sentences: identifiers in the order of
+    the text; licenses: names of the rules that hold, each once, in the order of
+    RULES. Three BSD clauses are not two, unless a second grant without the
+    third is there. Null and empty texts have none of either.
     """
     parts = docs.select(F.col(id_col), pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("_parts"))
-    found = parts.select(id_col, F.size("_parts").cast("bigint").alias("n_sentences"), identifiers(F.col("_parts")).alias("sentences"))
+    found = _sought(parts.select(id_col, F.size("_parts").cast("bigint").alias("n_sentences"), F.array_join("_parts", "|").alias("_joined")), id_col)
     line = F.concat(F.lit(","), F.array_join("sentences", ",,"), F.lit(","))
-    held = [F.when(line.rlike(",.*,".join(re.escape(x) for x in rule).join([",", ","])), F.lit(name)) for name, rule in RULES]
+    held = []
+    for name, rule in (*RULES, *WHOLE_RULES):
+        pattern = ",.*,".join(re.escape(x) for x in rule).join([",", ","])
+        if name == "BSD-2-Clause":
+            pattern += r"(?!(?:(?!,bsd-grant,).)*,bsd-names,)"
+        held.append(F.when(line.rlike(pattern), F.lit(name)))
     return found.withColumn("licenses", F.array_distinct(F.filter(F.array(*held), lambda x: x.isNotNull())))

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -367,3 +368,30 @@ def test_wide_crowded_shards_keep_every_pair_that_meets(spark, monkeypatch):
         got = {r.doc_id: r.component_id for r in simhash.component_ids(table, radius=18, wide=True).collect()}
         assert [got[k] for k in range(len(rows))] == want
     assert len({want[rows.index((5, x))] for x in (far, far ^ 0b111, far ^ (2**40 - 1))}) == 2
+
+
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+GPL = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+CANONICAL = {
+    "MIT": f"Copyright (c) 2020 Someone\n\n{GRANT}\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "BSD-2-Clause": f"Copyright (c) 2020, Someone\n\n{BSD}\n\n{AS_IS}",
+    "BSD-3-Clause": f"Copyright (c) 2020, Someone\n\n{BSD}\n\n{NAMES}\n\n{AS_IS}",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "GPL-3.0": GPL.format(":", ",", 3),
+    "GPL-2.0": GPL.format(";", ";", 2),
+}
+
+
+def test_canonical_licences_at_any_width(spark):
+    texts = []
+    for name, text in CANONICAL.items():
+        wraps = ["\n".join(textwrap.fill(x, w) for x in text.split("\n")) for w in (30, 60, 72, 79, 100)]
+        texts += [(name, x) for x in (text, " ".join(text.split()), *wraps)]
+    texts += [("BSD-3-Clause,BSD-2-Clause", CANONICAL[a] + "\n" + CANONICAL[b]) for a, b in (("BSD-2-Clause", "BSD-3-Clause"), ("BSD-3-Clause", "BSD-2-Clause"))]
+    texts += [("GPL-3.0", "Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"), ("", "not released under the MIT License.")]
+    rows = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: ",".join(r.licenses) for r in licenses.scan(rows).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(texts)}
