@@ -233,7 +233,7 @@ def phrase_spans(index: DataFrame, items: DataFrame, id_col: str = "item_id", te
     if not found:
         found = [numbered.mapInArrow(search([]), schema)]
     if len(found) == 1:
-        return found[0].drop("block", "doc")
+        return found[0].withColumn("items", F.array_distinct("items")).drop("block", "doc")
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)

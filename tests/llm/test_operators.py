@@ -395,3 +395,12 @@ def test_canonical_licences_at_any_width(spark):
     rows = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id bigint, text string")
     got = {r.doc_id: ",".join(r.licenses) for r in licenses.scan(rows).collect()}
     assert got == {k: name for k, (name, _) in enumerate(texts)}
+
+
+def test_repeated_items_count_once_in_any_number_of_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b c d e f g")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "a b c"), (7, "d e f"), (8, "e f g")], "item_id bigint, text string")
+    for most in (10**6, 3):
+        monkeypatch.setattr(positions, "QUERY_WORDS", most)
+        got = positions.phrase_spans(positions.build_index(rows), items, window=3).collect()
+        assert [sorted(r["items"]) for r in got] == [["7", "8"]]
