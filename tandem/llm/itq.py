@@ -73,8 +73,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row, linked by cosine within equal groups.
 
-    Vectors that are null, zero, or hold null or non-finite components, rows
-    without a group, and vectors of another length than most link with nothing.
+    Vectors that are null, zero, or hold null or non-finite components, and rows
+    without a group link with nothing. Each length of vectors has a rotation of
+    its own and is searched on its own.
     Rows may repeat ids and vectors: each row is a vector of its own. An empty
     table gives an empty result.
     """
@@ -82,17 +83,21 @@ def near_duplicates(
     sound = F.col("g").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
     base = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), F.col(vector_col).cast("array<double>").alias("v"))
     base = base.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    lengths = base.where("sound").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
+    lengths = [r["d"] for r in base.where("sound").select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    if not lengths:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    base = base.withColumn("sound", F.col("sound") & (F.size("v") == lengths["d"])).withColumn("h", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
+    base = base.withColumn("h", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
     one = stored(base.where("sound").groupBy("g", "h").agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.min("v").alias("v")), "vectors")
     one = one.withColumn("ref", F.xxhash64("g", "h"))
 
-    sample = one.orderBy(uniform("itq", F.col("h")), "g").limit(SAMPLE_ROWS).select("v").toArrow()
-    coder = learn(_unit(_matrix(sample.column(0).combine_chunks())))
-    coded = stored(_coded(one, coder), "codes")
-    found = stored(_linked(one, coded, coder, cosine), "links")
+    found = None
+    for d in lengths:
+        own = one.where(F.size("v") == d)
+        sample = own.orderBy(uniform("itq", F.col("h")), "g").limit(SAMPLE_ROWS).select("v").toArrow()
+        coder = learn(_unit(_matrix(sample.column(0).combine_chunks())))
+        coded = stored(_coded(own, coder), "codes")
+        linked = stored(_linked(own, coded, coder, cosine), "links")
+        found = linked if found is None else found.unionByName(linked)
 
     sums = found.groupBy("ref").agg(F.sum("n").alias("n"))
     roots = components(found, "ref", "near").withColumnRenamed("node", "ref")

@@ -404,3 +404,11 @@ def test_repeated_items_count_once_in_any_number_of_blocks(spark, monkeypatch):
         monkeypatch.setattr(positions, "QUERY_WORDS", most)
         got = positions.phrase_spans(positions.build_index(rows), items, window=3).collect()
         assert [sorted(r["items"]) for r in got] == [["7", "8"]]
+
+
+def test_embeddings_of_every_length_are_searched(spark):
+    draw = np.random.default_rng(15)
+    long, short = draw.normal(size=(6, 32)), draw.normal(size=(4, 16))
+    rows = [(k, long[k % 6].tolist(), 0) for k in range(12)] + [(100 + k, (short[k % 4] * (1 + k)).tolist(), 0) for k in range(8)]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert {k: (r.n_links, r.component_id) for k, r in got.items()} == {k: (1, k % 6 if k < 100 else 100 + k % 4) for k, _, _ in rows}
