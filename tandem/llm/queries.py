@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tandem.llm import itq, language_model, licenses, mixing, positions, quality, sharding, simhash, token_files, toxicity
+from tandem.llm import centroids, collocations, exact_dedup, itq, language_model, licenses, mixing, positions, quality, sharding, simhash, token_files, toxicity
 from tandem.llm.common import WORD, crc32_of_id, stored, table
 from tandem.session import scratch_path
 
@@ -102,6 +102,23 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(scored.withColumnRenamed("id", "doc_id"), 0.3)
 
 
+def op11_misra_gries_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all `documents`; of equal texts the row with the largest id stays."""
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of each language of `documents`."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64-wide `embeddings` in 16 clusters."""
+    assigned, found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, found)
+
+
 def _held_out() -> Column:
     return F.pmod(crc32_of_id(F.col("doc_id")), F.lit(5)) == 0
 
@@ -123,5 +140,8 @@ QUERIES = {
         op8_ftrl_toxicity,
         op9_positional_index,
         op10_fourier_quality,
+        op11_misra_gries_dedup,
+        op12_stream_collocations,
+        op13_orchard_clusters,
     )
 }
