@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tandem.session import materialize
 
+T = TypeVar("T")
+
 #: Characters that separate words in the digest contracts: space and 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +49,33 @@ def release(owner: str) -> None:
         HELD.pop(name)()
 
 
+def task(owner: str) -> Callable:
+    """Decorator of what a task does with its rows: the worker keeps nothing of other operators meanwhile, and gives
+    free memory back to the machine at the end, as workers live on between tasks and allocators keep what was freed."""
+
+    def decorate(run: Callable[[Iterator[T]], Iterator[T]]) -> Callable[[Iterator[T]], Iterator[T]]:
+        def whole(rows: Iterator[T]) -> Iterator[T]:
+            release(owner)
+            try:
+                yield from run(rows)
+            finally:
+                settle()
+
+        return whole
+
+    return decorate
+
+
+def settle() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        # Another C library than glibc.
+        pass
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Whole texts of an Arrow column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
@@ -55,3 +88,22 @@ def words_of(text: str) -> list[bytes]:
     same six characters as the pattern WORD.
     """
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Whole groups of rows equal in their first columns; the input is sorted by them."""
+    kept: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)])
+        new = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+        table = pa.Table.from_batches([batch])
+        for lo, hi in zip([0, *new], [*new, batch.num_rows], strict=True):
+            part = table.slice(lo, hi - lo)
+            if kept and any(kept[-1].column(c)[0] != part.column(c)[0] for c in range(width)):
+                yield pa.concat_tables(kept)
+                kept = []
+            kept.append(part)
+    if kept:
+        yield pa.concat_tables(kept)

@@ -1,15 +1,18 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
-A rotation learned on a bounded sample makes the signs of the rotated vectors a
-balanced code that keeps angles. Codes meet in TABLES tables, each keyed by
-KEY_BITS bits of the code and the label; what meets and differs in few enough
-bits of the whole code is compared by the cosine of the original vectors.
+Rotations learned on a bounded sample make the signs of the rotated vectors a
+balanced code that keeps angles. The code is cut into TABLES disjoint substrings, one
+Hamming table for each. A vector is entered under its own substring and under all that
+differ from it in one bit, so two vectors whose substrings differ in two bits or fewer
+meet in that table; and one of TABLES substrings does so whenever two codes differ
+in at most RADIUS bits. What meets and differs in few enough bits of the whole code is
+compared by the cosine of the original vectors.
 
 Equal vectors are one row with a weight. A table row is a code of 8 bytes;
 vectors only travel for members that have a near code. A bucket of more than
 TILE rows is cut into tiles, pairs of its slices, so its work spreads over
-tasks; a pair belongs to the first table in which it meets, and is counted
-there alone. Buckets return sums and spanning links, not pairs.
+tasks; a pair belongs to the first table in which it meets and to one bucket there, and is
+counted there alone. Buckets return sums and spanning links, not pairs.
 """
 
 from __future__ import annotations
@@ -19,18 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import stored, uniform
+from tandem.llm.common import grouped, stored, uniform
 from tandem.llm.components import components
 
 SAMPLE_ROWS = 10_000
 ITERATIONS = 50
 BITS = 64
-#: Tables and bits of a key. Two vectors at cosine 0.93 differ in about 12 % of
-#: the bits and meet in one of 24 tables of 16 bits 19 times in 20.
-TABLES = 24
-KEY_BITS = 16
+#: Substrings of KEY_BITS bits.
+TABLES = 4
+KEY_BITS = BITS // TABLES
+#: Codes that differ in so many bits meet for certain; others, by chance, most times (see the readme).
+RADIUS = 3 * TABLES - 1
 #: Codes that differ in more bits are not compared: 8 are expected at 0.93, and 20 lie over four deviations above.
 NEAR_BITS = 20
 TILE = 2048
@@ -38,34 +42,33 @@ TILE = 2048
 
 @dataclass
 class Coder:
-    """Rotation from unit vectors to codes, and the bits of each table's key."""
+    """Rotations from unit vectors to codes of BITS bits."""
 
     rotation: np.ndarray
-    masks: np.ndarray
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        bits = np.zeros((len(unit), BITS), np.uint8)
-        bits[:, : self.rotation.shape[1]] = unit @ self.rotation >= 0
+        bits = (unit @ self.rotation >= 0).astype(np.uint8)
         return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def learn(unit: np.ndarray) -> Coder:
-    """Principal axes of the sample, then the rotation that brings it nearest to its own signs."""
+    """Principal axes of the sample, then rotations that bring it nearest to its own signs.
+
+    Vectors shorter than BITS get several rotations from different starts, until there are BITS signs.
+    """
     draw = np.random.default_rng(11)
-    d = unit.shape[1]
-    k = min(d, BITS)
+    k = min(unit.shape[1], BITS)
     _, _, axes = np.linalg.svd(unit.T @ unit)
     projected = unit @ axes[:k].T
-    turn = np.linalg.qr(draw.normal(size=(k, k)))[0]
-    for _ in range(ITERATIONS):
-        u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
-        turn = (u @ v).T
-    chosen = []
-    for _ in range(TABLES):
-        bits = draw.choice(k, min(KEY_BITS, max(1, k // 4)), replace=False)
-        # Bit 0 of a code is the highest of its 64.
-        chosen.append(sum(1 << (63 - int(b)) for b in bits))
-    return Coder(axes[:k].T @ turn, np.array(chosen, np.uint64))
+    turns = []
+    for _ in range(-(-BITS // k)):
+        turn = np.linalg.qr(draw.normal(size=(k, k)))[0]
+        for _ in range(ITERATIONS):
+            u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
+            turn = (u @ v).T
+        turns.append(axes[:k].T @ turn)
+    # Bits of one rotation are dealt over the substrings.
+    return Coder(np.concatenate(turns, axis=1)[:, :BITS][:, draw.permutation(BITS)])
 
 
 def near_duplicates(
@@ -96,7 +99,7 @@ def near_duplicates(
         sample = own.orderBy(uniform("itq", F.col("h")), "g").limit(SAMPLE_ROWS).select("v").toArrow()
         coder = learn(_unit(_matrix(sample.column(0).combine_chunks())))
         coded = stored(_coded(own, coder), "codes")
-        linked = stored(_linked(own, coded, coder, cosine), "links")
+        linked = stored(_linked(own, coded, cosine), "links")
         found = linked if found is None else found.unionByName(linked)
 
     sums = found.groupBy("ref").agg(F.sum("n").alias("n"))
@@ -141,11 +144,16 @@ def _coded(one: DataFrame, coder: Coder) -> DataFrame:
 KEY = ("g", "t", "k")
 
 
-def _linked(one: DataFrame, coded: DataFrame, coder: Coder, cosine: float) -> DataFrame:
+def substring(code: Column, table: int) -> Column:
+    return F.shiftrightunsigned(code, BITS - KEY_BITS * (table + 1)).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def _linked(one: DataFrame, coded: DataFrame, cosine: float) -> DataFrame:
     """(ref, n, near): for each bucket tile, the weights linked with a vector and one spanning link."""
-    masks = [int(m) - (1 << 64) if int(m) >> 63 else int(m) for m in coder.masks]
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)))
-    dealt = coded.select("ref", "code", "g", F.explode(tables).alias("s")).select("g", "s.*", "ref", "code")
+    own = F.array(*(F.struct(F.lit(t).alias("t"), substring(F.col("code"), t).alias("k")) for t in range(TABLES)))
+    flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << b).cast("bigint") for b in range(KEY_BITS)))
+    dealt = coded.select("ref", "code", "g", F.explode(own).alias("s")).select("ref", "code", "g", "s.*", F.explode(flips).alias("flip"))
+    dealt = dealt.select("g", "t", F.col("k").bitwiseXOR(F.col("flip")).alias("k"), "ref", "code")
     sizes = dealt.groupBy(*KEY).agg(F.count("*").alias("size")).where("size > 1")
     met = stored(dealt.join(sizes, list(KEY)), "met")
 
@@ -159,46 +167,63 @@ def _linked(one: DataFrame, coded: DataFrame, coder: Coder, cosine: float) -> Da
     tiles = every.select(*KEY, "i", "j", "slice", "ref").join(vectors, "ref")
     tile = [*KEY, "i", "j"]
     tiles = tiles.select(*tile, "slice", "ref", "code", "weight", "v").repartition(*tile).sortWithinPartitions(*tile)
-    masks_ = coder.masks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, 5):
-            yield _compared(table, masks_, cosine)
+        for table in grouped(batches, 5):
+            yield _compared(table, cosine)
 
     return tiles.mapInArrow(run, "ref bigint, n bigint, near bigint")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
-    """Whole groups of rows equal in their first columns; the input is sorted by them."""
-    kept: list[pa.Table] = []
+def _near_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a bucket that have a near code in it; many small buckets are compared at once."""
+    kept: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)])
-        new = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
         table = pa.Table.from_batches([batch])
-        for lo, hi in zip([0, *new], [*new, batch.num_rows], strict=True):
-            part = table.slice(lo, hi - lo)
-            if kept and any(kept[-1].column(c)[0] != part.column(c)[0] for c in range(width)):
-                yield pa.concat_tables(kept)
-                kept = []
-            kept.append(part)
-    if kept:
-        yield pa.concat_tables(kept)
+        kept = table if kept is None else pa.concat_tables([kept, table])
+        # The last bucket may go on in the next batch.
+        bucket = _numbered(kept)
+        whole = int(np.searchsorted(bucket, bucket[-1]))
+        yield from _near_rows(kept.slice(0, whole), bucket[:whole])
+        kept = kept.slice(whole)
+    if kept is not None:
+        yield from _near_rows(kept, _numbered(kept))
 
 
-def _near_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a bucket that have a near code in it."""
-    for table in _grouped(batches, 3):
-        code = table.column("code").to_numpy().view(np.uint64)
-        apart = np.bitwise_count(code[:, None] ^ code[None, :]) <= NEAR_BITS
-        keep = np.flatnonzero(apart.sum(axis=1) > 1)
-        if len(keep):
-            yield from table.select(["g", "t", "k", "ref"]).take(keep).combine_chunks().to_batches()
+def _numbered(table: pa.Table) -> np.ndarray:
+    keys = np.stack([table.column(c).to_numpy() for c in KEY])
+    return np.cumsum(np.r_[0, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+
+
+def _near_rows(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    code = table.column("code").to_numpy().view(np.uint64)
+    keep = np.zeros(len(code), bool)
+    rows, step = np.arange(len(code)), 1
+    while len(rows):
+        # Rows that have another of their bucket `step` places on.
+        rows = rows[rows + step < len(code)]
+        rows = rows[bucket[rows] == bucket[rows + step]]
+        near = rows[np.bitwise_count(code[rows] ^ code[rows + step]) <= NEAR_BITS]
+        keep[near] = keep[near + step] = True
+        step += 1
+    if keep.any():
+        yield from table.select(["g", "t", "k", "ref"]).take(np.flatnonzero(keep)).combine_chunks().to_batches()
+
+
+def _substring(code: np.ndarray, table: int) -> np.ndarray:
+    return (code >> np.uint64(BITS - KEY_BITS * (table + 1))) & np.uint64((1 << KEY_BITS) - 1)
+
+
+def _own_bucket(x: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """The smallest key under which two substrings, x and x ^ differ, that differ in two bits or fewer, are both entered."""
+    low = differ & (~differ + np.uint64(1))
+    return np.where(differ == low, np.minimum(x, x ^ differ), np.minimum(x ^ low, x ^ differ ^ low))
 
 
-def _compared(table: pa.Table, masks: np.ndarray, cosine: float) -> pa.RecordBatch:
-    t, i, j = (table.column(c)[0].as_py() for c in ("t", "i", "j"))
+def _compared(table: pa.Table, cosine: float) -> pa.RecordBatch:
+    t, k, i, j = (table.column(c)[0].as_py() for c in ("t", "k", "i", "j"))
     part, ref, weight = (table.column(c).to_numpy() for c in ("slice", "ref", "weight"))
     code = table.column("code").to_numpy().view(np.uint64)
     unit = _unit(_matrix(table.column("v").combine_chunks()))
@@ -212,10 +237,11 @@ def _compared(table: pa.Table, masks: np.ndarray, cosine: float) -> pa.RecordBat
         good = x < y if i == j else np.ones(len(x), bool)
         x, y = x[good], y[good]
         differ = code[x] ^ code[y]
-        # The first table in which the two meet has the pair.
-        mine = np.ones(len(x), bool)
-        for earlier in masks[:t]:
-            mine &= (differ & earlier) != 0
+        # The first table in which the two meet has the pair, in one of its buckets.
+        mine = np.bitwise_count(differ) <= NEAR_BITS
+        for earlier in range(t):
+            mine &= np.bitwise_count(_substring(differ, earlier)) > 2
+        mine &= _own_bucket(_substring(code[x], t), _substring(differ, t)) == k
         x, y = x[mine], y[mine]
         np.add.at(n, x, weight[y])
         np.add.at(n, y, weight[x])

@@ -14,8 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.common import release, stored, texts, words_of
-from tandem.llm.itq import _grouped
+from tandem.llm.common import grouped, stored, task, texts, words_of
 
 #: Texts of a tile's slice.
 SLICE_ROWS = 512
@@ -71,14 +70,15 @@ def links(candidates: DataFrame, shingle: int, least: float) -> DataFrame:
     number of the text, and the text.
     """
 
+    @task("jaccard")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("jaccard")
         for batch in batches:
             found = [shingle_set(t, shingle).tobytes() for t in texts(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["c", "n", "h", "s"])
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, 3):
+        for table in grouped(batches, 3):
             h = table.column("h").to_numpy()
             a, b = spanning([np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("s")], least)
             yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], names=["h", "near"])

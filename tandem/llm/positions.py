@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import release, stored, texts
+from tandem.llm.common import stored, task, texts
 
 BLOCK_WORDS = 1_000_000
 #: Words of queries that go to the executors in one broadcast: 16 MB.
@@ -49,8 +49,8 @@ class Hashes(dict):
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Index rows of all documents. Null texts have no words; documents without words are kept."""
 
+    @task("positions")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("positions")
         hashes, ids, found, size = Hashes(), [], [], 0
         for batch in batches:
             for i, text in enumerate(texts(batch.column(1))):
@@ -293,6 +293,7 @@ def proximity(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     hashes = np.array([xxhash.xxh64_intdigest(x) for t in terms for x in terms_of(t)], np.uint64)
     kind = index.schema["doc_id"].dataType.elementType.simpleString()
 
+    @task("positions")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

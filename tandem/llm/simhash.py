@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import release, stored, texts, words_of
+from tandem.llm.common import stored, task, texts, words_of
 from tandem.llm.components import components
 
 SHARD_ROWS = 8192
@@ -62,8 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fp2 is the second half of a wide fingerprint and 0 otherwise.
     """
 
+    @task("simhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("simhash")
         for batch in batches:
             found = b"".join(fingerprint(t, shingle, seed, wide) for t in texts(batch.column(1)))
             halves = np.frombuffer(found, ">u8").astype(np.uint64).view(np.int64).reshape(-1, 1 + wide)
@@ -189,6 +189,7 @@ def _search(rows: DataFrame, radius: int, wide: bool = False) -> DataFrame:
     key = ["shard_of", "k1", "k2"]
     node = "struct<fp:bigint,fp2:bigint>" if wide else "bigint"
 
+    @task("simhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, fp in _whole_shards(batches):
             a, b = (_nodes(fp[x], wide) for x in shard_spanning(shard, fp, radius))

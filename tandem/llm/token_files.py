@@ -14,6 +14,8 @@ system of its address, by the executors themselves.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import struct
@@ -21,33 +23,76 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tandem.llm.common import HELD, stored, texts
+from tandem.llm.common import HELD, stored, task, texts
 from tandem.llm.elias_fano import EliasFano, encode
 
 #: Tokens of a shard, about.
 SHARD_TOKENS = 16_000_000
-#: Parts and pieces of texts whose ids a worker remembers.
-KNOWN_PARTS, KNOWN_PIECES = 300_000, 1_500_000
+#: Parts and pieces of texts whose ids a worker remembers, about 160 bytes each.
+KNOWN_PARTS, KNOWN_PIECES = 1_000_000, 100_000
 END_ID = 0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Parts(dict):
+    """Numbers of the clean parts of texts, and the ids of each behind a space, end to end in one array."""
+
+    def __init__(self, kind: str) -> None:
+        super().__init__()
+        #: Parts that have a number but no ids yet.
+        self.fresh: list[str] = []
+        self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, kind)
+        self.clean, self.used = np.empty(0, bool), np.empty(0, np.int64)
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.fresh.append(part)
+        return number
+
+    def add(self, ids: list[bytes], clean: list[bool]) -> None:
+        """Ids of the fresh parts, in the order of their numbers."""
+        self.fresh = []
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(size)]
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(ids), self.ids.dtype)]
+        self.clean = np.r_[self.clean, np.array(clean, bool)]
+        self.used = np.r_[self.used, np.zeros(len(ids), np.int64)]
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a row of parts, and where those of each part end."""
+        size = self.begin[numbers + 1] - self.begin[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[numbers] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[at], ends
+
+    def shrink(self) -> None:
+        """Let go of the less used half; parts met once go first."""
+        keep = self.used > max(1, np.median(self.used))
+        ids, ends = self.joined(np.flatnonzero(keep))
+        left = [part for part, stays in zip(self, keep.tolist(), strict=True) if stays]
+        self.clear()
+        self.update(zip(left, range(len(left)), strict=True))
+        self.ids, self.begin, self.clean = ids, np.r_[0, ends], self.clean[keep]
+        self.used = np.zeros(len(left), np.int64)
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the ids of repeated pieces remembered.
+    """Ids of whole texts by the tokenizers library, with the ids of repeated parts remembered.
 
     Merges don't cross the pieces that the pre-tokenizer cuts, so a text may be
     encoded in parts where it always cuts: before a single space between two
     characters that are not white space, before and after a single line end
     between two such characters, and after a run of letters. Parts that other
-    white space touches are encoded together with their neighbours.
+    white space touches are encoded together with their neighbours. That holds for
+    byte-level vocabularies with their own pattern and no normaliser; texts for
+    any other vocabulary are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,73 +104,129 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The narrowest width that holds all ids.
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.parts: dict[str, bytes] = {}
+        self.cuts = _cuts_at_spaces(json.loads(self.tokenizer.to_str()))
+        self.parts = Parts(self.kind)
+        #: Ids of pieces that have no space before them.
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of the encoder's width."""
-        cut = [text.split(" ") for text in batch]
-        seen: set[str] = set()
-        for parts in cut:
-            seen.update(parts)
-        new = [p for p in seen if p not in self.parts]
-        unclean = {p for p in new if not _clean(p)}
-        plans = {p: _pieces(" ", p) for p in new if p not in unclean}
-        # Texts that are not a row of clean parts have pieces of their own.
+        if not self.cuts:
+            return self._ids(batch)
+        # Millions of short strings and no cycles: the collector would only walk through them.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(batch)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
+        heads, rows = [], []
+        for text in batch:
+            head, *parts = text.split(" ")
+            heads.append(head)
+            rows.append(np.fromiter(map(self.parts.__getitem__, parts), np.int32, len(parts)))
+        self._learn()
         own = {}
-        for i, (text, parts) in enumerate(zip(batch, cut, strict=True)):
+        for i, (text, row) in enumerate(zip(batch, rows, strict=True)):
             if any(x in text for x in self.special):
-                own[i] = (text,)
-            elif unclean and not unclean.isdisjoint(parts):
-                own[i] = self._odd(text, parts)
-        heads = [() if i in own else _pieces("", parts[0]) for i, parts in enumerate(cut)]
-        self._learn(chain(chain.from_iterable(plans.values()), chain.from_iterable(heads), chain.from_iterable(own.values())))
-        get = self.pieces.__getitem__
-        for p, found in plans.items():
-            self.parts[p] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
-        known = self.parts.__getitem__
+                own[i] = [text]
+            elif not (_clean(heads[i]) and self.parts.clean[row].all()):
+                own[i] = _odd(text)
+        first = {i: _pieces("", head) for i, head in enumerate(heads) if i not in own}
+        self._piece_ids({x for pieces in first.values() for x in pieces})
+        strange = list({x for pieces in own.values() for x in pieces})
+        once = dict(zip(strange, self._ids(strange), strict=True))
+        every = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.parts.used += np.bincount(every, minlength=len(self.parts))
+        ids, ends = self.parts.joined(every)
+        # Where the ids of each text begin and end.
+        cut = np.r_[0, ends][np.cumsum([0, *map(len, rows)])].tolist()
         out = []
-        for i, parts in enumerate(cut):
+        for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if i in own:
-                out.append(b"".join(map(get, own[i])))
+                out.append(b"".join(map(once.__getitem__, own[i])))
             else:
-                del parts[0]
-                out.append(b"".join(chain(map(get, heads[i]), map(known, parts))))
+                out.append(b"".join(map(self.pieces.__getitem__, first[i])) + ids[lo:hi].tobytes())
         if len(self.parts) > KNOWN_PARTS:
-            self.parts.clear()
+            self.parts.shrink()
         if len(self.pieces) > KNOWN_PIECES:
             self.pieces.clear()
         return out
 
-    def _learn(self, wanted: Iterable[str]) -> None:
-        new = [x for x in set(wanted) if x not in self.pieces]
+    def _learn(self) -> None:
+        """Ids of the fresh parts. A part of more pieces than one is put together from them."""
+        fresh, known = self.parts.fresh, self.parts
+        plans, at = {}, 0
+        while at < len(fresh):
+            part = fresh[at]
+            at += 1
+            if not part.isalpha() and _clean(part):
+                plans[part] = found = _pieces(" ", part)
+                if len(found) > 1:
+                    # May add a fresh part.
+                    known[found[0][1:]]
+        self._piece_ids({x for found in plans.values() for x in found[1:]})
+        alone = [p for p in fresh if p.isalpha() or len(plans.get(p, "12")) == 1]
+        ids = dict(zip(alone, self._ids([" " + p for p in alone]), strict=True))
+        old = len(known) - len(fresh)
+
+        def behind_space(part: str) -> bytes:
+            number = known[part]
+            if number < old:
+                return known.ids[known.begin[number] : known.begin[number + 1]].tobytes()
+            if part not in ids:
+                found = plans[part]
+                ids[part] = behind_space(found[0][1:]) + b"".join(map(self.pieces.__getitem__, found[1:]))
+            return ids[part]
+
+        for part in plans:
+            behind_space(part)
+        known.add([ids.get(p, b"") for p in fresh], [p in ids for p in fresh])
+
+    def _piece_ids(self, wanted: set[str]) -> None:
+        new = [x for x in wanted if x not in self.pieces]
+        self.pieces.update(zip(new, self._ids(new), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind == "<u2" else "I"
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+        out = []
+        for lo in range(0, len(texts), 4096):
+            for found in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False):
                 ids = array(code, found.ids)
                 if sys.byteorder == "big":
                     ids.byteswap()
-                self.pieces[piece] = ids.tobytes()
-
-    @staticmethod
-    def _odd(text: str, parts: list[str]) -> list[str]:
-        """Pieces of a text with other white space around a space: parts that it touches stay together."""
-        joined, open_ = [parts[0]], not _ends_clean(parts[0])
-        for part in parts[1:]:
-            if open_ or not _begins_clean(part):
-                joined[-1] += " " + part
-            else:
-                joined.append(" " + part)
-            open_ = not _ends_clean(part)
-        return joined
+                out.append(ids.tobytes())
+        return out
+
+
+def _odd(text: str) -> list[str]:
+    """Pieces of a text with other white space around a space: parts that it touches stay together."""
+    parts = text.split(" ")
+    joined, open_ = [parts[0]], not _ends_clean(parts[0])
+    for part in parts[1:]:
+        if open_ or not _begins_clean(part):
+            joined[-1] += " " + part
+        else:
+            joined.append(" " + part)
+        open_ = not _ends_clean(part)
+    return joined
+
+
+def _cuts_at_spaces(config: dict) -> bool:
+    """Whether the vocabulary is byte-level with the usual pattern, and nothing changes texts before it."""
+    cutter = config.get("pre_tokenizer") or {}
+    plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+    return plain and config.get("normalizer") is None and (config.get("model") or {}).get("type") == "BPE"
 
 
 def _pieces(space: str, part: str) -> tuple[str, ...] | list[str]:
     """A clean part, after a space or none, cut at its single line ends and after the letters that begin a line."""
     if part.isalpha():
         return (space + part,)
-    if part[:-1].isalpha():
+    if part[:-1].isalpha() and not part[-1].isspace():
         return space + part[:-1], part[-1]
     lines = part.split("\n")
     if not all(map(_clean, lines)):
@@ -176,6 +277,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     kind = "bigint" if docs.schema[id_col].dataType.simpleString() in ("bigint", "int") else "string"
     rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -264,6 +366,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, id_type: str = "
     before = (F.sum("n_tokens").over(W.orderBy("part")) - F.col("n_tokens")).alias("before")
     parts = manifest.select("part", before)
 
+    @task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tandem.llm.common import release, stored, texts, uniform
+from tandem.llm.common import stored, task, texts, uniform
 from tandem.llm.positions import terms_of
 
 BITS = 18
@@ -86,8 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where("id is not null").orderBy(uniform("toxicity", F.col("id")), "id", "label").limit(SAMPLE_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
 
+    @task("toxicity")
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("toxicity")
         hashes = _Hashes()
         for batch in batches:
             found = [_packed(np.unique(features(t, hashes))) for t in texts(batch.column(1))]
@@ -141,8 +141,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """`docs` with the model's probability of label 1 in `score_col`, a new name; null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.weights))
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("toxicity")
         weights, hashes = Model(*shared.value).dense(), _Hashes()
         for batch in batches:
             found = []
