@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import bind, explode_once
-from ..session import MAX_BROADCAST_ROWS, materialize, small
-from .order import range_buckets, with_prefix_sum
+from ..session import materialize, small
+from .order import MOST_BUCKETS, range_buckets, with_prefix_sum
 
 HOT_SHARE = 1e-4
 
@@ -75,7 +75,7 @@ def pearson(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
 def _with_ranks(distinct: DataFrame, value: str) -> DataFrame:
     """Add `rank` to a table of distinct values with their row counts `n`."""
     bucket = ["_cell", "_sub"]
-    ranked = with_prefix_sum(range_buckets(distinct, value), bucket, [value], F.col("n"), "_less", MAX_BROADCAST_ROWS)
+    ranked = with_prefix_sum(range_buckets(distinct, value), bucket, [value], F.col("n"), "_less", MOST_BUCKETS)
     return ranked.withColumn("rank", F.col("_less") + (F.col("n") + 1) / 2).drop("_less", *bucket)
 
 

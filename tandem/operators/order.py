@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import MAX_BROADCAST_ROWS, small
+from ..session import small
 
-CELLS = 4096
+#: Cells cut from all rows, pieces cut from a cell (both powers of two), and the rows from which a cell or a piece is crowded.
+CELLS, PIECES = 256, 1024
 CELL_ROWS = 1 << 20
+#: Rows of a table with one row a bucket: pieces of all cells, and the bucket of null keys.
+MOST_BUCKETS = CELLS * PIECES + 1
 
 
 # --- files ---------------------------------------------------------------
@@ -91,36 +94,50 @@ def with_file_index(
 # --- keys ----------------------------------------------------------------
 
 
-def _magnitude(k: Column) -> Column:
-    """Cell of a number: its sign and power of two, as an ordered whole number (NaN last)."""
-    power = F.floor(F.log2(F.abs(k)))
-    return (
-        F.when(F.isnan(k), 2 * CELLS)
-        .when(k > 0, F.least(power, F.lit(1100)) + 2000)
-        .when(k < 0, -F.least(power, F.lit(1100)) - 2000)
-        .otherwise(0)
-        .cast("int")
-    )
+def _splitters(k: Column, parts: int) -> Column:
+    """Keys that cut a group into `parts` runs of about as many rows: a quantile sketch, merged over partitions.
+
+    Each splitter is off by at most a (4 * parts)-th of the group's rows.
+    """
+    return F.percentile_approx(k, [i / parts for i in range(1, parts)], 4 * parts)
 
 
-def range_buckets(df: DataFrame, key: str) -> DataFrame:
-    """Add ordered bucket columns `_cell`, `_sub` for a numeric key.
+def _place(k: Column, splitters: Column, parts: int) -> Column:
+    """Number of splitters that are not above `k`, by bisection; `parts` is a power of two."""
+    steps = F.array(*(F.lit(parts >> i) for i in range(1, parts.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(splitters, at + step - 1) <= k, step).otherwise(0))
 
-    A cell is one power of two, so there are at most CELLS of them and no pass
-    is needed to learn the range. A cell with more than CELL_ROWS rows is cut
-    into equal-width pieces of its own key range. Ids count up evenly within a
-    power of two, and a far outlier only gets a cell of its own.
+
+def range_buckets(df: DataFrame, key: str, tie: str | None = None) -> DataFrame:
+    """Add ordered bucket columns `_cell`, `_sub` for a numeric key; with `tie` also `_tie`.
+
+    Quantiles of all keys cut CELLS cells, quantiles of its own keys cut a cell of more
+    than CELL_ROWS rows into pieces. Clumps and outliers change nothing, as
+    cuts follow the rows and not the width of a range. Rows of one key share a
+    bucket; if those may be many, a numeric second key `tie` cuts such a bucket in
+    the same way. Null keys come first, in a cell of their own.
+    With up to CELLS * PIECES * CELL_ROWS rows no bucket holds more than 2 * CELL_ROWS of different keys.
     """
     k = F.col(key).cast("double")
-    placed = df.withColumn("_cell", _magnitude(k))
-    cells = placed.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_pieces"),
-        F.min(k).alias("_lo"),
-        F.max(k).alias("_hi"),
-    )
-    piece = F.floor(F.try_divide((k - F.col("_lo")) * F.col("_pieces"), F.col("_hi") - F.col("_lo")))
-    sub = F.when(F.col("_pieces") > 1, F.coalesce(F.least(piece, F.col("_pieces") - 1), F.lit(0).cast("bigint"))).otherwise(0)
-    return placed.join(small(cells, CELLS), "_cell").withColumn("_sub", sub).drop("_pieces", "_lo", "_hi")
+    cuts = df.agg(_splitters(k, CELLS)).scalar()
+    placed = df.withColumn("_cuts", cuts).withColumn("_cell", F.when(k.isNull(), -1).otherwise(_place(k, F.col("_cuts"), CELLS))).drop("_cuts")
+    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), _splitters(k, PIECES).alias("_cuts"))
+    # A cell is cut into as many pieces as it has crowds, so that buckets stay few.
+    pieces = F.least(F.ceil(F.col("_rows") / CELL_ROWS), F.lit(PIECES)).cast("int")
+    cells = cells.select("_cell", pieces.alias("_pieces"), F.when(pieces > 1, F.col("_cuts")).alias("_cuts"))
+    joined = placed.join(small(cells, CELLS + 1), "_cell")
+    sub = F.floor(_place(k, F.col("_cuts"), PIECES) * F.col("_pieces") / PIECES).cast("int")
+    out = joined.withColumn("_sub", F.when(F.col("_cuts").isNotNull(), sub).otherwise(0)).drop("_pieces", "_cuts")
+    return out if tie is None else _cut_ties(out, tie)
+
+
+def _cut_ties(placed: DataFrame, tie: str) -> DataFrame:
+    """Add `_tie`: crowded buckets cut once more by a second key. Crowded buckets are not bounded in number, so the join is left open."""
+    t = F.col(tie).cast("double")
+    bucket = ["_cell", "_sub"]
+    crowded = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_rows"), _splitters(t, PIECES).alias("_cuts")).where(F.col("_rows") > CELL_ROWS)
+    joined = placed.join(crowded.drop("_rows"), bucket, "left")
+    return joined.withColumn("_tie", F.when(F.col("_cuts").isNull(), 0).when(t.isNull(), -1).otherwise(_place(t, F.col("_cuts"), PIECES))).drop("_cuts")
 
 
 def bucket_totals(df: DataFrame, bucket: list[str], value: Column) -> DataFrame:
@@ -148,7 +165,7 @@ def with_row_index(df: DataFrame, key: str, index: str = "idx") -> DataFrame:
     """Row number (from 0) in the order of a unique numeric key."""
     bucket = ["_cell", "_sub"]
     return with_prefix_sum(
-        range_buckets(df, key), bucket, [key], F.lit(1).cast("bigint"), index, MAX_BROADCAST_ROWS
+        range_buckets(df, key), bucket, [key], F.lit(1).cast("bigint"), index, MOST_BUCKETS
     ).drop(*bucket)
 
 
@@ -160,7 +177,7 @@ def slice_rows(df: DataFrame, key: str, start: int, end: int, index: str = "idx"
     touched = totals.where((F.col("_before") < end) & (F.col("_before") + F.col("_n") > start)).drop("_n")
     inside = Window.partitionBy(*bucket).orderBy(key)
     return (
-        placed.join(small(touched, MAX_BROADCAST_ROWS), bucket)
+        placed.join(small(touched, MOST_BUCKETS), bucket)
         .withColumn(index, F.col("_before") + F.row_number().over(inside) - 1)
         .where((F.col(index) >= start) & (F.col(index) < end))
         .drop("_before", *bucket)

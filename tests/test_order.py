@@ -20,11 +20,51 @@ def test_row_index_is_the_rank_whatever_the_partitions(spark, rows, monkeypatch,
     assert got == [(k, i) for i, k in enumerate(sorted(values))]
 
 
-def test_one_crowded_cell_is_cut_into_pieces(spark, monkeypatch):
+def crowds(df, *bucket):
+    return df.groupBy(*bucket).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        list(range(1024, 30_000)),
+        [2**40 + i for i in range(30_000)] + [2**41 - 1],
+        [0] + [2**62 + 4096 * i for i in range(30_000)],
+        [i * i for i in range(20_000)] + [-(2**i) for i in range(60)],
+    ],
+)
+def test_no_bucket_is_crowded_whatever_the_clumps(spark, rows, monkeypatch, values):
     monkeypatch.setattr(order, "CELL_ROWS", 16)
-    df = order.range_buckets(keyed(spark, list(range(1024, 2048)), 4), "k")
-    biggest = df.groupBy("_cell", "_sub").count().agg(F.max("count")).first()[0]
-    assert biggest <= 32
+    df = keyed(spark, values, 5)
+    placed = order.range_buckets(df, "k")
+    assert crowds(placed, "_cell", "_sub") <= 32
+    assert placed.select("_cell", "_sub").distinct().count() <= order.MOST_BUCKETS
+    spans = placed.groupBy("_cell", "_sub").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_cell", "_sub").collect()
+    assert all(a.hi < b.lo for a, b in zip(spans[:-1], spans[1:], strict=True))
+    assert rows(order.with_row_index(df, "k")) == [(k, i) for i, k in enumerate(sorted(values))]
+
+
+def test_clumped_ids_at_full_size(spark):
+    """3.5 million ids from 2^40 and a single one at 2^41 - 1."""
+    df = spark.range(2**40, 2**40 + 3_500_000, 1, 4).unionByName(spark.range(2**41 - 1, 2**41)).withColumnRenamed("id", "k")
+    assert crowds(order.range_buckets(df, "k"), "_cell", "_sub") <= 2 * order.CELL_ROWS
+    last = order.slice_rows(df, "k", 3_499_999, 3_500_001).orderBy("k").collect()
+    assert [(r.k, r.idx) for r in last] == [(2**40 + 3_499_999, 3_499_999), (2**41 - 1, 3_500_000)]
+
+
+def test_equal_keys_are_cut_by_a_second_key(spark, monkeypatch):
+    monkeypatch.setattr(order, "CELL_ROWS", 16)
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") > 5, F.col("id")).alias("t"))
+    placed = order.range_buckets(df, "k", "t")
+    assert crowds(placed, "_cell", "_sub") > 6000 and crowds(placed, "_cell", "_sub", "_tie") <= 32
+    spans = placed.groupBy("k", "_cell", "_sub", "_tie").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("k", "_tie").collect()
+    assert all(a.k < b.k or a.hi is None or a.hi < b.lo for a, b in zip(spans[:-1], spans[1:], strict=True))
+
+
+def test_null_keys_come_first_and_no_rows_are_fine(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,), (2,)], "k bigint")
+    assert [(r.k, r.idx) for r in order.with_row_index(df, "k").orderBy("idx").collect()] == [(None, 0), (1, 1), (2, 2), (3, 3)]
+    assert order.with_row_index(df.limit(0), "k").count() == 0
 
 
 def test_fractions_and_signs_keep_their_order(spark, rows):
