@@ -1,13 +1,15 @@
 """Training a small head on stored embedding tables.
 
-The table is cached; every step is one Spark job in which each partition turns
-its rows into summed gradients, Spark adds those up, and the driver updates a
-few thousand parameters. Rows never leave the executors.
+Every step is one Spark job in which each partition turns its rows into summed
+gradients, groups of partitions add those up as arrays, and the driver adds the
+groups and updates a few thousand parameters. Rows never leave the executors.
+Full-batch steps read the cached table; smaller batches are stored by step in the
+order of the epoch, and a step reads the files of its own batch alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vectors as vx
 from ..operators import heads, metrics as mt
 from ..operators.combine import CombineParams, check_method
+from ..operators.labels import decode
+from ..operators.order import with_epoch_order
+from ..session import drop_scratch, scratch_path
 
 # Optimizer settings.
 LEARNING_RATE = 2e-5
@@ -30,6 +35,10 @@ BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 NORM_EPS = 1e-3
 
+#: Rows of a file of a batch, and groups in which partitions add up their gradients.
+FILE_ROWS = 1 << 16
+GROUPS = 32
+
 
 @dataclass
 class HeadSpec:
@@ -171,31 +180,31 @@ def summed_gradient(df: DataFrame, spec: HeadSpec, p: dict[str, np.ndarray], wit
     n_enc = len(spec.widths)
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         loss = weight = 0.0
         total = np.zeros(sum(p[n].size for n in names) if with_grad else 0)
         for b in batches:
             if not b.num_rows:
                 continue
-            xs = [vx.to_matrix(b.column(f"vec_{i + 1}")) for i in range(n_enc)]
-            y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
-            w = b.column("w").to_numpy(zero_copy_only=False).astype(float)
-            mask = None
-            if with_grad and spec.dropout > 0:
-                ids = b.column("id").to_numpy(zero_copy_only=False)
-                mask = dropout_mask(ids, spec.meta_width, spec.dropout, seed)
-            part, g = forward_backward(spec, p, xs, y, w, mask, with_grad)
+            part, w, g = _batch_gradient(b, spec, p, n_enc, with_grad, seed)
             loss, weight = loss + part, weight + float(w.sum())
             if with_grad:
                 total += np.concatenate([np.ravel(g[n]) for n in names])
-        values = np.concatenate(([loss, weight], total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "value"])
+        yield _summed(TaskContext.get().partitionId(), np.concatenate(([loss, weight], total)))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["part"], r["sums"]) for b in batches for r in b.to_pylist())
+        if rows:
+            yield _summed(rows[0][0], np.sum([np.frombuffer(s) for _, s in rows], axis=0))
 
     columns = ["id", "y", "w"] + [f"vec_{i + 1}" for i in range(n_enc)]
-    sums = df.select(*columns).mapInArrow(per_partition, "i long, value double").groupBy("i").agg(F.sum("value").alias("value"))
-    # One row per parameter, whatever the size of the table.
-    flat = np.zeros(2 + (sum(a.size for a in p.values()) if with_grad else 0))
-    for r in sums.collect():
-        flat[r.i] = r.value
+    sums = df.select(*columns).mapInArrow(per_partition, "part int, sums binary")
+    if df.rdd.getNumPartitions() > GROUPS:
+        sums = sums.repartition(GROUPS, F.pmod("part", F.lit(GROUPS))).mapInArrow(added, "part int, sums binary")
+    # At most GROUPS rows of one number a parameter, whatever the size of the table.
+    rows = sorted((r.part, bytes(r.sums)) for r in sums.collect())
+    flat = np.sum([np.frombuffer(s) for _, s in rows], axis=0) if rows else np.zeros(2 + (sum(a.size for a in p.values()) if with_grad else 0))
     grads, at = {}, 2
     if with_grad:
         for n in names:
@@ -204,6 +213,70 @@ def summed_gradient(df: DataFrame, spec: HeadSpec, p: dict[str, np.ndarray], wit
     return flat[0], flat[1], grads
 
 
+def _batch_gradient(b: pa.RecordBatch, spec: HeadSpec, p, n_enc: int, with_grad: bool, seed: int):
+    xs = [vx.to_matrix(b.column(f"vec_{i + 1}")) for i in range(n_enc)]
+    y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
+    w = b.column("w").to_numpy(zero_copy_only=False).astype(float)
+    mask = None
+    if with_grad and spec.dropout > 0:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        mask = dropout_mask(ids, spec.meta_width, spec.dropout, seed)
+    loss, g = forward_backward(spec, p, xs, y, w, mask, with_grad)
+    return loss, w, g
+
+
+def _summed(part: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["part", "sums"])
+
+
+def batch_losses(df: DataFrame, spec: HeadSpec, p: dict[str, np.ndarray]) -> DataFrame:
+    """(batch_id, loss): weighted mean loss of each batch of a table with `batch_id`."""
+    n_enc = len(spec.widths)
+
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            batch = b.column("batch_id").to_numpy()
+            for k in np.unique(batch).tolist():
+                own = b.filter(pa.array(batch == k))
+                loss, w, _ = _batch_gradient(own, spec, p, n_enc, False, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([loss]), pa.array([float(w.sum())])], ["batch_id", "l", "w"])
+
+    columns = ["batch_id", "id", "y", "w"] + [f"vec_{i + 1}" for i in range(n_enc)]
+    parts = df.select(*columns).mapInArrow(per_partition, "batch_id bigint, l double, w double")
+    return parts.groupBy("batch_id").agg(F.try_divide(F.sum("l"), F.sum("w")).alias("loss"))
+
+
+def in_batches(df: DataFrame, batch_size: int, epoch: int = 1, seed: int = 0) -> DataFrame:
+    """Add `batch_id`: runs of `batch_size` sentences in the order of an epoch; the last may be short.
+
+    A sentence is a row, or all rows of one `sent` if there is such a column. Only
+    keys are put in order; rows move once, to their batch.
+    """
+    key = "sent" if "sent" in df.columns else "id"
+    keys = df.select(key).distinct() if key == "sent" else df.select(key)
+    at = with_epoch_order(keys, key, epoch, seed, "_pos").select(key, F.floor(F.col("_pos") / batch_size).alias("batch_id"))
+    return df.join(at, key)
+
+
+class StepStore:
+    """The rows of an epoch, stored by step: a step reads its own files and no others."""
+
+    def __init__(self, train: DataFrame, batch_size: int, epoch: int, seed: int = 0) -> None:
+        self.spark, self.schema = train.sparkSession, train.schema
+        self.path = scratch_path(self.spark, f"epoch-{epoch}")
+        rows = in_batches(train, batch_size, epoch, seed)
+        # A batch of many rows is many files, so that no task holds it whole.
+        files = max(1, -(-batch_size // FILE_ROWS))
+        dealt = rows.repartition("batch_id", F.pmod(F.xxhash64("id"), F.lit(files)))
+        dealt.write.partitionBy("batch_id").parquet(self.path)
+
+    def step(self, number: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={number}")
+
+    def drop(self) -> None:
+        drop_scratch(self.spark, self.path)
+
+
 def schedule_factor(step: int, steps: int, warmup: int) -> float:
     if step < warmup:
         return step / max(1, warmup)
@@ -272,6 +345,13 @@ class FitResult:
     history: list[tuple]
     best_epoch: int | None = None
     test: list[tuple] | None = None
+    #: (epoch, step from 1, loss) of every step.
+    steps: list[tuple] = field(default_factory=list)
+
+    def progress_table(self, spark, epoch: int, parts: int = 10) -> DataFrame:
+        """Average loss of each tenth of an epoch."""
+        own = [(k, float(loss)) for e, k, loss in self.steps if e == epoch]
+        return mt.progress_loss(spark.createDataFrame(own, "batch bigint, loss double"), max(1, len(own)), parts)
 
     def history_table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.history, "epoch int, train_loss double, val_loss double, score double")
@@ -298,50 +378,65 @@ def fit(
     test: DataFrame | None = None,
     metrics: Sequence[str] = (),
     task: str | None = None,
+    tags: Mapping[str, int] | None = None,
     learning_rate: float | Sequence[float] = LEARNING_RATE,
     decoder_learning_rate: float | None = None,
     epochs: int = EPOCHS,
+    batch_size: int | None = None,
     steps_per_epoch: int = 1,
     use_linear_scheduler: bool = False,
     warmup_fraction: float = WARMUP_FRACTION,
     weight_decay: float = WEIGHT_DECAY,
     floor: float | None = None,
     seed: int = 0,
+    init: dict[str, np.ndarray] | None = None,
 ) -> FitResult:
     """Train on a table (id, y, w, vec_1 …); `w` weighs the loss of a row (1 for sentences,
     1 / number of words for tagged words, so that each sentence counts once).
 
-    `steps_per_epoch` splits the table by a seeded hash of the id into that many
-    batches; 1 is full-batch training. With `dev` and `metrics` the parameters of
-    the best epoch by the first metric are kept and `test` is scored once with them.
+    Batches have `batch_size` sentences in the order of the epoch (the first in key order,
+    later ones shuffled by the seed); without it `steps_per_epoch` equal batches,
+    1 being full-batch training. The rows of a sentence of tagged words share a column `sent` and
+    a batch, and `tags` (name -> number) makes the metrics those of tag sequences. The
+    dev loss is the mean of its batches' losses, in key order. With `dev` and
+    `metrics` the parameters of the best epoch by the first metric are kept
+    and `test` is scored once with them. `init` gives the first parameters.
     """
-    p = spec.init(seed)
+    p = {n: np.array(a, float) for n, a in init.items()} if init else spec.init(seed)
     rate = group_rates(spec, learning_rate, decoder_learning_rate)
     optimizer = AdamW(weight_decay)
+    if batch_size or steps_per_epoch > 1:
+        n = (train.select("sent").distinct() if "sent" in train.columns else train).count()
+        batch_size = batch_size or -(-n // steps_per_epoch)
+        steps_per_epoch = -(-n // batch_size) if n else 0
     steps = epochs * steps_per_epoch
     warmup = int(np.ceil(steps * warmup_fraction))
-    task = task or ("Sentence regression" if spec.outputs == 1 else "Sentence classification")
-    history, best, best_score, best_epoch = [], p, -np.inf if floor is None else floor, None
-    cached = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in (train, dev) if t is not None]
+    task = task or ("Sequence labeling" if tags else "Sentence regression" if spec.outputs == 1 else "Sentence classification")
+    history, every, best, best_score, best_epoch = [], [], p, -np.inf if floor is None else floor, None
+    dev_rows = dev if dev is None or not batch_size else in_batches(dev, batch_size)
+    kept = [dev_rows] if batch_size else [train, dev_rows]
+    cached = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in kept if t is not None]
     try:
         step = 0
         for epoch in range(1, epochs + 1):
             losses = []
+            store = StepStore(train, batch_size, epoch, seed) if batch_size else None
             for part in range(steps_per_epoch):
-                loss, weight, grads = summed_gradient(
-                    _step_rows(train, epoch, part, steps_per_epoch, seed), spec, p, seed=seed * 1_000_003 + step
-                )
+                rows = store.step(part) if store else train
+                loss, weight, grads = summed_gradient(rows, spec, p, seed=seed * 1_000_003 + step)
                 if weight > 0:
                     factor = schedule_factor(step, steps, warmup) if use_linear_scheduler else 1.0
                     optimizer.update(p, {n: g / weight for n, g in grads.items()}, lambda n: rate(n) * factor)
                     losses.append(loss / weight)
+                    every.append((epoch, part + 1, loss / weight))
                 step += 1
+            if store:
+                store.drop()
             val_loss = score = None
             if dev is not None:
-                loss, weight, _ = summed_gradient(dev, spec, p, with_grad=False)
-                val_loss = float(loss / weight) if weight else None
+                val_loss = _dev_loss(dev_rows, spec, p)
                 if metrics:
-                    score = _main_score(dev, spec, p, task, metrics)
+                    score = _main_score(dev_rows, spec, p, task, metrics, tags)
                     if score is not None and score > best_score:
                         best, best_score, best_epoch = {n: a.copy() for n, a in p.items()}, score, epoch
             history.append((epoch, float(np.mean(losses)) if losses else None, val_loss, score))
@@ -350,36 +445,51 @@ def fit(
             t.unpersist()
     if best_epoch is None:
         best = p
-    result = FitResult(spec, best, history, best_epoch)
+    result = FitResult(spec, best, history, best_epoch, steps=every)
     if test is not None and metrics:
-        rows = mt.evaluate(_gold_pred(result.score(test)), task, metrics).orderBy("rank").collect()
+        rows = mt.evaluate(_gold_pred(result.score(test), tags), task, metrics).orderBy("rank").collect()
         result.test = [(r.metric, r.value) for r in rows]
     return result
 
 
-def _step_rows(train: DataFrame, epoch: int, part: int, parts: int, seed: int) -> DataFrame:
-    if parts == 1:
-        return train
-    return train.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), F.lit(parts)) == part)
+def _dev_loss(dev: DataFrame, spec: HeadSpec, p) -> float | None:
+    if "batch_id" in dev.columns:
+        return mt.validation_loss(batch_losses(dev, spec, p)).first().value
+    loss, weight, _ = summed_gradient(dev, spec, p, with_grad=False)
+    return float(loss / weight) if weight else None
 
 
-def _gold_pred(scored: DataFrame) -> DataFrame:
-    return scored.select(F.col("y").alias("gold"), F.col("pred").cast("double").alias("pred"))
+def _gold_pred(scored: DataFrame, tags: Mapping[str, int] | None = None) -> DataFrame:
+    if not tags:
+        return scored.select(F.col("y").alias("gold"), F.col("pred").cast("double").alias("pred"))
+    return tag_sequences(scored, tags)
+
+
+def tag_sequences(scored: DataFrame, tags: Mapping[str, int]) -> DataFrame:
+    """(sent, gold, pred): names of the tags of each sentence, in the order of `word_pos`. A group is one sentence."""
+    word = F.struct("word_pos", F.col("y").cast("int").alias("g"), F.col("pred").cast("int").alias("p"))
+    rows = scored.groupBy("sent").agg(F.array_sort(F.collect_list(word)).alias("_words"))
+    return rows.select(
+        "sent",
+        F.transform("_words", lambda x: decode(x["g"], tags)).alias("gold"),
+        F.transform("_words", lambda x: decode(x["p"], tags)).alias("pred"),
+    )
 
 
-def _main_score(dev: DataFrame, spec: HeadSpec, p, task: str, metrics: Sequence[str]) -> float | None:
-    row = mt.evaluate(_gold_pred(score_table(dev, spec, p)), task, metrics[:1]).first()
+def _main_score(dev: DataFrame, spec: HeadSpec, p, task: str, metrics: Sequence[str], tags=None) -> float | None:
+    row = mt.evaluate(_gold_pred(score_table(dev, spec, p), tags), task, metrics[:1]).first()
     return row.value
 
 
 def training_table(
-    aligned: DataFrame, key: str, target: Column, vectors: Sequence[str], weight: Column | None = None
+    aligned: DataFrame, key: str, target: Column, vectors: Sequence[str], weight: Column | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Columns (id, y, w, vec_1 …) of an aligned table."""
+    """Columns (id, y, w, vec_1 …) of an aligned table, and those in `keep` (`sent`, `word_pos` for tagged words)."""
     w = F.lit(1.0) if weight is None else weight
     return aligned.select(
         F.col(key).cast("bigint").alias("id"),
         target.cast("double").alias("y"),
         w.cast("double").alias("w"),
+        *keep,
         *[F.col(v).cast("array<double>").alias(f"vec_{i}") for i, v in enumerate(vectors, 1)],
     )

@@ -89,6 +89,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own below the scratch folder, once nothing reads it any more."""
+    if not path.startswith(scratch_root(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the scratch folder")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, max_rows: int | None) -> DataFrame:
     """Broadcast `df` if `max_rows`, a bound proven by the caller, is within the limit.
 
