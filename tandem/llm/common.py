@@ -19,12 +19,25 @@ T = TypeVar("T")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch of rows on its way to a Python worker; Spark's own setting lets a batch of whole texts take 64 MB, several times over.
+BATCH_BYTES = "4m"
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", ("64m", "67108864", "67108864b")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES in this session, unless it has a setting of its own."""
+    if spark.conf.get(_BATCH, _SPARKS_OWN[0]).lower() in _SPARKS_OWN:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder; the lineage ends at the files."""
+    bounded(df.sparkSession)
     return materialize(df, name)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.llm.common import stored, task, texts
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Words of queries that go to the executors in one broadcast: 16 MB.
 QUERY_WORDS = 1_000_000
 
