@@ -39,29 +39,52 @@ def check_method(method: str, n_encoders: int) -> str:
 
 
 def align(tables: Sequence[DataFrame], key: str = "sent_id", vec: str = "vec", drop_missing: bool = False) -> DataFrame:
-    """One row per sentence with vec_1 … vec_n: equi-joins on the same key.
+    """One row per sentence with vec_1 … vec_n, and the other columns of the first table.
 
     A sentence that one of the tables lacks stops the query; `drop_missing`
-    leaves such sentences out. Tables bucketed by the key (see
-    `sources.sink.write_bucketed`) join without a shuffle; otherwise each table
-    is shuffled once, as all joins share the key.
+    leaves such sentences out. Two tables are joined; if they are bucketed by the key (see
+    `sources.sink.write_bucketed`) without a shuffle. Of three or more the rows are put together and
+    grouped by the key, so each row moves once; there a doubled sentence stops the query too.
     """
     renamed = [
         t.select(key, F.col(vec).alias(f"vec_{i}"), *[c for c in t.columns if i == 1 and c not in (key, vec)])
         for i, t in enumerate(tables, 1)
     ]
+    if len(renamed) > 2:
+        return _grouped(renamed, key, drop_missing)
     if drop_missing or len(renamed) == 1:
         return reduce(lambda a, b: a.join(b, key), renamed)
     there = [F.col(f"_in_{i}") for i in range(len(renamed))]
     marked = [t.withColumn(f"_in_{i}", F.lit(True)) for i, t in enumerate(renamed)]
     joined = reduce(lambda a, b: a.join(b, key, "full"), marked)
-    lacking = F.concat(F.lit("an encoder has no vector of sentence "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in there])
-    return joined.where(F.when(complete, F.lit(True)).otherwise(F.raise_error(lacking).cast("boolean"))).drop(
+    return joined.where(F.when(complete, F.lit(True)).otherwise(_stop("an encoder has no vector of sentence ", key))).drop(
         *[f"_in_{i}" for i in range(len(renamed))]
     )
 
 
+def _stop(message: str, key: str) -> Column:
+    return F.raise_error(F.concat(F.lit(message), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+
+
+def _grouped(tables: list[DataFrame], key: str, drop_missing: bool) -> DataFrame:
+    """Tagged union of all tables, grouped once. Only one row of each table is kept in a group, however often it is there."""
+    union = None
+    for i, t in enumerate(tables, 1):
+        body = F.struct(*[c for c in t.columns if c != key])
+        tagged = t.select(key, body.alias(f"_t{i}"), F.lit(1).alias(f"_n{i}"))
+        union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
+    n = range(1, len(tables) + 1)
+    grouped = union.groupBy(key).agg(*[F.first(f"_t{i}", ignorenulls=True).alias(f"_t{i}") for i in n], *[F.count(f"_n{i}").alias(f"_n{i}") for i in n])
+    every = reduce(lambda a, b: a & b, [F.col(f"_n{i}") > 0 for i in n])
+    once = reduce(lambda a, b: a & b, [F.col(f"_n{i}") < 2 for i in n])
+    there = F.col(key).isNotNull() & every
+    sound = F.when(~there, F.lit(False) if drop_missing else _stop("an encoder has no vector of sentence ", key))
+    sound = sound.when(once, F.lit(True)).otherwise(_stop("an encoder has more than one vector of sentence ", key))
+    names = [F.col(f"_t{i}.{c}").alias(c) for i, t in enumerate(tables, 1) for c in t.columns if c != key]
+    return grouped.where(sound).select(key, *names)
+
+
 def project(vec: Column, weight, bias) -> Column:
     """Linear map of one encoder's vectors to the common width."""
     return vx.linear(vec, weight, bias)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import bind, explode_once
-from ..session import materialize, small
+from ..session import small, temporary_tables
 from .order import MOST_BUCKETS, range_buckets, with_prefix_sum
 
 HOT_SHARE = 1e-4
@@ -37,10 +37,11 @@ def _f1() -> Column:
 
 def matthews(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Multi-class Matthews correlation, 0 where a denominator is 0."""
-    return _matthews(confusion(df, gold, pred))
+    return _class_sums(confusion(df, gold, pred)).select(_matthews().alias("value"))
 
 
-def _matthews(conf: DataFrame) -> DataFrame:
+def _class_sums(conf: DataFrame) -> DataFrame:
+    """One row: rows `s`, right ones `c`, and the sums over classes of gold * pred, gold * gold and pred * pred rows."""
     none = F.lit(0).cast("double")
     n = F.col("n").cast("double")
     hit = F.when(F.col("gold") == F.col("pred"), n).otherwise(none)
@@ -55,12 +56,13 @@ def _matthews(conf: DataFrame) -> DataFrame:
     )
     s, c = F.sum("t"), F.sum("c")
     tp, tt, pp = F.sum(F.col("t") * F.col("p")), F.sum(F.col("t") * F.col("t")), F.sum(F.col("p") * F.col("p"))
-    sums = per_class.agg(s.alias("s"), c.alias("c"), tp.alias("tp"), tt.alias("tt"), pp.alias("pp"))
+    return per_class.agg(s.alias("s"), c.alias("c"), tp.alias("tp"), tt.alias("tt"), pp.alias("pp"))
+
+
+def _matthews() -> Column:
     s2 = F.col("s") * F.col("s")
     bottom = F.sqrt((s2 - F.col("pp")) * (s2 - F.col("tt")))
-    return sums.select(
-        F.coalesce(F.try_divide(F.col("c") * F.col("s") - F.col("tp"), bottom), none).alias("value")
-    )
+    return F.coalesce(F.try_divide(F.col("c") * F.col("s") - F.col("tp"), bottom), F.lit(0.0))
 
 
 def pearson_of(x: Column, y: Column) -> Column:
@@ -100,18 +102,25 @@ def attach_by_value(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return on_hot.unionByName(on_cold)
 
 
-def spearman(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Pearson correlation of average ranks.
-
-    Rows collapse to distinct (gold, pred) pairs with counts, which are stored
-    once. Ranks of predictions are joined to the pairs; ranks of gold values are
-    not joined at all, because the pairs are summed up per gold value first.
-    """
+def _pairs(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """(g, p, n): distinct pairs of numbers with their rows; pairs with a null are left out."""
     g, p = F.col(gold).cast("double").alias("g"), F.col(pred).cast("double").alias("p")
-    pairs = materialize(
-        df.select(g, p).dropna().groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")), "rank-pairs"
-    )
-    p_ranks = materialize(average_ranks(pairs, "p"), "ranks").withColumnRenamed("rank", "y")
+    return df.select(g, p).dropna().groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pearson_of_pairs(pairs: DataFrame) -> DataFrame:
+    n = F.col("n")
+    # Centring first keeps the sums of products exact enough.
+    x = F.col("g") - pairs.agg(F.try_divide(F.sum(n * F.col("g")), F.sum(n))).scalar()
+    y = F.col("p") - pairs.agg(F.try_divide(F.sum(n * F.col("p")), F.sum(n))).scalar()
+    sums = pairs.agg(F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    return sums.select(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("value"))
+
+
+def _spearman_of_pairs(pairs: DataFrame, keep) -> DataFrame:
+    """Ranks of predictions are joined to the pairs; ranks of gold values are not
+    joined at all, because the pairs are summed up per gold value first."""
+    p_ranks = keep(average_ranks(pairs, "p"), "ranks").withColumnRenamed("rank", "y")
     # Ranks average (N + 1) / 2; centring first keeps the sums of squares exact enough.
     mid = (pairs.agg(F.sum("n")).scalar() + 1) / 2
     n, y = F.col("n"), F.col("y") - mid
@@ -119,11 +128,30 @@ def spearman(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame
         F.sum("n").alias("n"), F.sum(n * y).alias("sy"), F.sum(n * y * y).alias("syy")
     )
     x = F.col("rank") - mid
-    ranked = _with_ranks(materialize(per_gold, "rank-sums"), "g")
+    ranked = _with_ranks(keep(per_gold, "rank-sums"), "g")
     sums = ranked.agg(F.sum(x * F.col("sy")).alias("xy"), F.sum(F.col("n") * x * x).alias("xx"), F.sum("syy").alias("yy"))
     return sums.select(F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))).alias("value"))
 
 
+def spearman(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Pearson correlation of average ranks.
+
+    Rows collapse to distinct (gold, pred) pairs with counts, which are stored
+    until the one value is known; no file stays behind.
+    """
+    return _correlations(df, ["spearmanr"], gold, pred).select("value")
+
+
+def _correlations(df: DataFrame, names: Sequence[str], gold: str, pred: str) -> DataFrame:
+    """(name, value) of the correlations asked for, all from one table of pairs, read from `df` once."""
+    spark = df.sparkSession
+    with temporary_tables(spark) as keep:
+        pairs = keep(_pairs(df, gold, pred), "pairs")
+        made = {"pearsonr": lambda: _pearson_of_pairs(pairs), "spearmanr": lambda: _spearman_of_pairs(pairs, keep)}
+        rows = [(name, made[name]().first().value) for name in names]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
 # --- tags ----------------------------------------------------------------
 
 
@@ -186,23 +214,35 @@ def entity_counts(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags
     (spans as short texts, which intersect by hash) and the only shuffle is the
     final sum.
     """
-    text = lambda c: F.transform(
-        entity_spans(F.col(c)), lambda s: F.concat(s["first"].cast("string"), F.lit(":"), s["last"].cast("string"), F.lit(":"), s["type"])
-    )
-    spans = df.select(text(gold).alias("g"), text(pred).alias("p"))
+    return _tag_counts(df, gold, pred).select("tp", "n_gold", "n_pred")
+
+
+def _tag_counts(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """One row: words, right words, exact span matches and spans on each side."""
+    def text(c: str) -> Column:
+        return F.transform(
+            entity_spans(F.col(c)), lambda s: F.concat(s["first"].cast("string"), F.lit(":"), s["last"].cast("string"), F.lit(":"), s["type"])
+        )
+
+    hits = F.aggregate(F.zip_with(gold, pred, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    spans = df.select(text(gold).alias("g"), text(pred).alias("p"), F.size(gold).alias("words"), hits.alias("hits"))
     return spans.agg(
         F.coalesce(F.sum(F.size(F.array_intersect("g", "p"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.size("g")), F.lit(0)).alias("n_gold"),
         F.coalesce(F.sum(F.size("p")), F.lit(0)).alias("n_pred"),
+        F.sum("words").alias("words"),
+        F.sum("hits").alias("right"),
     )
 
 
+def _span_f1() -> Column:
+    tp = F.col("tp").cast("double")
+    return F.coalesce(F.try_divide(2 * tp, F.col("n_gold") + F.col("n_pred")), F.lit(0.0))
+
+
 def entity_f1(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags") -> DataFrame:
     """Micro F1 over exact spans; 0 if neither side has any."""
-    tp = F.col("tp").cast("double")
-    return entity_counts(df, gold, pred).select(
-        F.coalesce(F.try_divide(2 * tp, F.col("n_gold") + F.col("n_pred")), F.lit(0.0)).alias("value")
-    )
+    return entity_counts(df, gold, pred).select(_span_f1().alias("value"))
 
 
 # --- evaluation ----------------------------------------------------------
@@ -219,28 +259,32 @@ def evaluate(
     """(metric, value) in the order asked for, plus `rank`.
 
     For sequence labelling `gold` and `pred` are arrays of tag names without padding.
+    All metrics of a task come from one shared aggregate, so `df` is read once:
+    cells of the confusion matrix, counts of words and spans, or the counted pairs of numbers.
     """
     if "regression" in task:
-        known = {"pearsonr": pearson, "spearmanr": spearman}
+        kind, known = "regression", {"pearsonr": None, "spearmanr": None}
     elif "classification" in task:
-        known = {"accuracy": accuracy, "f1_score": f1_micro, "matthews_corr": matthews}
+        kind = "classification"
+        right = F.try_divide(F.col("c"), F.col("s"))
+        # Every wrong row is a false alarm of one class and a miss of another.
+        known = {"accuracy": right, "f1_score": F.coalesce(right, F.lit(0.0)), "matthews_corr": _matthews()}
     else:
-        known = {"accuracy": _tag_name_accuracy, "f1_score": entity_f1}
-    result = None
-    for i, name in enumerate(metrics):
+        kind = "labeling"
+        known = {"accuracy": F.try_divide(F.col("right").cast("double"), F.col("words")), "f1_score": _span_f1()}
+    for name in metrics:
         if name not in known:
             raise ValueError(f"metric {name!r} is not defined for {task!r}")
-        row = known[name](df, gold, pred).select(F.lit(i).alias("rank"), F.lit(name).alias("metric"), "value")
-        result = row if result is None else result.unionByName(row)
-    return result
-
-
-def _tag_name_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
-    hits = F.zip_with(gold, pred, lambda a, b: F.when(a == b, 1).otherwise(0))
-    total = F.sum(F.size(gold))
-    return df.agg(
-        F.try_divide(F.sum(F.aggregate(hits, F.lit(0), lambda a, x: a + x)).cast("double"), total).alias("value")
-    )
+    if not metrics:
+        return df.sparkSession.createDataFrame([], "rank int, metric string, value double")
+    if kind == "regression":
+        found = _correlations(df, list(dict.fromkeys(metrics)), gold, pred).collect()
+        values = {r.name: r.value for r in found}
+        rows = [(i, name, values[name]) for i, name in enumerate(metrics)]
+        return df.sparkSession.createDataFrame(rows, "rank int, metric string, value double")
+    shared = _class_sums(confusion(df, gold, pred)) if kind == "classification" else _tag_counts(df, gold, pred)
+    each = [F.struct(F.lit(i).alias("rank"), F.lit(name).alias("metric"), known[name].alias("value")) for i, name in enumerate(metrics)]
+    return shared.select(F.explode(F.array(*each)).alias("m")).select("m.*")
 
 
 def best_epoch(history: DataFrame, score: str = "score", floor: float | None = None) -> DataFrame:

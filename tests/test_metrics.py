@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tandem.operators import metrics as mt
+from tandem.session import scratch_root
 
 
 def table(spark, gold, pred, kind="double", parts=3):
@@ -112,3 +114,37 @@ def test_progress_and_summary(spark, rows):
     assert got[0] == (0, 1.5, 2) and got[12] == (12, 25.0, 1) and len(got) == 13
     runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "combo string, score double")
     assert rows(mt.run_summary(runs, "a"), "combo", "mean", "gain") == [("a", 2.0, 0.0), ("b", 5.0, 3.0)]
+
+
+@pytest.mark.parametrize(
+    ("task", "metrics", "columns"),
+    [
+        ("Sentence classification", ["accuracy", "matthews_corr", "f1_score"], "CAST(id % 3 AS string) AS gold, CAST(id % 4 AS string) AS pred"),
+        ("Sequence labeling", ["f1_score", "accuracy"], "array('B-X', IF(id % 2 = 0, 'I-X', 'O')) AS gold, array('B-X', 'O') AS pred"),
+        ("Sentence regression", ["spearmanr", "pearsonr"], "CAST(id % 7 AS double) AS gold, CAST(id * id % 11 AS double) AS pred"),
+    ],
+)
+def test_evaluation_reads_its_table_once_and_leaves_nothing(spark, tmp_path, task, metrics, columns):
+    path = str(tmp_path / "t")
+    spark.sql(f"SELECT {columns} FROM range(200)").write.parquet(path)
+    df = spark.read.parquet(path)
+    before = set(Path(scratch_root(spark)).iterdir())
+    got = mt.evaluate(df, task, metrics)
+    rows = [(r["rank"], r["metric"], r["value"]) for r in got.orderBy("rank").collect()]
+    assert [r[:2] for r in rows] == list(enumerate(metrics))
+    assert set(Path(scratch_root(spark)).iterdir()) == before
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 1
+    known = {"accuracy": mt.accuracy, "f1_score": mt.f1_micro, "matthews_corr": mt.matthews, "pearsonr": mt.pearson, "spearmanr": mt.spearman}
+    if task != "Sequence labeling":
+        assert [v for _, _, v in rows] == pytest.approx([known[m](df).first().value for m in metrics])
+    else:
+        assert [v for _, _, v in rows] == pytest.approx([mt.entity_f1(df, "gold", "pred").first().value, 0.75])
+
+
+def test_evaluation_of_nothing(spark):
+    none = spark.createDataFrame([], "gold double, pred double")
+    got = mt.evaluate(none, "Sentence classification", ["accuracy", "f1_score", "matthews_corr"]).orderBy("rank").collect()
+    assert [r.value for r in got] == [None, 0.0, 0.0]
+    assert [r.value for r in mt.evaluate(none, "Sentence regression", ["pearsonr", "spearmanr"]).collect()] == [None, None]
+    assert mt.evaluate(none, "Sentence regression", []).count() == 0

@@ -129,3 +129,34 @@ def test_a_sentence_without_a_vector_stops_the_alignment(spark):
         cb.align([one, two]).collect()
     assert [r.sent_id for r in cb.align([one, two], drop_missing=True).collect()] == [2]
     assert cb.align([one, one.where("false")], drop_missing=True).count() == 0
+
+
+def encoders(spark, ids, n=3):
+    return [
+        spark.createDataFrame([(i, [float(i), float(k)], f"text {i}", k) for i in ids], "sent_id bigint, vec array<double>, text string, label int").repartition(3)
+        for k in range(n)
+    ]
+
+
+def test_three_encoders_in_one_exchange(spark):
+    df = cb.align(encoders(spark, range(50)))
+    assert df.columns == ["sent_id", "vec_1", "text", "label", "vec_2", "vec_3"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sent_id") == 1 and "Join" not in plan
+    got = sorted(map(tuple, df.collect()))
+    assert got == [(i, [float(i), 0.0], f"text {i}", 0, [float(i), 1.0], [float(i), 2.0]) for i in range(50)]
+
+
+@pytest.mark.parametrize("what", ["missing", "doubled", "null"])
+def test_three_encoders_must_have_each_sentence_once(spark, what):
+    one, two, three = encoders(spark, range(5))
+    if what == "missing":
+        two = two.where("sent_id <> 3")
+    elif what == "doubled":
+        two = two.unionByName(two.where("sent_id = 3"))
+    else:
+        one, two, three = (t.selectExpr("nullif(sent_id, 3) AS sent_id", "vec", "text", "label") for t in (one, two, three))
+    with pytest.raises(Exception, match="more than one" if what == "doubled" else "no vector"):
+        cb.align([one, two, three]).collect()
+    if what != "doubled":
+        assert [r.sent_id for r in cb.align([one, two, three], drop_missing=True).orderBy("sent_id").collect()] == [0, 1, 2, 4]
