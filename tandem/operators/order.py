@@ -119,9 +119,13 @@ def range_buckets(df: DataFrame, key: str, tie: str | None = None) -> DataFrame:
     With up to CELLS * PIECES * CELL_ROWS rows no bucket holds more than 2 * CELL_ROWS of different keys.
     """
     k = F.col(key).cast("double")
-    cuts = df.agg(_splitters(k, CELLS)).scalar()
-    placed = df.withColumn("_cuts", cuts).withColumn("_cell", F.when(k.isNull(), -1).otherwise(_place(k, F.col("_cuts"), CELLS))).drop("_cuts")
-    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), _splitters(k, PIECES).alias("_cuts"))
+    whole = df.agg(F.struct(_splitters(k, CELLS).alias("cuts"), F.count(F.lit(1)).alias("rows"))).scalar()
+    placed = df.withColumn("_whole", whole)
+    placed = placed.withColumn("_cell", F.when(k.isNull(), -1).otherwise(_place(k, F.col("_whole.cuts"), CELLS)))
+    # Without a crowd in the whole table no cell has one, and the sketches stay empty.
+    own = F.when(F.col("_whole.rows") > CELL_ROWS, k)
+    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), _splitters(own, PIECES).alias("_cuts"))
+    placed = placed.drop("_whole")
     # A cell is cut into as many pieces as it has crowds, so that buckets stay few.
     pieces = F.least(F.ceil(F.col("_rows") / CELL_ROWS), F.lit(PIECES)).cast("int")
     cells = cells.select("_cell", pieces.alias("_pieces"), F.when(pieces > 1, F.col("_cuts")).alias("_cuts"))
