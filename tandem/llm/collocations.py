@@ -22,13 +22,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tandem.llm.common import stored
+from tandem.llm.common import stored, task
 
 LEAST, LONGEST, SHARE, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Parts of a language whose best phrases are found apart.
 HEATS = 64
 #: Tokens that a task holds before it hands out their counts.
-BUFFER_TOKENS = 6_000_000
+BUFFER_TOKENS = 4_000_000
+#: Rows of a batch that a task hands out.
+BATCH_ROWS = 1 << 16
 #: Bits of a filter: so many for each entry, and no more than 2 ** MOST_BITS (128 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 22, 30
 #: Bits of a row of the bitmap, as Spark's bitmap functions have them.
@@ -108,13 +110,20 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _counts(langs: list[str], phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, phrase, f): occurrences of every word."""
 
+    @task("collocations")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches):
             n = np.bincount(buffer.array(), minlength=len(buffer.words))[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(buffer.langs[1:], pa.string()), pa.array(buffer.words[1:], pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
+            for lo in range(0, len(n), BATCH_ROWS):
+                langs, words = (x[1 + lo : 1 + lo + BATCH_ROWS] for x in (buffer.langs, buffer.words))
+                yield _counts(langs, words, n[lo : lo + BATCH_ROWS])
 
     return texts.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
@@ -144,6 +153,7 @@ def frequent_pair_hashes(texts: DataFrame, words: Filter, least: int) -> DataFra
     """(h): hashes of adjacent words that occur `least` times or more, of words that `words` may hold."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
+    @task("collocations")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches):
             tokens, hashes = buffer.array(), buffer.hashes()
@@ -151,7 +161,9 @@ def frequent_pair_hashes(texts: DataFrame, words: Filter, least: int) -> DataFra
             good[0] = False
             both = np.flatnonzero(good[tokens[:-1]] & good[tokens[1:]])
             h, n = np.unique(_pair_hash(hashes[tokens[both]], hashes[tokens[both + 1]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+            found = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+            for lo in range(0, len(h), BATCH_ROWS):
+                yield found.slice(lo, BATCH_ROWS)
 
     # Rows of a task are distinct already: they are dealt out as they are and added up once.
     rows = texts.mapInArrow(run, "h bigint, n int").repartition("h")
@@ -162,6 +174,7 @@ def phrase_counts(texts: DataFrame, pairs: Filter, longest: int) -> DataFrame:
     """(lang, phrase, f): occurrences of the phrases of 2 to `longest` words all of whose pairs `pairs` may hold."""
     shared = texts.sparkSession.sparkContext.broadcast(pairs)
 
+    @task("collocations")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer in _buffers(batches):
             tokens, hashes = buffer.array(), buffer.hashes()
@@ -184,11 +197,11 @@ def phrase_counts(texts: DataFrame, pairs: Filter, longest: int) -> DataFrame:
                 _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 code[at] = number
                 start = at[first]
-                columns = [tokens[start + i].tolist() for i in range(size)]
-                words = buffer.words
-                phrases = [b" ".join([words[t] for t in row]) for row in zip(*columns, strict=True)]
-                langs = [buffer.langs[t] for t in columns[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
+                for lo in range(0, len(start), BATCH_ROWS):
+                    some = start[lo : lo + BATCH_ROWS]
+                    columns = [tokens[some + i].tolist() for i in range(size)]
+                    phrases = [b" ".join([buffer.words[t] for t in row]) for row in zip(*columns, strict=True)]
+                    yield _counts([buffer.langs[t] for t in columns[0]], phrases, n[lo : lo + BATCH_ROWS])
 
     return texts.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
