@@ -29,6 +29,21 @@ def batch_infer(
     return udf(text)
 
 
+def batch_infer_pairs(
+    text: Column, text_pair: Column, make_predict_fn: Callable, batch_size: int = 64, return_type: T.DataType | None = None
+) -> Column:
+    """Embed pairs of texts with a caller's model, loaded once per worker.
+
+    Its function gets two arrays of the same rows, first and second texts, and
+    returns a [rows, width] array. A null first text is an empty one; a null
+    second text marks a single sentence and reaches the model as None.
+    """
+    udf = predict_batch_udf(
+        make_predict_fn, return_type=return_type or T.ArrayType(T.FloatType()), batch_size=batch_size
+    )
+    return udf(F.coalesce(text, F.lit("")), text_pair)
+
+
 def check_pooling(pooling: str) -> str:
     if pooling not in POOLINGS:
         raise ValueError(f"pooling {pooling!r} is not one of {POOLINGS}")

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import arrays as ax
 from ..operators import batching, combine, embed, heads, labels as lb, metrics as mt, order, splits, stats, tokens
 from ..session import scratch_path, spread
-from ..sources import registry as rg, sink, text as src
-from . import inputs as inp, train as tr
+from ..sources import ordered, registry as rg, sink, text as src
+from . import inputs as inp, models, train as tr
 from .inputs import ENC_A, ENC_ALL, ENC_B, ENC_L, ENC_R, LANGS, TAGS, r6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,31 @@ def sink_head_params(spark, sf):
     return scored.select("sent_id", "label", "pred")
 
 
+@query
+def sink_ordered_rows(spark, sf):
+    path = scratch_path(spark, "ordered")
+    d = inp.docs(spark, sf).select("sent_id", "split", F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
+    ordered.write_ordered_text(order.with_epoch_order(d, "sent_id", 2, seed=13), path, ["sent_id", "text"], "pos")
+    tab = F.instr("value", "\t")
+    return ordered.read_ordered_text(spark, path).select(
+        "split", "idx", F.substring_index("value", "\t", 1).cast("bigint").alias("sent_id"),
+        F.when(tab > 0, F.substr("value", tab + 1)).alias("text"),
+    )
+
+
+@query
+def sink_model_store(spark, sf):
+    path = scratch_path(spark, "models")
+    fixed = inp.dme_params()
+    params = {"attn_w": np.array(fixed.attention), "attn_b": np.array([fixed.attention_bias]), "dec_w": np.array(W10_META), "dec_b": np.array(B10)}
+    for i, (w, b) in enumerate(fixed.projections):
+        params |= {f"proj_w{i}": np.array(w), f"proj_b{i}": np.array(b)}
+    models.save_model(spark, models.Model(tr.HeadSpec([32, 32], 10, "dme"), params, inp.CLASSES), path)
+    texts = inp.docs(spark, sf).select("sent_id", "text")
+    r = models.load_model(spark, path).predict(inp.aligned(spark, sf).join(texts, "sent_id"))
+    return r.select("sent_id", "text", *_shares(2), "prediction", "prediction_name")
+
+
 @query
 def corpus_registry(spark, sf):
     corpora = rg.registry(spark)
@@ -458,6 +483,25 @@ def emb_batch_infer(spark, sf):
     return components(d.select("sent_id", embed.batch_infer(F.col("text"), _demo_model).alias("vec")), "vec", "sent_id")
 
 
+@query
+def emb_pair_infer(spark, sf):
+    p = inp.pairs(spark, sf, "left").select("sent_id", "text", "text_pair")
+    return components(p.select("sent_id", embed.batch_infer_pairs(F.col("text"), F.col("text_pair"), _demo_pair_model).alias("vec")), "vec", "sent_id")
+
+
+def _demo_pair_model():
+    """Stands in for a caller's model of pairs: lengths of both texts, words of both, and whether there are two."""
+
+    def predict(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        rows = [
+            [len(a) / 1000.0, len(b or "") / 1000.0, (len(a.split()) + len((b or "").split())) / 100.0, float(b is not None)]
+            for a, b in zip(first, second, strict=True)
+        ]
+        return np.array(rows, dtype=np.float32)
+
+    return predict
+
+
 def _demo_model():
     """Stands in for a caller's model: counts, shares and lengths of a text."""
 

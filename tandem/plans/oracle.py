@@ -194,6 +194,11 @@ QNAME = case_map(QCLASS, rg.QUESTION_CLASSES)
 
 # --- one statement per query ---------------------------------------------
 
+PREDICTIONS = f"""WITH {PROJ_AB}, {dme('proj')}, z AS (SELECT *, {linear('vec', 10, 32, 3, 3)} AS z FROM meta),
+    p AS (SELECT *, {FIRST_MAX.format(z='z')} AS prediction FROM z)
+    SELECT sent_id, text, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2, prediction, {case_name('prediction', CLASSES)} AS prediction_name
+    FROM p JOIN documents ON doc_id = sent_id"""
+
 SQL: dict[str, str] = {
     # sources and sinks
     "src_labeled_tsv": f"SELECT lang AS label_raw, {LANG_ID} AS label, trim({FLAT}) AS text, 'single-sentence' AS sentence_type FROM documents",
@@ -208,6 +213,9 @@ SQL: dict[str, str] = {
     "corpus_registry": f"""WITH reg(corpus, task, label_column, text_column, pair_column, header, main_metric, label, id, k) AS (VALUES {_registry_rows()})
         SELECT corpus, task, label_column::BIGINT AS label_column, text_column::BIGINT AS text_column, pair_column::BIGINT AS pair_column,
         header, main_metric, label, id::BIGINT AS id, count(doc_id) AS n FROM reg LEFT JOIN documents ON doc_id % k = id GROUP BY ALL""",
+    "sink_ordered_rows": f"""WITH {DOCS} SELECT split, row_number() OVER (PARTITION BY split ORDER BY md5('13:2:' || sent_id), sent_id) - 1 AS idx, sent_id,
+        regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM docs""",
+    "sink_model_store": PREDICTIONS,
     "src_dev_variant": f"""WITH {PAIRS}, named AS (SELECT m.matched, CASE conv_id % 3 WHEN 0 THEN 'train' ELSE 'dev' END AS split,
         (conv_id % 3)::BIGINT AS label, {FLAT} AS text, replace(text_pair, chr(10), ' ') AS text_pair, conv_id % 3 AS part
         FROM pairs, (VALUES (true), (false)) m(matched))
@@ -281,6 +289,9 @@ SQL: dict[str, str] = {
     "emb_batch_infer": f"""WITH per AS (SELECT doc_id AS sent_id, length(text) AS c, len({words_of('text')}) AS n, length(text) - length(replace(text, 'e', '')) AS e FROM documents),
         v AS (SELECT sent_id, [c / 1000.0::DOUBLE, n / 100.0::DOUBLE, c / greatest(1, n)::DOUBLE, e::DOUBLE]::FLOAT[] AS vec FROM per)
         {items('v', 'vec', 'sent_id')}""",
+    "emb_pair_infer": f"""WITH {LEFT_PAIRS}, v AS (SELECT sent_id, [length(text) / 1000.0::DOUBLE, length(coalesce(text_pair, '')) / 1000.0::DOUBLE,
+        (len({words_of('text')}) + len({words_of("coalesce(text_pair, '')")})) / 100.0::DOUBLE, CASE WHEN text_pair IS NULL THEN 0.0 ELSE 1.0 END]::FLOAT[] AS vec FROM pairs)
+        {items('v', 'vec', 'sent_id')}""",
     "pool_cls": f"""WITH {SUBWORDS}, p AS (SELECT true AS cls_first, sent_id, arg_min(vec, subword_pos) AS vec FROM subwords WHERE NOT is_pad GROUP BY sent_id
         UNION ALL SELECT false, sent_id, arg_max(vec, subword_pos) FROM subwords WHERE NOT is_pad GROUP BY sent_id) {items('p', 'vec', 'cls_first, sent_id')}""",
     "pool_mean": f"""WITH {SUBWORDS}, e AS (SELECT sent_id, is_pad, x.j - 1 AS j, x.v AS v FROM (SELECT sent_id, is_pad,
@@ -323,10 +334,7 @@ SQL: dict[str, str] = {
     "head_tag_words": f"WITH {TAG_SCORES} SELECT sent_id, word_pos, {FIRST_MAX.format(z='z')} AS pred FROM tag_scores",
     "head_classify_with_attention": f"""WITH {PROJ_AB}, {dme('proj')}, z AS (SELECT *, {linear('vec', 10, 32, 3, 3)} AS z FROM meta)
         SELECT sent_id, label AS gold, {FIRST_MAX.format(z='z')} AS pred, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2 FROM z""",
-    "rpt_predictions": f"""WITH {PROJ_AB}, {dme('proj')}, z AS (SELECT *, {linear('vec', 10, 32, 3, 3)} AS z FROM meta),
-        p AS (SELECT *, {FIRST_MAX.format(z='z')} AS prediction FROM z)
-        SELECT sent_id, text, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2, prediction, {case_name('prediction', CLASSES)} AS prediction_name
-        FROM p JOIN documents ON doc_id = sent_id""",
+    "rpt_predictions": PREDICTIONS,
     "rpt_word_tags": f"""WITH {TAG_SCORES}, p AS (SELECT *, {FIRST_MAX.format(z='z')} AS pred FROM tag_scores)
         SELECT sent_id, string_agg(word || '/' || {case_name('pred', TAGS)}, ' ' ORDER BY word_pos) AS report FROM p GROUP BY sent_id""",
     "loss_cross_entropy": f"WITH {BATCH_LOSS} SELECT batch_id, {r6('loss')} AS loss FROM losses",
