@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import labels as lb, splits as sp
 from ..operators.order import with_epoch_order
 from ..operators.stats import default_metrics
-from . import text as src
+from . import ordered, text as src
 
 
 @dataclass(frozen=True)
@@ -209,7 +209,7 @@ def target_position(spec: CorpusSpec, label_type: str) -> int:
 # --- raw forms -----------------------------------------------------------
 #
 # Each converter reads a corpus as published and returns label_raw, text,
-# [text_pair], [targets] and split, ready for sink.write_labeled_text.
+# [text_pair], [targets] and split, ready for write_converted.
 
 
 def convert_isear(spark: SparkSession, path: str, width: int = 2, strict: bool = True) -> DataFrame:
@@ -260,10 +260,32 @@ def convert_fb_valence_arousal(spark: SparkSession, path: str, width: int = 5) -
 
 
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
-    """Rows renumbered in a seeded random order inside their split."""
+    """Add `pos`, the place of a row in a seeded random order of all splits together."""
     return with_epoch_order(df, "sent_id", epoch=2, seed=seed)
 
 
+def write_converted(df: DataFrame, path: str, corpus: str, order: str = "pos", files: int | None = None) -> None:
+    """Converted rows as text files by split that keep the order of the column `order` (`sent_id` where nothing was shuffled)."""
+    ordered.write_ordered_text(df, path, _columns(CORPORA[corpus]), order, files=files)
+
+
+def load_converted(spark: SparkSession, path: str, corpus: str, label_type: str = "valence", strict: bool = True) -> DataFrame:
+    """The rows of `write_converted` as a corpus; `sent_id` is the place of a row in the order of its split."""
+    spec = CORPORA[corpus]
+    lines = ordered.read_ordered_text(spark, path).withColumnRenamed("idx", "sent_id")
+    parsed = src.parse_labeled(lines, target_position(spec, label_type), spec.text, spec.task, spec.pair, spec.label_map)
+    return (src.strict_rows if strict else src.good_rows)(parsed)
+
+
+def _columns(spec: CorpusSpec) -> list[str]:
+    """Names of the columns of a converted file, from the positions that the corpus is read by."""
+    names = {p: t for t, p in spec.targets.items()} if spec.targets else {spec.label: "label_raw"}
+    names[spec.text] = "text"
+    if spec.pair is not None:
+        names[spec.pair] = "text_pair"
+    return [names[p] for p in sorted(names)]
+
+
 def _first_n(corpus: str, rows: DataFrame, strict: bool = True) -> DataFrame:
     """Dev and train of a corpus; a label that it doesn't know stops the query, or is left out."""
     spec = CORPORA[corpus]

@@ -10,7 +10,7 @@ from tandem.operators import embed
 from tandem.operators.order import with_epoch_order
 from tandem.plans.models import Model, load_model, save_model
 from tandem.plans.train import HeadSpec
-from tandem.sources import ordered
+from tandem.sources import ordered, registry as rg
 
 # --- ordered text --------------------------------------------------------
 
@@ -80,6 +80,30 @@ def test_numbers_of_files_are_compared_as_numbers(spark, tmp_path):
     assert found == {"99999": 0, "100000": 1}
 
 
+@pytest.mark.parametrize("files", [1, 4, 37])
+def test_converted_corpora_keep_their_shuffled_order(spark, tmp_path, files):
+    raw = tmp_path / "raw.txt"
+    raw.write_text("".join(f"<{e}>line {i} of {e}<\\{e}>\n" for i in range(40) for e in ("happy", "sad")))
+    df = rg.convert_emotion_stimulus(spark, str(raw), seed=3)
+    rg.write_converted(df, str(tmp_path / "c"), "emotion_stimulus", files=files)
+    sent = sorted(df.collect(), key=lambda r: r.pos)
+    back = sorted(rg.load_converted(spark, str(tmp_path / "c"), "emotion_stimulus").collect(), key=lambda r: r.sent_id)
+    for split, n in (("dev", 60), ("train", 20)):
+        want = [(r.label_raw, r.text) for r in sent if r.split == split]
+        got = [r for r in back if r.split == split]
+        assert len(want) == n and [(r.label_raw, r.text) for r in got] == want
+        assert [r.sent_id for r in got] == list(range(n))
+
+
+def test_converted_targets_are_read_by_name(spark, rows, tmp_path):
+    raw = tmp_path / "bank.csv"
+    raw.write_text('id,split,V,A,D,text\n1,train,1.0,2,3,"x, y"\n2,dev,1,2.5,3,z\n')
+    df = rg.convert_emobank(spark, str(raw)).withColumn("pos", F.lit(0))
+    rg.write_converted(df, str(tmp_path / "c"), "emobank")
+    back = rg.load_converted(spark, str(tmp_path / "c"), "emobank", "arousal")
+    assert rows(back, "split", "text", "target") == [("dev", "z", 2.5), ("train", "x, y", 2.0)]
+
+
 # --- models --------------------------------------------------------------
 
 
