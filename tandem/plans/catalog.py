@@ -127,7 +127,9 @@ def sink_head_params(spark, sf):
 def sink_ordered_rows(spark, sf):
     path = scratch_path(spark, "ordered")
     d = inp.docs(spark, sf).select("sent_id", "split", F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
-    ordered.write_ordered_text(order.with_epoch_order(d, "sent_id", 2, seed=13), path, ["sent_id", "text"], "pos")
+    # The writer sorts by any unique column, so texts move once and places come from the manifest.
+    d = d.withColumn("key", F.struct(order.seeded_key("sent_id", 13, 2), "sent_id"))
+    ordered.write_ordered_text(d, path, ["sent_id", "text"], "key")
     tab = F.instr("value", "\t")
     return ordered.read_ordered_text(spark, path).select(
         "split", "idx", F.substring_index("value", "\t", 1).cast("bigint").alias("sent_id"),
