@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import pad
+from .order import with_row_index
 
 TAG_PAD = -1  # fixed value: tag id of a padded position
 
@@ -16,6 +19,14 @@ def assign_batches(indexed: DataFrame, batch_size: int, index: str = "idx") -> D
     )
 
 
+def tag_fill() -> Column:
+    return F.lit(TAG_PAD).cast("bigint")
+
+
+def word_fill(width: int) -> Column:
+    return F.array_repeat(F.lit(0.0), width)
+
+
 def _pad_to_batch(df: DataFrame, values: str, fill: Column) -> DataFrame:
     # A batch has at most batch_size rows, so its window stays small.
     longest = F.max(F.size(values)).over(Window.partitionBy("batch_id"))
@@ -24,12 +35,27 @@ def _pad_to_batch(df: DataFrame, values: str, fill: Column) -> DataFrame:
 
 def pad_tags(df: DataFrame, tags: str = "tags") -> DataFrame:
     """Pad tag arrays with -1 to the longest of their batch."""
-    return _pad_to_batch(df, tags, F.lit(TAG_PAD).cast("bigint"))
+    return _pad_to_batch(df, tags, tag_fill())
 
 
 def pad_words(df: DataFrame, width: int, vectors: str = "vectors") -> DataFrame:
     """Pad arrays of word vectors with zero vectors to the longest of their batch."""
-    return _pad_to_batch(df, vectors, F.array_repeat(F.lit(0.0), width))
+    return _pad_to_batch(df, vectors, word_fill(width))
+
+
+def pad_by_key(
+    df: DataFrame, lengths: DataFrame, batch_size: int, values: Mapping[str, Column], key: str = "sent_id", length: str = "n"
+) -> DataFrame:
+    """Batches in key order, and the arrays `values` (column -> fill) padded to the longest of their batch.
+
+    Only `lengths` (key, length of the longest array of the row) is numbered and
+    grouped; the rows with their arrays move once, to meet their batch. A row
+    whose key `lengths` lacks is dropped. Adds `batch_id` and `pos_in_batch`.
+    """
+    numbered = assign_batches(with_row_index(lengths.select(key, F.col(length).alias("_n")), key), batch_size)
+    plan = numbered.withColumn("_longest", F.max("_n").over(Window.partitionBy("batch_id"))).drop("_n", "idx")
+    joined = df.join(plan, key)
+    return joined.withColumns({c: pad(F.col(c), F.col("_longest"), fill) for c, fill in values.items()}).drop("_longest")
 
 
 def batch_plan(df: DataFrame, batch_size: int, epochs: int, warmup_fraction: float) -> DataFrame:

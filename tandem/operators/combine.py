@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -38,51 +38,57 @@ def check_method(method: str, n_encoders: int) -> str:
     return "none" if n_encoders == 1 else method
 
 
-def align(tables: Sequence[DataFrame], key: str = "sent_id", vec: str = "vec", drop_missing: bool = False) -> DataFrame:
+def align(
+    tables: Sequence[DataFrame], key: str | Sequence[str] = "sent_id", vec: str = "vec", drop_missing: bool = False
+) -> DataFrame:
     """One row per sentence with vec_1 … vec_n, and the other columns of the first table.
 
+    With several key columns, such as sentence and word position, the rows are words.
+
     A sentence that one of the tables lacks stops the query; `drop_missing`
     leaves such sentences out. Two tables are joined; if they are bucketed by the key (see
     `sources.sink.write_bucketed`) without a shuffle. Of three or more the rows are put together and
     grouped by the key, so each row moves once; there a doubled sentence stops the query too.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     renamed = [
-        t.select(key, F.col(vec).alias(f"vec_{i}"), *[c for c in t.columns if i == 1 and c not in (key, vec)])
+        t.select(*keys, F.col(vec).alias(f"vec_{i}"), *[c for c in t.columns if i == 1 and c not in (*keys, vec)])
         for i, t in enumerate(tables, 1)
     ]
     if len(renamed) > 2:
-        return _grouped(renamed, key, drop_missing)
+        return _grouped(renamed, keys, drop_missing)
     if drop_missing or len(renamed) == 1:
-        return reduce(lambda a, b: a.join(b, key), renamed)
+        return reduce(lambda a, b: a.join(b, keys), renamed)
     there = [F.col(f"_in_{i}") for i in range(len(renamed))]
     marked = [t.withColumn(f"_in_{i}", F.lit(True)) for i, t in enumerate(renamed)]
-    joined = reduce(lambda a, b: a.join(b, key, "full"), marked)
+    joined = reduce(lambda a, b: a.join(b, keys, "full"), marked)
     complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in there])
-    return joined.where(F.when(complete, F.lit(True)).otherwise(_stop("an encoder has no vector of sentence ", key))).drop(
+    return joined.where(F.when(complete, F.lit(True)).otherwise(_stop("an encoder has no vector of sentence ", keys))).drop(
         *[f"_in_{i}" for i in range(len(renamed))]
     )
 
 
-def _stop(message: str, key: str) -> Column:
-    return F.raise_error(F.concat(F.lit(message), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+def _stop(message: str, keys: Sequence[str]) -> Column:
+    place = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    return F.raise_error(F.concat(F.lit(message), place)).cast("boolean")
 
 
-def _grouped(tables: list[DataFrame], key: str, drop_missing: bool) -> DataFrame:
+def _grouped(tables: list[DataFrame], keys: list[str], drop_missing: bool) -> DataFrame:
     """Tagged union of all tables, grouped once. Only one row of each table is kept in a group, however often it is there."""
     union = None
     for i, t in enumerate(tables, 1):
-        body = F.struct(*[c for c in t.columns if c != key])
-        tagged = t.select(key, body.alias(f"_t{i}"), F.lit(1).alias(f"_n{i}"))
+        body = F.struct(*[c for c in t.columns if c not in keys])
+        tagged = t.select(*keys, body.alias(f"_t{i}"), F.lit(1).alias(f"_n{i}"))
         union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
     n = range(1, len(tables) + 1)
-    grouped = union.groupBy(key).agg(*[F.first(f"_t{i}", ignorenulls=True).alias(f"_t{i}") for i in n], *[F.count(f"_n{i}").alias(f"_n{i}") for i in n])
+    grouped = union.groupBy(*keys).agg(*[F.first(f"_t{i}", ignorenulls=True).alias(f"_t{i}") for i in n], *[F.count(f"_n{i}").alias(f"_n{i}") for i in n])
     every = reduce(lambda a, b: a & b, [F.col(f"_n{i}") > 0 for i in n])
     once = reduce(lambda a, b: a & b, [F.col(f"_n{i}") < 2 for i in n])
-    there = F.col(key).isNotNull() & every
-    sound = F.when(~there, F.lit(False) if drop_missing else _stop("an encoder has no vector of sentence ", key))
-    sound = sound.when(once, F.lit(True)).otherwise(_stop("an encoder has more than one vector of sentence ", key))
-    names = [F.col(f"_t{i}.{c}").alias(c) for i, t in enumerate(tables, 1) for c in t.columns if c != key]
-    return grouped.where(sound).select(key, *names)
+    there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & every
+    sound = F.when(~there, F.lit(False) if drop_missing else _stop("an encoder has no vector of sentence ", keys))
+    sound = sound.when(once, F.lit(True)).otherwise(_stop("an encoder has more than one vector of sentence ", keys))
+    names = [F.col(f"_t{i}.{c}").alias(c) for i, t in enumerate(tables, 1) for c in t.columns if c not in keys]
+    return grouped.where(sound).select(*keys, *names)
 
 
 def project(vec: Column, weight, bias) -> Column:
@@ -136,21 +142,17 @@ def combine(df: DataFrame, vectors: Sequence[str], method: str, params: CombineP
     method = check_method(method, len(vectors))
     if method == "none":
         return df.withColumn("vec", F.col(vectors[0]))
+    if method == "dme":
+        if params.projections is None or params.attention is None:
+            raise ValueError("dme needs one projection per encoder and attention parameters")
+        both = df.withColumn("_m", meta_vector([F.col(v) for v in vectors], params))
+        return both.withColumn("dme_scores", F.col("_m.dme_scores")).withColumn("vec", F.col("_m.vec")).drop("_m")
     # Named columns keep each Arrow UDF evaluated once.
     names = [f"_p{i}" for i in range(len(vectors))]
     ready = prepare([F.col(v) for v in vectors], params, method)
     out = df.select("*", *[c.alias(n) for c, n in zip(ready, names)])
     cols = [F.col(n) for n in names]
-    if method == "concat":
-        out = out.withColumn("vec", concat(cols))
-    elif method == "mean":
-        out = out.withColumn("vec", mean(cols))
-    else:
-        if params.attention is None:
-            raise ValueError("dme needs attention parameters")
-        out = out.withColumn("dme_scores", dme_weights(cols, params.attention, params.attention_bias))
-        out = out.withColumn("vec", dme(F.col("dme_scores"), cols))
-    return out.drop(*names)
+    return out.withColumn("vec", concat(cols) if method == "concat" else mean(cols)).drop(*names)
 
 
 def embed_with_attention(df: DataFrame, vectors: Sequence[str], params: CombineParams, method: str = "dme") -> DataFrame:
@@ -160,6 +162,17 @@ def embed_with_attention(df: DataFrame, vectors: Sequence[str], params: CombineP
     return combine(df, vectors, method, params)
 
 
+def _meta_rows(vs: Sequence, params: CombineParams) -> tuple[np.ndarray, np.ndarray]:
+    """Attention weights and meta-embeddings of an Arrow batch, projections and layer norm included."""
+    xs = [vx.to_matrix(v) @ np.asarray(w, float).T + np.asarray(b, float) for v, (w, b) in zip(vs, params.projections, strict=True)]
+    if params.layer_norm:
+        scale, shift = params.norms.get(len(params.projections[0][1]), (1.0, 0.0))
+        xs = [vx.normalize_rows(x, 1e-3) * scale + shift for x in xs]
+    a = np.asarray(params.attention, float)
+    share = vx.softmax_rows(np.stack([x @ a + float(params.attention_bias) for x in xs], axis=1))
+    return share, sum(share[:, i : i + 1] * x for i, x in enumerate(xs))
+
+
 def meta_score(vectors: Sequence[Column], params: CombineParams, weight, bias) -> Column:
     """Attention weights and decoder scores of a row in one Arrow pass.
 
@@ -167,26 +180,24 @@ def meta_score(vectors: Sequence[Column], params: CombineParams, weight, bias) -
     handing the projected vectors back and forth between the JVM and Python.
     Result: struct(dme_scores, logits).
     """
-    proj = [(np.asarray(w, float), np.asarray(b, float)) for w, b in params.projections]
-    a, c = np.asarray(params.attention, float), float(params.attention_bias)
     w_out, b_out = np.asarray(weight, float), np.asarray(bias, float)
-    norm = params.layer_norm
-    scale, shift = params.norms.get(len(proj[0][1]), (1.0, 0.0))
+    return _meta(vectors, params, "logits", lambda meta: meta @ w_out.T + b_out)
+
+
+def meta_vector(vectors: Sequence[Column], params: CombineParams) -> Column:
+    """Attention weights and meta-embedding of a row in one Arrow pass: struct(dme_scores, vec)."""
+    return _meta(vectors, params, "vec", lambda meta: meta)
+
 
-    @F.arrow_udf("struct<dme_scores:array<double>,logits:array<double>>")
+def _meta(vectors: Sequence[Column], params: CombineParams, name: str, last: Callable) -> Column:
+    @F.arrow_udf(f"struct<dme_scores:array<double>,{name}:array<double>>")
     def apply(*vs):
         import pyarrow as pa
 
         if not len(vs[0]):
             empty = pa.array([], pa.list_(pa.float64()))
-            return pa.StructArray.from_arrays([empty, empty], ["dme_scores", "logits"])
-        xs = [vx.to_matrix(v) @ w.T + b for v, (w, b) in zip(vs, proj)]
-        if norm:
-            xs = [vx.normalize_rows(x, 1e-3) * scale + shift for x in xs]
-        share = vx.softmax_rows(np.stack([x @ a + c for x in xs], axis=1))
-        meta = sum(share[:, i : i + 1] * x for i, x in enumerate(xs))
-        return pa.StructArray.from_arrays(
-            [vx.from_matrix(share), vx.from_matrix(meta @ w_out.T + b_out)], ["dme_scores", "logits"]
-        )
+            return pa.StructArray.from_arrays([empty, empty], ["dme_scores", name])
+        share, meta = _meta_rows(vs, params)
+        return pa.StructArray.from_arrays([vx.from_matrix(share), vx.from_matrix(last(meta))], ["dme_scores", name])
 
     return apply(*vectors)

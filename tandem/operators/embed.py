@@ -78,6 +78,14 @@ def pool_word_first(starts: DataFrame, subwords: DataFrame, key: str = "sent_id"
     return s.join(subwords.select(key, "subword_pos", "vec"), [key, "subword_pos"]).select(key, "word_pos", "vec")
 
 
+def first_subwords(subwords: DataFrame, *keep: str, key: str = "sent_id") -> DataFrame:
+    """Word vectors out of a subword table that marks first subwords (see `tokens.subword_table`): a filter, no join.
+
+    `keep` names the vector columns and whatever else comes along.
+    """
+    return subwords.where("is_first").select(key, "word_pos", *(keep or ("vec",)))
+
+
 def pool_word_with_cls(
     starts: DataFrame, subwords: DataFrame, cls_first: bool = True, key: str = "sent_id"
 ) -> DataFrame:

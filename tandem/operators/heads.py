@@ -93,8 +93,13 @@ def loss_squared(df: DataFrame, score: str = "score", target: str = "target") ->
     return df.groupBy("batch_id").agg(F.avg(d * d).alias("loss"))
 
 
+def sentence_tag_loss(df: DataFrame, *keep: str, scores: str = "logits", tag: str = "tag_id", key: str = "sent_id") -> DataFrame:
+    """(keep, key, loss): mean loss over the tagged words of each sentence."""
+    per_word = df.where(F.col(tag) != -1).withColumn("_loss", cross_entropy(F.col(scores), F.col(tag)))
+    return per_word.groupBy(*keep, key).agg(F.avg("_loss").alias("loss"))
+
+
 def loss_tags(df: DataFrame, scores: str = "logits", tag: str = "tag_id", key: str = "sent_id") -> DataFrame:
     """Tag loss of each batch: mean inside each sentence, then mean over the sentences."""
-    per_word = df.where(F.col(tag) != -1).withColumn("_loss", cross_entropy(F.col(scores), F.col(tag)))
-    per_sentence = per_word.groupBy("batch_id", key).agg(F.avg("_loss").alias("_loss"))
-    return per_sentence.groupBy("batch_id").agg(F.avg("_loss").alias("loss"))
+    per_sentence = sentence_tag_loss(df, "batch_id", scores=scores, tag=tag, key=key)
+    return per_sentence.groupBy("batch_id").agg(F.avg("loss").alias("loss"))

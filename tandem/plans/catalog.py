@@ -413,7 +413,12 @@ def batch_assign(spark, sf):
 @query
 def batch_pad_tags(spark, sf):
     t = inp.tagged(spark, sf).select("sent_id", inp.tag_ids(F.col("gold_tags")).alias("tags"))
-    return batching.pad_tags(_batched(t, "sent_id")).select("sent_id", "batch_id", listed(F.col("tags")).alias("tags"))
+    padded = batching.pad_by_key(t, _doc_lengths(spark, sf), 16, {"tags": batching.tag_fill()})
+    return padded.select("sent_id", "batch_id", listed(F.col("tags")).alias("tags"))
+
+
+def _doc_lengths(spark, sf) -> DataFrame:
+    return inp.doc_words(spark, sf).select("sent_id", F.size("words").alias("n"))
 
 
 @query
@@ -428,7 +433,8 @@ def batch_pad_words(spark, sf):
     # One group is one sentence.
     per = w.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "vec"))).alias("v"))
     vectors = per.select("sent_id", F.transform("v", lambda x: x["vec"].cast("array<double>")).alias("vectors"))
-    padded = batching.pad_words(_batched(vectors, "sent_id", 4), ENC_ALL[1])
+    lengths = inp.turns(spark, sf).select("sent_id", F.size(tokens.words(F.col("text"))).alias("n")).where("n > 0")
+    padded = batching.pad_by_key(vectors, lengths, 4, {"vectors": batching.word_fill(ENC_ALL[1])})
     return ax.explode_once(padded, ["sent_id", "batch_id"], "vectors", "word_pos", "v").select(
         "sent_id", "batch_id", F.col("word_pos").cast("bigint").alias("word_pos"),
         _fixed(F.col("v")).alias("items"),
@@ -473,6 +479,23 @@ def tok_word_starts(spark, sf):
     )
 
 
+@query
+def tok_vocabulary(spark, sf):
+    v = tokens.vocabulary(inp.doc_words(spark, sf), _demo_tokenizer)
+    return v.select("word", "word_id", F.col("n_subwords").cast("bigint").alias("n_subwords"), F.col("c").alias("n_occurrences"))
+
+
+@query
+def tok_subword_table(spark, sf):
+    t = inp.turns(spark, sf).select("sent_id", tokens.words(F.col("text")).alias("words"))
+    encoded = tokens.encode_words(t, tokens.vocabulary(t, _demo_tokenizer))
+    s = tokens.subword_table(encoded, "counts", ["words", "word_ids"], pad_to=8)
+    return s.select(
+        "sent_id", F.col("subword_pos").cast("bigint").alias("subword_pos"), F.col("word_pos").cast("bigint").alias("word_pos"),
+        "is_first", "is_pad", F.col("words").alias("word"), F.col("word_ids").alias("word_id"),
+    )
+
+
 @query
 def emb_hash_encode(spark, sf):
     d = spread(inp.docs(spark, sf).select("sent_id", "text"), "sent_id")
@@ -618,13 +641,22 @@ def cmb_dme(spark, sf):
 
 @query
 def cmb_dme_words(spark, sf):
-    starts = inp.word_starts(spark, sf)
-    first, second = [embed.pool_word_first(starts, inp.subwords(spark, sf, d)) for d in (ENC_A, ENC_B)]
-    both = first.withColumnRenamed("vec", "vec_1").join(second.withColumnRenamed("vec", "vec_2"), ["sent_id", "word_pos"])
+    both = inp.word_vectors(spark, sf, ENC_A, ENC_B)
     c = combine.combine(both, ["vec_1", "vec_2"], "dme", inp.dme_params())
     return _word_items(c.select("sent_id", "word_pos", "vec", *_shares(2)), "vec", "sent_id", "dme_1", "dme_2")
 
 
+@query
+def cmb_align_words(spark, sf):
+    """Words of two encoders with subwords of their own, put together by sentence and word."""
+    tables = [
+        inp.word_vectors(spark, sf, dims, chars_per_subword=chars).select("sent_id", "word_pos", "vec") for dims, chars in ((ENC_L, 4), (ENC_R, 3))
+    ]
+    a = combine.align(tables, ["sent_id", "word_pos"])
+    c = combine.combine(a, ["vec_1", "vec_2"], "dme", inp.dme_params((40, 24)))
+    return _word_items(c.select("sent_id", "word_pos", "vec", *_shares(2)), "vec", "sent_id", "dme_1", "dme_2")
+
+
 @query
 def rpt_attention(spark, sf):
     a = combine.embed_with_attention(inp.aligned(spark, sf), ["vec_1", "vec_2"], inp.dme_params())
@@ -667,11 +699,10 @@ def head_regress(spark, sf):
 
 
 def _tag_scores(spark, sf) -> DataFrame:
-    v = inp.word_vectors(spark, sf)
+    v = inp.tagged_word_vectors(spark, sf)
     w, b = inp.weights(len(TAGS), ENC_ALL[1], 3), inp.biases(len(TAGS), 3)
-    return v.select("sent_id", "word_pos", heads.logits(F.col("vec"), w, b).alias("logits")).withColumn(
-        "pred", heads.classify(F.col("logits"))
-    )
+    scored = v.withColumn("logits", heads.logits(F.col("vec"), w, b)).drop("vec")
+    return scored.withColumn("pred", heads.classify(F.col("logits")))
 
 
 @query
@@ -697,8 +728,7 @@ def rpt_predictions(spark, sf):
 
 @query
 def rpt_word_tags(spark, sf):
-    words = inp.word_tags(spark, sf).join(_tag_scores(spark, sf).drop("logits"), ["sent_id", "word_pos"])
-    r = heads.word_report(words, TAGS)
+    r = heads.word_report(_tag_scores(spark, sf), TAGS)
     text = F.array_join(F.transform("words", lambda x: F.concat_ws("/", x["word"], x["tag"])), " ")
     return r.select("sent_id", text.alias("report"))
 
@@ -722,8 +752,8 @@ def loss_mse(spark, sf):
 @query
 def loss_tags(spark, sf):
     batches = _batched(inp.turns(spark, sf).select("sent_id"), "sent_id", 4).select("sent_id", "batch_id")
-    rows = _tag_scores(spark, sf).join(inp.word_tags(spark, sf), ["sent_id", "word_pos"]).join(batches, "sent_id")
-    return heads.loss_tags(rows).select("batch_id", r6(F.col("loss")).alias("loss"))
+    per_sentence = heads.sentence_tag_loss(_tag_scores(spark, sf)).join(batches, "sent_id")
+    return per_sentence.groupBy("batch_id").agg(r6(F.avg("loss")).alias("loss"))
 
 
 # --- metrics -------------------------------------------------------------
@@ -765,9 +795,9 @@ def met_spearman(spark, sf):
 
 def _padded(spark, sf) -> DataFrame:
     t = inp.tagged(spark, sf)
-    ids = t.select("sent_id", inp.tag_ids(F.col("gold_tags")).alias("tags"), inp.tag_ids(F.col("pred_tags")).alias("pred"))
-    padded = batching.pad_tags(_batched(ids, "sent_id"))
-    return padded.select("sent_id", F.col("tags").alias("gold"), ax.pad(F.col("pred"), F.size("tags"), F.lit(0).cast("bigint")).alias("pred"))
+    ids = t.select("sent_id", inp.tag_ids(F.col("gold_tags")).alias("gold"), inp.tag_ids(F.col("pred_tags")).alias("pred"))
+    fills = {"gold": batching.tag_fill(), "pred": F.lit(0).cast("bigint")}
+    return batching.pad_by_key(ids, _doc_lengths(spark, sf), 16, fills).select("sent_id", "gold", "pred")
 
 
 @query
@@ -887,10 +917,8 @@ def fit_regressor(spark, sf):
 
 @query
 def fit_tagger(spark, sf):
-    words = inp.word_vectors(spark, sf).join(inp.word_tags(spark, sf), ["sent_id", "word_pos"])
     # Each sentence counts once, whatever its number of words.
-    sizes = inp.turn_words(spark, sf).select("sent_id", F.size("starts").alias("n_words"))
-    rows = words.join(sizes, "sent_id").withColumn("id", F.xxhash64("sent_id", "word_pos"))
+    rows = inp.tagged_word_vectors(spark, sf).withColumn("id", F.xxhash64("sent_id", "word_pos"))
     table = tr.training_table(rows, "id", F.col("tag_id"), ["vec"], 1 / F.col("n_words"))
     result = tr.fit(table, tr.HeadSpec([ENC_ALL[1]], len(TAGS)), epochs=3, learning_rate=0.05)
     return result.score(table).select("id", F.col("y").alias("gold"), F.col("pred").cast("double").alias("pred"))

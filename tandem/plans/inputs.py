@@ -198,37 +198,37 @@ def word_starts(spark: SparkSession, sf: str) -> DataFrame:
     return explode_once(turn_words(spark, sf), ["sent_id"], "starts", "word_pos", "start")
 
 
-def subwords(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_ALL) -> DataFrame:
-    """One row per subword of a turn: first and last are special, padded to a multiple of 8.
+def subword_rows(spark: SparkSession, sf: str, chars_per_subword: int = 4) -> DataFrame:
+    """One row per subword of a turn, padded to a multiple of 8; the text is parsed here and nowhere else."""
+    t = spread(turns(spark, sf).select("sent_id", "text"), "sent_id").select("sent_id", tokens.words(F.col("text")).alias("word"))
+    t = t.withColumn("counts", tokens.rule_counts(F.col("word"), chars_per_subword)).withColumn("n_words", F.size("word"))
+    return tokens.subword_table(t, "counts", ["word"], ["sent_id", "n_words"], 8)
 
-    Its vector is one of the stored vectors, picked by sentence and position.
+
+def subwords(spark: SparkSession, sf: str, *encoders: tuple[int, int], chars_per_subword: int = 4) -> DataFrame:
+    """Subword rows with `vec`, or with vec_1 … of several encoders that share their subwords.
+
+    A vector is one of the stored vectors, picked by sentence and position.
     """
     e = table(spark, sf, "embeddings")
     n_vecs = e.agg(F.count(F.lit(1))).scalar()
-    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x) + 2
-    s = turn_words(spark, sf).select("sent_id", total.alias("total"))
-    padded = (F.ceil(F.col("total") / 8) * 8).cast("int")
-    rows = s.select(
-        "sent_id", "total", F.explode(F.sequence(F.lit(0), padded - 1)).alias("subword_pos")
-    ).withColumn("vec_id", (F.col("sent_id") * 7 + F.col("subword_pos")) % n_vecs)
-    vectors = e.select("vec_id", F.slice("embedding", dims[0] + 1, dims[1]).alias("vec"))
-    return rows.join(vectors, "vec_id").select(
-        "sent_id", "subword_pos", (F.col("subword_pos") >= F.col("total")).alias("is_pad"), "vec"
-    )
+    rows = subword_rows(spark, sf, chars_per_subword).withColumn("vec_id", (F.col("sent_id") * 7 + F.col("subword_pos")) % n_vecs)
+    dims = encoders or (ENC_ALL,)
+    names = ["vec"] if len(dims) == 1 else [f"vec_{i + 1}" for i in range(len(dims))]
+    cut = [F.slice("embedding", at + 1, width).alias(n) for n, (at, width) in zip(names, dims, strict=True)]
+    return rows.join(e.select("vec_id", *cut), "vec_id").drop("vec_id")
 
 
-def word_vectors(spark: SparkSession, sf: str, dims: tuple[int, int] = ENC_ALL) -> DataFrame:
-    return embed.pool_word_first(word_starts(spark, sf), subwords(spark, sf, dims))
+def word_vectors(spark: SparkSession, sf: str, *encoders: tuple[int, int], chars_per_subword: int = 4) -> DataFrame:
+    """(sent_id, word_pos, word, n_words, vec or vec_1 …): words with the vector of their first subword, from one parse."""
+    s = subwords(spark, sf, *encoders, chars_per_subword=chars_per_subword)
+    return embed.first_subwords(s, "word", "n_words", *[c for c in s.columns if c.startswith("vec")])
 
 
-def word_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of the turns that have a start, with their gold tag."""
-    w = turn_words(spark, sf)
-    rows = tokens.explode_words(w.select("sent_id", "words", "starts"), "words", "starts").where(
-        F.col("starts").isNotNull()
-    )
+def tagged_word_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Word vectors with the gold tag of the word."""
     name = gold_rule(F.col("word"), F.col("word_pos"))
-    return rows.select("sent_id", "word_pos", "word", encode(name, TAGS).alias("tag_id"))
+    return word_vectors(spark, sf).withColumn("tag_id", encode(name, TAGS))
 
 
 # --- predictions ---------------------------------------------------------

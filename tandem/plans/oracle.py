@@ -279,6 +279,15 @@ SQL: dict[str, str] = {
     "tok_words": f"WITH {DOC_WORDS} SELECT sent_id, word_pos, word FROM doc_words",
     "tok_subword_counts": f"""WITH {DOC_WORDS} SELECT word, max(ceil(length(word) / 4.0))::BIGINT AS n_subwords, count(*) AS n_occurrences
         FROM doc_words GROUP BY word""",
+    "tok_vocabulary": f"""WITH {DOC_WORDS} SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS word_id,
+        max(ceil(length(word) / 4.0))::BIGINT AS n_subwords, count(*) AS n_occurrences FROM doc_words GROUP BY word""",
+    "tok_subword_table": f"""WITH {STARTS}, vocab AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS word_id FROM turn_words GROUP BY word),
+        totals AS (SELECT t.sent_id, (coalesce(sum(n), 0) + 2)::BIGINT AS total FROM turns t LEFT JOIN counted c USING (sent_id) GROUP BY t.sent_id),
+        grid AS (SELECT sent_id, total, unnest(range(0, (ceil(total / 8.0) * 8)::BIGINT)) AS subword_pos FROM totals),
+        inside AS (SELECT sent_id, word_pos, word, start, unnest(range(0, ceil(length(word) / 4.0)::BIGINT)) AS piece FROM starts)
+        SELECT g.sent_id, g.subword_pos, i.word_pos, coalesce(i.piece = 0, false) AS is_first, g.subword_pos >= g.total AS is_pad,
+        CASE WHEN i.piece = 0 THEN i.word END AS word, CASE WHEN i.piece = 0 THEN v.word_id END AS word_id
+        FROM grid g LEFT JOIN inside i ON i.sent_id = g.sent_id AND i.start + i.piece = g.subword_pos LEFT JOIN vocab v ON v.word = i.word""",
     "tok_word_starts": f"""WITH {DOC_WORDS}, s AS (SELECT *, 1 + coalesce(sum(ceil(length(word) / 4.0)::BIGINT)
         OVER (PARTITION BY sent_id ORDER BY word_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM doc_words)
         SELECT sent_id, word_pos, word, start::BIGINT AS start FROM s""",
@@ -324,6 +333,15 @@ SQL: dict[str, str] = {
           JOIN s1 ON s1.sent_id = s.sent_id AND s1.subword_pos = s.start JOIN s2 ON s2.sent_id = s.sent_id AND s2.subword_pos = s.start),
         {dme('proj', keep='sent_id, word_pos')}
         SELECT sent_id, word_pos, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2, {fixed('vec')} FROM meta""",
+    "cmb_align_words": f"""WITH {STARTS}, {subwords(0, 40, 's1')},
+        counted3 AS (SELECT *, ceil(length(word) / 3.0)::BIGINT AS n FROM turn_words),
+        starts3 AS (SELECT *, (1 + coalesce(sum(n) OVER (PARTITION BY sent_id ORDER BY word_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM counted3),
+        s2 AS (SELECT s.sent_id, s.word_pos, e.embedding[41:64]::DOUBLE[] AS vec FROM starts3 s
+          JOIN embeddings e ON e.vec_id = (s.sent_id * 7 + s.start) % (SELECT count(*) FROM embeddings)),
+        proj AS (SELECT s.sent_id, s.word_pos, {linear('s1.vec', 40, 40, 0, 0)} AS p1, {linear('s2.vec', 40, 24, 5, 1)} AS p2 FROM starts s
+          JOIN s1 ON s1.sent_id = s.sent_id AND s1.subword_pos = s.start JOIN s2 ON s2.sent_id = s.sent_id AND s2.word_pos = s.word_pos),
+        {dme('proj', width=40, keep='sent_id, word_pos')}
+        SELECT sent_id, word_pos, {r6('dme_1')} AS dme_1, {r6('dme_2')} AS dme_2, {fixed('vec')} FROM meta""",
     "rpt_attention": f"""WITH {PROJ_AB}, {dme('proj')} SELECT label, {r6('avg(dme_1)')} AS dme_1, {r6('avg(dme_2)')} AS dme_2, count(*) AS n FROM meta GROUP BY label""",
     # heads
     "head_logits": f"WITH {LOGITS} {items('logits', 'z', 'sent_id')}",

@@ -72,9 +72,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a table that comes in fewer pieces than a few per core.
 
-    A file with a single row group is read by one task; row-local work on texts
-    would then use one core. A large table has many more pieces than cores and
-    is left as it is.
+    A file with a single row group is read by one task, whatever the settings of the
+    reader; row-local work on texts would then use one core. A large table has
+    many more pieces than cores and is left as it is. Rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < 4 * cores else df
