@@ -50,11 +50,15 @@ def check_pooling(pooling: str) -> str:
     return pooling
 
 
-def pool_cls(subwords: DataFrame, cls_first: bool = True, key: str = "sent_id") -> DataFrame:
-    """Vector of the first subword, or of the last one that is not padding."""
+def pool_cls(subwords: DataFrame, cls_first: bool = True, key: str = "sent_id", vec: str = "vec") -> DataFrame:
+    """Vector of the first subword, or of the last one that is not padding.
+
+    `vec` may name a number that stands for the vector instead (see
+    `inputs.subword_refs`): numbers are hashed, while arrays make Spark sort all rows.
+    """
     rows = subwords.where(~F.col("is_pad"))
     pick = F.min_by if cls_first else F.max_by
-    return rows.groupBy(key).agg(pick("vec", "subword_pos").alias("vec"))
+    return rows.groupBy(key).agg(pick(vec, "subword_pos").alias(vec))
 
 
 def pool_mean(subwords: DataFrame, width: int, include_pad: bool = False, key: str = "sent_id") -> DataFrame:

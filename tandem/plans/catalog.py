@@ -542,9 +542,10 @@ def _demo_model():
 
 @query
 def pool_cls(spark, sf):
-    s = inp.subwords(spark, sf)
-    parts = [embed.pool_cls(s, first).withColumn("cls_first", F.lit(first)) for first in (True, False)]
-    return components(parts[0].unionByName(parts[1]), "vec", "cls_first", "sent_id")
+    v = inp.stored_vectors(spark, sf)
+    s = inp.subword_refs(spark, sf, v)
+    parts = [embed.pool_cls(s, first, vec="ref").withColumn("cls_first", F.lit(first)) for first in (True, False)]
+    return components(inp.with_vectors(parts[0].unionByName(parts[1]), v), "vec", "cls_first", "sent_id")
 
 
 @query

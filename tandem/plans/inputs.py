@@ -8,7 +8,7 @@ from ..functions.arrays import explode_once, label_literal, lookup
 from ..operators import embed, tokens
 from ..operators.combine import CombineParams, align
 from ..operators.labels import encode
-from ..session import spread
+from ..session import materialize, spread
 from ..sources.registry import bio, numbered
 
 LANGS = numbered("de,en,es,fr")
@@ -205,20 +205,49 @@ def subword_rows(spark: SparkSession, sf: str, chars_per_subword: int = 4) -> Da
     return tokens.subword_table(t, "counts", ["word"], ["sent_id", "n_words"], 8)
 
 
+def subword_ids(spark: SparkSession, sf: str, chars_per_subword: int = 4) -> DataFrame:
+    """Subword rows with the `vec_id` of their vector."""
+    n_vecs = table(spark, sf, "embeddings").agg(F.count(F.lit(1))).scalar()
+    return subword_rows(spark, sf, chars_per_subword).withColumn("vec_id", (F.col("sent_id") * 7 + F.col("subword_pos")) % n_vecs)
+
+
 def subwords(spark: SparkSession, sf: str, *encoders: tuple[int, int], chars_per_subword: int = 4) -> DataFrame:
     """Subword rows with `vec`, or with vec_1 … of several encoders that share their subwords.
 
     A vector is one of the stored vectors, picked by sentence and position.
     """
     e = table(spark, sf, "embeddings")
-    n_vecs = e.agg(F.count(F.lit(1))).scalar()
-    rows = subword_rows(spark, sf, chars_per_subword).withColumn("vec_id", (F.col("sent_id") * 7 + F.col("subword_pos")) % n_vecs)
+    rows = subword_ids(spark, sf, chars_per_subword)
     dims = encoders or (ENC_ALL,)
     names = ["vec"] if len(dims) == 1 else [f"vec_{i + 1}" for i in range(len(dims))]
     cut = [F.slice("embedding", at + 1, width).alias(n) for n, (at, width) in zip(names, dims, strict=True)]
     return rows.join(e.select("vec_id", *cut), "vec_id").drop("vec_id")
 
 
+def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, ref, vec): the stored vectors with a number for each row, written once.
+
+    `ref` tells rows of one `vec_id` apart and follows the order of their vectors.
+    """
+    e = table(spark, sf, "embeddings").where(F.col("vec_id").isNotNull())
+    cut = e.select("vec_id", F.slice("embedding", ENC_ALL[0] + 1, ENC_ALL[1]).alias("vec"))
+    in_order = cut.repartition("vec_id").sortWithinPartitions("vec_id", "vec")
+    return materialize(in_order.select("vec_id", F.monotonically_increasing_id().alias("ref"), "vec"), "vectors")
+
+
+def subword_refs(spark: SparkSession, sf: str, vectors: DataFrame) -> DataFrame:
+    """The rows of `subwords` with the `ref` of their vector in its place.
+
+    What groups, joins or pads subwords moves a number of 8 bytes; the vectors come behind it, by `with_vectors`.
+    """
+    return subword_ids(spark, sf).join(vectors.select("vec_id", "ref"), "vec_id").drop("vec_id")
+
+
+def with_vectors(df: DataFrame, vectors: DataFrame) -> DataFrame:
+    """`vec` in place of `ref`."""
+    return df.join(vectors.select("ref", "vec"), "ref").drop("ref")
+
+
 def word_vectors(spark: SparkSession, sf: str, *encoders: tuple[int, int], chars_per_subword: int = 4) -> DataFrame:
     """(sent_id, word_pos, word, n_words, vec or vec_1 …): words with the vector of their first subword, from one parse."""
     s = subwords(spark, sf, *encoders, chars_per_subword=chars_per_subword)
