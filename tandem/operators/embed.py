@@ -72,14 +72,14 @@ def pool_mean(subwords: DataFrame, width: int, include_pad: bool = False, key: s
     return rows.groupBy(key).agg(*means).select(key, F.array(*[f"_m{j}" for j in range(width)]).alias("vec"))
 
 
-def pool_word_first(starts: DataFrame, subwords: DataFrame, key: str = "sent_id") -> DataFrame:
-    """Vector of the first subword of each word.
+def pool_word_first(starts: DataFrame, subwords: DataFrame, key: str = "sent_id", vec: str = "vec") -> DataFrame:
+    """Vector of the first subword of each word, or with `vec` the number that stands for it.
 
     `starts` has (key, word_pos, start); the pair (key, position) is unique, so
     the join spreads evenly however long a sentence is.
     """
     s = starts.withColumnRenamed("start", "subword_pos")
-    return s.join(subwords.select(key, "subword_pos", "vec"), [key, "subword_pos"]).select(key, "word_pos", "vec")
+    return s.join(subwords.select(key, "subword_pos", vec), [key, "subword_pos"]).select(key, "word_pos", vec)
 
 
 def first_subwords(subwords: DataFrame, *keep: str, key: str = "sent_id") -> DataFrame:
@@ -91,11 +91,11 @@ def first_subwords(subwords: DataFrame, *keep: str, key: str = "sent_id") -> Dat
 
 
 def pool_word_with_cls(
-    starts: DataFrame, subwords: DataFrame, cls_first: bool = True, key: str = "sent_id"
+    starts: DataFrame, subwords: DataFrame, cls_first: bool = True, key: str = "sent_id", vec: str = "vec"
 ) -> DataFrame:
     """Word vectors with the sentence vector in front, at word position 0."""
-    cls = pool_cls(subwords, cls_first, key).select(key, F.lit(0).alias("word_pos"), "vec")
-    word_rows = pool_word_first(starts, subwords, key).withColumn("word_pos", F.col("word_pos") + 1)
+    cls = pool_cls(subwords, cls_first, key, vec).select(key, F.lit(0).alias("word_pos"), vec)
+    word_rows = pool_word_first(starts, subwords, key, vec).withColumn("word_pos", F.col("word_pos") + 1)
     return cls.unionByName(word_rows)
 
 
@@ -108,18 +108,21 @@ def pool(
     cls_first: bool = True,
     include_pad: bool = False,
     keep_special_tokens: bool = False,
+    vec: str = "vec",
 ) -> DataFrame:
-    """Pool one subword table in the chosen way."""
+    """Pool one subword table in the chosen way; `vec` names its vectors, or but for the mean the numbers that stand for them."""
     check_pooling(pooling)
     if pooling == "cls":
-        return pool_cls(subwords, cls_first)
+        return pool_cls(subwords, cls_first, vec=vec)
     if pooling == "mean":
         if width is None:
             raise ValueError("mean pooling needs the vector width")
         return pool_mean(subwords, width, include_pad)
     if starts is None:
         raise ValueError("word-level pooling needs the word starts")
-    return pool_word_with_cls(starts, subwords, cls_first) if keep_special_tokens else pool_word_first(starts, subwords)
+    if keep_special_tokens:
+        return pool_word_with_cls(starts, subwords, cls_first, vec=vec)
+    return pool_word_first(starts, subwords, vec=vec)
 
 
 def width_check(tables: dict[str, DataFrame], vec: str = "vec") -> DataFrame:

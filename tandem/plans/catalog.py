@@ -573,10 +573,11 @@ def pool_word_first(spark, sf):
 
 @query
 def pool_word_with_cls(spark, sf):
+    v = inp.stored_vectors(spark, sf)
     pooled = embed.pool(
-        inp.subwords(spark, sf), "word-level", starts=inp.word_starts(spark, sf), keep_special_tokens=True
+        inp.subword_refs(spark, sf, v), "word-level", starts=inp.word_starts(spark, sf), keep_special_tokens=True, vec="ref"
     )
-    return _word_items(pooled, "vec", "sent_id")
+    return _word_items(inp.with_vectors(pooled, v), "vec", "sent_id")
 
 
 @query

@@ -62,3 +62,25 @@ def test_cls_with_gaps_doubles_and_nulls(spark, odd):
     assert set(got) == {k for k, v in want.items() if v.count(None) < len(v)}
     assert all(got[k] in want[k] for k in got)
     assert QUERIES["pool_cls"](spark, odd).count() == 64 * len(got)
+
+
+def words_by_hand(spark, odd):
+    starts = {}
+    for r in inp.word_starts(spark, odd).collect():
+        starts.setdefault((r.sent_id, r.start), []).append(r.word_pos)
+    text = lambda v: None if v is None else ",".join([str(round(v[0] * 10000))] * 64)
+    rows = inp.subwords(spark, odd).collect()
+    return rows, sorted([(r.sent_id, p, str(text(r.vec))) for r in rows for p in starts.get((r.sent_id, r.subword_pos), [])]), text
+
+
+def test_word_vectors_behind_the_sentence_vector(spark, odd):
+    df = QUERIES["pool_word_with_cls"](spark, odd)
+    assert "SortAggregate" not in plan(df) and not moved_vectors(df)
+    rows, words, text = words_by_hand(spark, odd)
+    got = [(r.sent_id, r.word_pos, str(r["items"])) for r in df.collect()]
+    assert sorted((s, p - 1, i) for s, p, i in got if p) == words
+    cls = {}
+    for r in sorted((r for r in rows if not r.is_pad), key=lambda r: -r.subword_pos):
+        cls[r.sent_id] = {str(text(x.vec)) for x in rows if (x.sent_id, x.subword_pos) == (r.sent_id, r.subword_pos)}
+    front = [(s, i) for s, p, i in got if p == 0]
+    assert sorted(s for s, _ in front) == sorted(cls) and all(i in cls[s] for s, i in front)
