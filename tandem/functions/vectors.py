@@ -39,6 +39,39 @@ def row_lengths(column: pa.Array) -> np.ndarray:
     return _one_array(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def item_sums(column: pa.Array, width: int) -> np.ndarray:
+    """[rows, 2 * width]: the first `width` items of each vector, 0 where there is none, and behind them 1 where there is one."""
+    column = _one_array(column)
+    lengths, flat = row_lengths(column), column.flatten()
+    if not len(flat):
+        return np.zeros((len(column), 2 * width))
+    place = np.arange(width)
+    there = place < lengths[:, None]
+    place = np.where(there, (np.cumsum(lengths) - lengths)[:, None] + place, 0)
+    if flat.null_count:
+        there &= flat.is_valid().to_numpy(zero_copy_only=False)[place]
+    items = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return np.hstack([np.where(there, items[place], 0.0), there])
+
+
+def fold_rows(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ids, and the sums of the rows of each of them."""
+    ids = np.concatenate([i for i, _ in parts])
+    rows = np.concatenate([r for _, r in parts]) if len(parts) > 1 else parts[0][1]
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))[: len(ids)])
+    return ids[starts], np.add.reduceat(rows[order], starts, axis=0) if len(starts) else rows[:0]
+
+
+def find_rows(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted id among ascending ids, and whether it is there."""
+    if not len(ids):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+    return at, ids[at] == wanted
+
+
 def _one_array(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
-from ..functions.vectors import hashed_bag
+from ..functions.vectors import find_rows, fold_rows, from_matrix, hashed_bag, item_sums
 
 POOLINGS = ("cls", "mean", "word-level")
 
@@ -61,17 +63,94 @@ def pool_cls(subwords: DataFrame, cls_first: bool = True, key: str = "sent_id",
     return rows.groupBy(key).agg(pick(vec, "subword_pos").alias(vec))
 
 
-def pool_mean(subwords: DataFrame, width: int, include_pad: bool = False, key: str = "sent_id") -> DataFrame:
+def pool_mean(
+    subwords: DataFrame, width: int, include_pad: bool = False, key: str = "sent_id", vectors: DataFrame | None = None
+) -> DataFrame:
     """Mean over the subwords, padding counted only on request.
 
     One average per dimension in a single hash aggregate: partial sums leave the
-    map side, vectors are neither exploded nor collected.
+    map side, vectors are neither exploded nor collected. That sums up where the
+    subwords of a sentence lie together. Vectors that are still to be found by
+    their number come as `vectors` (vec_id, vec), and `subwords` then holds the
+    `vec_id` of each row; see `sums_by_id`.
     """
     rows = subwords if include_pad else subwords.where(~F.col("is_pad"))
-    means = [F.avg(F.get("vec", F.lit(j)).cast("double")).alias(f"_m{j}") for j in range(width)]
+    if vectors is None:
+        means = [F.avg(F.get("vec", F.lit(j)).cast("double")).alias(f"_m{j}") for j in range(width)]
+    else:
+        rows = sums_by_id(rows, vectors, width, key)
+        part = lambda c, j: F.sum(F.get(c, F.lit(j)))
+        means = [F.try_divide(part("_sums", j), part("_counts", j)).alias(f"_m{j}") for j in range(width)]
     return rows.groupBy(key).agg(*means).select(key, F.array(*[f"_m{j}" for j in range(width)]).alias("vec"))
 
 
+#: Vectors that a task holds at a time, and the slices of the subwords, to each of which all vectors are sent.
+BLOCK_VECTORS, SLICES = 1 << 17, 16
+#: Neighbouring subwords of a sentence that are not dealt to different slices.
+STRETCH = 4096
+
+
+def sums_by_id(subwords: DataFrame, vectors: DataFrame, width: int, key: str = "sent_id") -> DataFrame:
+    """(key, _sums, _counts): item sums of the vectors that subwords name by `vec_id`, and the items that were not null.
+
+    A join by `vec_id` would scatter a sentence, and then each subword moves as a
+    vector. Here vectors are cut into blocks by a hash, subwords into slices by
+    sentence, and a task sums what one slice takes from one block: a sentence
+    moves about as one vector per block, a subword as a number. A task holds one
+    block, whatever the size of its slice; the subwords stream past it. A key may
+    come several times. Ids that `vectors` lacks add nothing; ids that it holds
+    several times add each of them.
+    """
+    number = F.col("vec_id").cast("bigint")
+    blocks = max(1, -(-vectors.count() // BLOCK_VECTORS))
+    block = F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int") * SLICES
+    cut = F.pmod(F.xxhash64(key, F.floor(F.col("subword_pos") / STRETCH)), F.lit(SLICES)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    kind = subwords.schema[key].dataType
+    held = vectors.where(number.isNotNull()).select("*", every.alias("_slice")).select(
+        (block + F.col("_slice")).alias("_cell"), F.lit(False).alias("_named"), number.alias("vec_id"),
+        "vec", F.lit(None).cast(kind).alias(key),
+    )
+    named = subwords.where(number.isNotNull()).select(
+        (block + cut).alias("_cell"), F.lit(True).alias("_named"), number.alias("vec_id"),
+        F.lit(None).cast(vectors.schema["vec"].dataType).alias("vec"), key,
+    )
+    cells = held.unionByName(named).repartitionById(blocks * SLICES, "_cell").sortWithinPartitions("_cell", "_named", key)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, table = None, np.zeros(0, np.int64), np.zeros((0, 2 * width))
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            of, is_named = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_cell", "_named"))
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (is_named[1:] != is_named[:-1])) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                if start == end:
+                    continue
+                if of[start] != cell:
+                    cell, ids, table, fresh = of[start], ids[:0], table[:0], []
+                run = batch.slice(start, end - start)
+                numbers = run.column("vec_id").to_numpy(zero_copy_only=False)
+                if not is_named[start]:
+                    fresh.append((numbers, item_sums(run.column("vec"), width)))
+                    if sum(len(n) for n, _ in fresh) > BLOCK_VECTORS:
+                        ids, table = fold_rows([(ids, table), *fresh])
+                        fresh = []
+                    continue
+                if fresh:
+                    ids, table = fold_rows([(ids, table), *fresh])
+                    fresh = []
+                at, found = find_rows(ids, numbers)
+                if not found.any():
+                    continue
+                coded = run.column(key).filter(pa.array(found)).dictionary_encode(null_encoding="encode")
+                codes, sums = fold_rows([(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), table[at[found]])])
+                parts = [coded.dictionary.take(pa.array(codes)), from_matrix(sums[:, :width]), from_matrix(sums[:, width:].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(parts, [key, "_sums", "_counts"])
+
+    out = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.ArrayType(t)) for n, t in (("_sums", T.DoubleType()), ("_counts", T.LongType())))])
+    return cells.mapInArrow(apply, out)
+
+
 def pool_word_first(starts: DataFrame, subwords: DataFrame, key: str = "sent_id", vec: str = "vec") -> DataFrame:
     """Vector of the first subword of each word, or with `vec` the number that stands for it.
 
@@ -109,15 +188,20 @@ def pool(
     include_pad: bool = False,
     keep_special_tokens: bool = False,
     vec: str = "vec",
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Pool one subword table in the chosen way; `vec` names its vectors, or but for the mean the numbers that stand for them."""
+    """Pool one subword table in the chosen way.
+
+    `vec` names its vectors, or for `cls` and `word-level` the numbers that stand
+    for them; for `mean`, `vectors` holds those that its `vec_id` name.
+    """
     check_pooling(pooling)
     if pooling == "cls":
         return pool_cls(subwords, cls_first, vec=vec)
     if pooling == "mean":
         if width is None:
             raise ValueError("mean pooling needs the vector width")
-        return pool_mean(subwords, width, include_pad)
+        return pool_mean(subwords, width, include_pad, vectors=vectors)
     if starts is None:
         raise ValueError("word-level pooling needs the word starts")
     if keep_special_tokens:

@@ -550,9 +550,10 @@ def pool_cls(spark, sf):
 
 @query
 def pool_mean(spark, sf):
-    s = inp.subwords(spark, sf)
+    s = inp.subword_ids(spark, sf)
+    v = inp.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", ENC_ALL[0] + 1, ENC_ALL[1]).alias("vec"))
     parts = [
-        embed.pool(s, "mean", width=ENC_ALL[1], include_pad=pad).withColumn("include_pad", F.lit(pad)) for pad in (True, False)
+        embed.pool(s, "mean", width=ENC_ALL[1], include_pad=pad, vectors=v).withColumn("include_pad", F.lit(pad)) for pad in (True, False)
     ]
     return components(parts[0].unionByName(parts[1]), "vec", "include_pad", "sent_id")
 

@@ -84,3 +84,32 @@ def test_word_vectors_behind_the_sentence_vector(spark, odd):
         cls[r.sent_id] = {str(text(x.vec)) for x in rows if (x.sent_id, x.subword_pos) == (r.sent_id, r.subword_pos)}
     front = [(s, i) for s, p, i in got if p == 0]
     assert sorted(s for s, _ in front) == sorted(cls) and all(i in cls[s] for s, i in front)
+
+
+def test_mean_sums_blocks_of_vectors(spark, odd, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK_VECTORS", 2)
+    monkeypatch.setattr(embed, "STRETCH", 3)
+    rows = inp.subwords(spark, odd).collect()
+    got = {(r.include_pad, r.sent_id): r.value for r in QUERIES["pool_mean"](spark, odd).where("j = 63").collect()}
+    for pad in (True, False):
+        of = {}
+        for r in rows:
+            if pad or not r.is_pad:
+                of.setdefault(r.sent_id, []).extend([] if r.vec is None else [r.vec[63]])
+        assert {s for p, s in got if p is pad} == set(of)
+        assert all(got[pad, s] == (pytest.approx(np.mean(v), abs=1e-6) if v else None) for s, v in of.items())
+    assert not moved_vectors(QUERIES["pool_mean"](spark, odd))
+
+
+def test_item_sums_and_ids_by_hand():
+    from tandem.functions import vectors as vx
+
+    import pyarrow as pa
+
+    v = pa.array([[1.0, 2.0, 9.0], None, [3.0], [], [None, 4.0]], pa.list_(pa.float32()))
+    assert vx.item_sums(v.slice(0), 2).tolist() == [[1, 2, 1, 1], [0, 0, 0, 0], [3, 0, 1, 0], [0, 0, 0, 0], [0, 4, 0, 1]]
+    assert vx.item_sums(v.slice(1, 1), 2).tolist() == [[0, 0, 0, 0]] and vx.item_sums(v[:0], 2).shape == (0, 4)
+    ids, rows = vx.fold_rows([(np.array([5, 1]), np.array([[1.0], [2.0]])), (np.array([5]), np.array([[4.0]]))])
+    assert ids.tolist() == [1, 5] and rows.tolist() == [[2.0], [5.0]]
+    assert vx.find_rows(ids, np.array([5, 2, 9]))[1].tolist() == [True, False, False]
+    assert not vx.find_rows(ids[:0], np.array([5])) [1].any()
