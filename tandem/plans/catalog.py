@@ -429,15 +429,16 @@ def batch_plan(spark, sf):
 
 @query
 def batch_pad_words(spark, sf):
-    w = inp.word_vectors(spark, sf)
-    # One group is one sentence.
-    per = w.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "vec"))).alias("v"))
-    vectors = per.select("sent_id", F.transform("v", lambda x: x["vec"].cast("array<double>")).alias("vectors"))
+    v = inp.stored_vectors(spark, sf)
+    w = embed.first_subwords(inp.subword_refs(spark, sf, v), "ref")
+    # One group is one sentence. Numbers follow the order of the vectors.
+    per = w.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "ref"))).alias("r"))
+    refs = per.select("sent_id", F.transform("r", lambda x: x["ref"]).alias("refs"))
     lengths = inp.turns(spark, sf).select("sent_id", F.size(tokens.words(F.col("text"))).alias("n")).where("n > 0")
-    padded = batching.pad_by_key(vectors, lengths, 4, {"vectors": batching.word_fill(ENC_ALL[1])})
-    return ax.explode_once(padded, ["sent_id", "batch_id"], "vectors", "word_pos", "v").select(
-        "sent_id", "batch_id", F.col("word_pos").cast("bigint").alias("word_pos"),
-        _fixed(F.col("v")).alias("items"),
+    padded = batching.pad_by_key(refs, lengths, 4, {"refs": F.lit(inp.PAD_REF)})
+    rows = ax.explode_once(padded, ["sent_id", "batch_id"], "refs", "word_pos", "ref")
+    return inp.with_vectors(rows, v, batching.word_fill(ENC_ALL[1])).select(
+        "sent_id", "batch_id", F.col("word_pos").cast("bigint").alias("word_pos"), _fixed(F.col("vec")).alias("items")
     )
 
 

@@ -243,9 +243,23 @@ def subword_refs(spark: SparkSession, sf: str, vectors: DataFrame) -> DataFrame:
     return subword_ids(spark, sf).join(vectors.select("vec_id", "ref"), "vec_id").drop("vec_id")
 
 
-def with_vectors(df: DataFrame, vectors: DataFrame) -> DataFrame:
-    """`vec` in place of `ref`."""
-    return df.join(vectors.select("ref", "vec"), "ref").drop("ref")
+#: The `ref` of a padded position; those of vectors are not negative.
+PAD_REF = -1
+
+
+def with_vectors(df: DataFrame, vectors: DataFrame, fill: Column | None = None) -> DataFrame:
+    """`vec` in place of `ref`; with `fill`, rows of PAD_REF get that vector.
+
+    Such rows take part in the join under negative numbers of their own, so that padding is no hot key.
+    """
+    vectors = vectors.select("ref", "vec")
+    if fill is None:
+        return df.join(vectors, "ref").drop("ref")
+    padded = F.col("ref") == PAD_REF
+    own = -1 - F.pmod(F.xxhash64(*[c for c in df.columns if c != "ref"]), F.lit(1 << 40))
+    joined = df.withColumn("ref", F.when(padded, own).otherwise(F.col("ref"))).join(vectors, "ref", "left")
+    vec = F.when(F.col("ref") < 0, fill).otherwise(F.col("vec").cast("array<double>"))
+    return joined.withColumn("vec", vec).drop("ref")
 
 
 def word_vectors(spark: SparkSession, sf: str, *encoders: tuple[int, int], chars_per_subword: int = 4) -> DataFrame:

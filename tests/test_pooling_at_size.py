@@ -113,3 +113,24 @@ def test_item_sums_and_ids_by_hand():
     assert ids.tolist() == [1, 5] and rows.tolist() == [[2.0], [5.0]]
     assert vx.find_rows(ids, np.array([5, 2, 9]))[1].tolist() == [True, False, False]
     assert not vx.find_rows(ids[:0], np.array([5])) [1].any()
+
+
+def test_padding_moves_numbers(spark, odd):
+    df = QUERIES["batch_pad_words"](spark, odd)
+    assert not moved_vectors(df) and "collect_list(struct(word_pos" in re.sub(r"#\d+", "", plan(df)).replace("named_struct", "struct")
+    p = re.sub(r"#\d+L?", "", plan(df))
+    assert not re.search(r"collect_list\([^\n]*\bvec\b", p)
+    rows, words, _ = words_by_hand(spark, odd)
+    of = {}
+    for s, p, i in words:
+        of.setdefault(s, []).append(i)
+    got = {}
+    for r in df.collect():
+        got.setdefault((r.sent_id, r.batch_id), {}).setdefault(r.word_pos, []).append(str(r["items"]))
+    zero = ",".join(["0"] * 64)
+    assert {s for s, _ in got} == set(of)
+    for (s, _), at in got.items():
+        items = [i for p in sorted(at) for i in at[p]]
+        assert sorted(at) == list(range(len(at)))
+        if all(len(x) == 1 for x in at.values()):
+            assert sorted(items[: len(of[s])]) == sorted(of[s]) and set(items[len(of[s]) :]) <= {zero}
