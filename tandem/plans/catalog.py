@@ -570,7 +570,9 @@ def _word_items(df: DataFrame, vec: str, *keep: str) -> DataFrame:
 
 @query
 def pool_word_first(spark, sf):
-    return _word_items(embed.pool(inp.subwords(spark, sf), "word-level", starts=inp.word_starts(spark, sf)), "vec", "sent_id")
+    v = inp.stored_vectors(spark, sf)
+    pooled = embed.pool(inp.subword_refs(spark, sf, v), "word-level", starts=inp.word_starts(spark, sf), vec="ref")
+    return _word_items(inp.with_vectors(pooled, v), "vec", "sent_id")
 
 
 @query

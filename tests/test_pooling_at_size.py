@@ -134,3 +134,10 @@ def test_padding_moves_numbers(spark, odd):
         assert sorted(at) == list(range(len(at)))
         if all(len(x) == 1 for x in at.values()):
             assert sorted(items[: len(of[s])]) == sorted(of[s]) and set(items[len(of[s]) :]) <= {zero}
+
+
+def test_first_subwords_are_joined_by_number(spark, odd):
+    df = QUERIES["pool_word_first"](spark, odd)
+    assert not moved_vectors(df)
+    got = sorted((r.sent_id, r.word_pos, str(r["items"])) for r in df.collect())
+    assert got == words_by_hand(spark, odd)[1]
