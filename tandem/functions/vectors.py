@@ -9,7 +9,7 @@ Parameters are small dense arrays and travel with the plan.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -150,22 +150,50 @@ def weighted_sum(weights: Column, vectors: Sequence[Column]) -> Column:
     return apply(weights, *vectors)
 
 
+#: Items of the arrays that `running_start` takes up at a time.
+RUN_ITEMS = 1 << 19
+
+
 def running_start(counts: Column, base: int) -> Column:
-    """Sum of the items before each item, plus `base` (ARRAY<INT> in, ARRAY<BIGINT> out)."""
+    """Sum of the items before each item, plus `base` (ARRAY<INT> in, ARRAY<BIGINT> out).
+
+    A batch of Arrow has a number of rows, however long they are. It is taken up
+    and handed on in runs of rows of at most RUN_ITEMS items, or of one longer row.
+    """
 
     @F.arrow_udf("array<bigint>")
-    def apply(c: pa.Array) -> pa.Array:
-        c = _one_array(c)
-        n = row_lengths(c)
-        flat = c.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        before = np.concatenate(([0], np.cumsum(flat)))
-        offsets = np.concatenate(([0], np.cumsum(n)))
-        starts = before[:-1] - np.repeat(before[offsets[:-1]], n) + base
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(starts))
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in batches:
+            c = _one_array(c)
+            for run in _runs(c, RUN_ITEMS):
+                yield _starts(run, base)
 
     return apply(counts)
 
 
+def _runs(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The rows of a list column in slices of at most `most` items, or of one longer row; an empty column once."""
+    ends = np.cumsum(row_lengths(column))
+    at = 0
+    while at < len(column):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield column.slice(at, to - at)
+        at = to
+    if not len(column):
+        yield column
+
+
+def _starts(column: pa.Array, base: int) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(row_lengths(column))))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    before = np.zeros(len(flat) + 1, np.int64)
+    np.cumsum(flat, out=before[1:])
+    starts = before[:-1]
+    starts -= np.repeat(before[offsets[:-1]] - base, np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(starts))
+
+
 def hashed_bag(words: Column, width: int) -> Column:
     """Signed hashed bag of words (ARRAY<STRING> in): item j counts the words hashed to j, up or down.
 

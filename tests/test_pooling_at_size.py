@@ -141,3 +141,22 @@ def test_first_subwords_are_joined_by_number(spark, odd):
     assert not moved_vectors(df)
     got = sorted((r.sent_id, r.word_pos, str(r["items"])) for r in df.collect())
     assert got == words_by_hand(spark, odd)[1]
+
+
+def test_starts_are_handed_on_in_runs_of_items(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tandem.functions import vectors as vx
+
+    column = pa.array([[1, 2], None, [], [3] * 9, [4], [5, 6], [7]], pa.list_(pa.int32())).slice(0)
+    for most in (1, 2, 4, 100):
+        runs = list(vx._runs(column, most))
+        assert all(len(r) == 1 or vx.row_lengths(r).sum() <= most for r in runs) and sum(map(len, runs)) == 7
+        got = [s for r in runs for s in vx._starts(r, 1).to_pylist()]
+        assert got == [[1, 2], [], [], list(range(1, 28, 3)), [1], [1, 6], [1]]
+    assert [len(r) for r in vx._runs(column[:0], 4)] == [0]
+    rows = [(i, [(i + j) % 7 for j in range(i % 40)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, c array<int>").coalesce(1)
+    assert vx.RUN_ITEMS < 1 << 20
+    got = df.select("i", vx.running_start("c", 0).alias("s")).collect()
+    assert all(r.s == [sum(rows[r.i][1][:k]) for k in range(len(rows[r.i][1]))] for r in got)
