@@ -113,7 +113,8 @@ def sums_by_id(subwords: DataFrame, vectors: DataFrame, width: int, key: str = "
     )
     named = subwords.where(number.isNotNull()).select(
         (block + cut).alias("_cell"), F.lit(True).alias("_named"), number.alias("vec_id"),
-        F.lit(None).cast(vectors.schema["vec"].dataType).alias("vec"), key,
+        # Empty, as a long run of NULL lists is slow to hand to Arrow.
+        F.array().cast(vectors.schema["vec"].dataType).alias("vec"), key,
     )
     cells = held.unionByName(named).repartitionById(blocks * SLICES, "_cell").sortWithinPartitions("_cell", "_named", key)
 
@@ -143,7 +144,9 @@ def sums_by_id(subwords: DataFrame, vectors: DataFrame, width: int, key: str = "
                 if not found.any():
                     continue
                 coded = run.column(key).filter(pa.array(found)).dictionary_encode(null_encoding="encode")
-                codes, sums = fold_rows([(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), table[at[found]])])
+                codes, at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at[found]
+                # In short stretches, which stay in the cache.
+                codes, sums = fold_rows([fold_rows([(codes[i : i + 1024], table[at[i : i + 1024]])]) for i in range(0, len(at), 1024)])
                 parts = [coded.dictionary.take(pa.array(codes)), from_matrix(sums[:, :width]), from_matrix(sums[:, width:].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(parts, [key, "_sums", "_counts"])
 
