@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tandem.llm.common import stored, texts, words_of
-from tandem.llm.elias_fano import EliasFano, encode
+from tandem.llm.elias_fano import EliasFano, decode_each, encode, encode_each
 
 BLOCK_TOKENS = 1_000_000
 #: Tokens for each counting shard.
@@ -56,12 +56,16 @@ class _Words(dict):
         return n
 
 
+#: Made once in a process: most pieces are small, and the pieces of a block grow in number with the shards.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    return _ZIP.compress(values.tobytes())
 
 
 def _loosen(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(_UNZIP.decompress(data), kind)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -136,7 +140,7 @@ class Grams:
             marks = self.first_context[-1]
             prior[first] = marks
             # A context of two marks has no token of its own, so it is numbered after all others.
-            keys, self_of = np.unique(prior * v + tokens, return_inverse=True)
+            keys, self_of = _distinct(prior * v + tokens)
             self.keys.append(keys)
             self.head.append(keys // v)
             self.last.append(keys % v)
@@ -151,6 +155,21 @@ class Grams:
         return np.where(number < len(known), known[np.minimum(number, len(known) - 1)], marks)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, place of each number among them) of numbers from 0 on."""
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()).bit_length() + bits > 63:
+        return np.unique(x, return_inverse=True)
+    # A number and its place in one integer sort faster than places by their numbers.
+    both = (x << bits) | np.arange(len(x))
+    both.sort()
+    at, both = both & ((1 << bits) - 1), both >> bits
+    new = np.r_[True, both[1:] != both[:-1]]
+    place = np.empty(len(x), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return both[new], place
+
+
 def _mixed(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(k)) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
@@ -162,8 +181,11 @@ def _asked(grams: Grams, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of the n-grams by shard and key, shard in that order) of a level's requests."""
     h = grams.hash[k]
     shard = (h >> np.uint64(_KEY_BITS)) % np.uint64(shards)
-    key = h if k == 0 else h & np.uint64((1 << _KEY_BITS) - 1)
-    order = np.lexsort((key, shard))
+    if k == 0:
+        order = np.lexsort((h, shard))
+    else:
+        # The shard is below 2^16 and so has room above the key. Equal keys get equal counts, in whichever order.
+        order = np.argsort((shard << np.uint64(_KEY_BITS)) | (h & np.uint64((1 << _KEY_BITS) - 1)))
     return order, shard[order].astype(np.int64)
 
 
@@ -180,15 +202,16 @@ def requests(work: DataFrame, order: int, shards: int) -> DataFrame:
                     keys = grams.hash[k][at] if k == 0 else grams.hash[k][at] & np.uint64((1 << _KEY_BITS) - 1)
                     cut = np.searchsorted(shard, np.arange(shards + 1))
                     some = np.flatnonzero(np.diff(cut))
-                    parts = [(keys[cut[s] : cut[s + 1]], counts[at[cut[s] : cut[s + 1]]]) for s in some]
+                    # Word hashes use all 64 bits; the code is for 63.
+                    code = [keys[cut[s] : cut[s + 1]].tobytes() for s in some] if k == 0 else encode_each(keys, cut[some + 1])
+                    counts = counts[at].astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(some.tolist(), pa.int32()),
                             pa.array([k] * len(some), pa.int32()),
                             pa.array([row["block"]] * len(some), pa.int64()),
-                            # Word hashes use all 64 bits; the code is for 63.
-                            pa.array([x.tobytes() if k == 0 else encode(x) for x, _ in parts], pa.binary()),
-                            pa.array([_squeeze(c.astype(np.uint32)) for _, c in parts], pa.binary()),
+                            pa.array(code, pa.binary()),
+                            pa.array([_squeeze(counts[cut[s] : cut[s + 1]]) for s in some], pa.binary()),
                         ],
                         names=["shard", "level", "block", "keys", "counts"],
                     )
@@ -222,15 +245,13 @@ def answers(asked: DataFrame) -> DataFrame:
             yield totals(*at, held)
 
     def totals(shard: int, level: int, rows: list[dict]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) if level == 0 else EliasFano(r["keys"]).all() for r in rows])
+        codes = [r["keys"] for r in rows]
+        keys, sizes = (np.frombuffer(b"".join(codes), np.uint64), np.array([len(x) >> 3 for x in codes])) if level == 0 else decode_each(codes)
         counts = np.concatenate([_loosen(r["counts"], np.uint32) for r in rows])
         unique, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)
-        back, end = [], 0
-        for r in rows:
-            n = len(r["keys"]) // 8 if level == 0 else EliasFano(r["keys"]).n
-            back.append(_squeeze(total[inverse[end : end + n]]))
-            end += n
+        ends = np.cumsum(sizes).tolist()
+        back = [_squeeze(total[inverse[end - n : end]]) for end, n in zip(ends, sizes.tolist(), strict=True)]
         words = level == 0
         return pa.RecordBatch.from_arrays(
             [
@@ -357,19 +378,27 @@ def score_block(grams: Grams, train: np.ndarray, sizes: np.ndarray, counts: list
     if context:
         context[0][grams.start] = n_texts
     own = np.bincount(grams.of[-1][train], minlength=len(counts[-1]))
+    mine = np.flatnonzero(own)
+    own = own[mine]
+    # What all strengths have in common. Of the longest n-grams, those with a count have a probability and those of training texts a likelihood.
+    top, levels = order - 1, []
+    for k in range(1, order):
+        some, likely = (np.flatnonzero(seen[k]), mine) if k == top else (slice(None), slice(None))
+        count, around = counts[k].astype(float), context[k - 1][grams.head[k]]
+        given, place = _distinct(context[k - 1].astype(np.int64))
+        left = np.maximum(count[likely] - 1, 0), shorter[k][likely], np.maximum(around[likely] - 1, 0)
+        levels.append(((count[some], shorter[k][some], around[some]), left, slice(None) if k == top else seen[k], given, place[grams.head[k]]))
     scores, left_out = [], []
     for m in STRENGTHS if order > 1 else (1.0,):
         p, out = 10.0**base, np.maximum(counts[0], 1.0) / max(total + known, 1)
         score = _log10(_quantised(base))
-        for k in range(1, order):
-            n = context[k - 1][grams.head[k]]
-            p = (counts[k] + m * p[shorter[k]]) / (n + m)
-            out = (np.maximum(counts[k] - 1.0, 0) + m * out[shorter[k]]) / (np.maximum(n - 1, 0) + m)
-            level = _quantised(np.log10(p[seen[k]]))
-            share = _quantised(np.log10(m / (context[k - 1] + m)))
-            less = _log10(share[grams.head[k]]) + score[shorter[k]]
-            score = np.where(node[k] >= 0, _log10(np.r_[level, 0][node[k]]), less)
-        left_out.append(float(own @ np.log10(out)))
+        for k, ((count, less, around), (count_left, less_left, around_left), inside, given, place) in enumerate(levels, 1):
+            p = (count + m * p[less]) / (around + m)
+            out = (count_left + m * out[less_left]) / (around_left + m)
+            level = _quantised(np.log10(p[inside]))
+            share = _quantised(np.log10(m / (given + m)))
+            score = np.where(node[k] >= 0, _log10(np.r_[level, 0])[node[k]], _log10(share)[place] + score[shorter[k]])
+        left_out.append(float((own * np.log10(out if top else out[mine])).sum()))
         scores.append(by_text(score[grams.of[-1]]))
     return {
         "n_tokens": sizes,
