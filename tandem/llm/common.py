@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Sort-merge join; adaptive execution may split a hot key's side, but no side is ever broadcast.
+
+    For sides that Spark sizes by the table below them: it takes an explode for as
+    small as its input and sends it whole through the driver.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of the id written as text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))

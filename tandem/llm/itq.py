@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import grouped, stored, uniform
+from tandem.llm.common import grouped, sorted_join, stored, uniform
 from tandem.llm.components import components
 
 SAMPLE_ROWS = 10_000
@@ -155,7 +155,7 @@ def _linked(one: DataFrame, coded: DataFrame, cosine: float) -> DataFrame:
     dealt = coded.select("ref", "code", "g", F.explode(own).alias("s")).select("ref", "code", "g", "s.*", F.explode(flips).alias("flip"))
     dealt = dealt.select("g", "t", F.col("k").bitwiseXOR(F.col("flip")).alias("k"), "ref", "code")
     sizes = dealt.groupBy(*KEY).agg(F.count("*").alias("size")).where("size > 1")
-    met = stored(dealt.join(sizes, list(KEY)), "met")
+    met = stored(sorted_join(dealt, sizes, list(KEY)), "met")
 
     small = met.where(F.col("size") <= TILE).select(*KEY, "ref", "code").repartition(*KEY).sortWithinPartitions(*KEY)
     near = small.mapInArrow(_near_codes, "g bigint, t int, k bigint, ref bigint").withColumn("slices", F.lit(1))
@@ -164,7 +164,7 @@ def _linked(one: DataFrame, coded: DataFrame, cosine: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     every = every.withColumn("_o", other).withColumns({"i": F.least("slice", "_o"), "j": F.greatest("slice", "_o")})
     vectors = one.select("ref", "v", "weight").join(coded.select("ref", "code"), "ref")
-    tiles = every.select(*KEY, "i", "j", "slice", "ref").join(vectors, "ref")
+    tiles = sorted_join(every.select(*KEY, "i", "j", "slice", "ref"), vectors, ["ref"])
     tile = [*KEY, "i", "j"]
     tiles = tiles.select(*tile, "slice", "ref", "code", "weight", "v").repartition(*tile).sortWithinPartitions(*tile)
 
