@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tandem.llm.common import stored, task, texts, words_of
+from tandem.llm.common import sorted_join, stored, task, texts, words_of
 from tandem.llm.components import components
 
 SHARD_ROWS = 8192
@@ -182,7 +182,7 @@ def _crowded(rows: DataFrame) -> DataFrame:
     """Rows of shards that hold two fingerprints or more, with the shard's size."""
     key = ["shard_of", "k1", "k2"]
     sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(sizes, key).select(*key, "fp", "fp2", "n")
+    return sorted_join(rows, sizes, key).select(*key, "fp", "fp2", "n")
 
 
 def _search(rows: DataFrame, radius: int, wide: bool = False) -> DataFrame:
