@@ -15,20 +15,22 @@ pass; every count that decides is an exact sum by text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tandem.llm.common import stored, task
+from tandem.llm.common import settle, stored, task
 
 LEAST, LONGEST, SHARE, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Parts of a language whose best phrases are found apart.
 HEATS = 64
 #: Tokens that a task holds before it hands out their counts.
 BUFFER_TOKENS = 4_000_000
+#: Places of a buffer that are looked at, or sorted, at once: bounds what a task holds besides its tokens.
+STEP = 1 << 19
 #: Rows of a batch that a task hands out.
 BATCH_ROWS = 1 << 16
 #: Bits of a filter: so many for each entry, and no more than 2 ** MOST_BITS (128 MB).
@@ -71,7 +73,10 @@ class Buffer:
         self.size += len(found)
 
     def array(self) -> np.ndarray:
-        return np.concatenate(self.tokens) if self.tokens else np.empty(0, np.int32)
+        """All tokens, end to end; no text is added any more."""
+        self.numbers = {}
+        self.tokens = [np.concatenate(self.tokens)] if self.tokens else [np.empty(0, np.int32)]
+        return self.tokens[0]
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each number's language and word."""
@@ -103,6 +108,15 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[Buffer]:
         yield buffer
 
 
+def _each(batches: Iterator[pa.RecordBatch], found: Callable[[Buffer], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What `found` gives for each buffer; a buffer and all that was made of it are gone before the next one fills."""
+    buffers = _buffers(batches)
+    while (buffer := next(buffers, None)) is not None:
+        yield from found(buffer)
+        del buffer
+        settle()
+
+
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     h = first * np.uint64(_MIX[0]) ^ second
     for shift, mix in zip((30, 27), _MIX[1:], strict=True):
@@ -114,16 +128,20 @@ def _counts(langs: list[str], phrases: list[bytes], n: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "phrase", "n"])
 
 
+def _words(buffer: Buffer) -> Iterator[pa.RecordBatch]:
+    tokens, n = buffer.array(), np.zeros(len(buffer.words), np.int64)
+    for lo in range(0, len(tokens), STEP):
+        n += np.bincount(tokens[lo : lo + STEP], minlength=len(n))
+    for lo in range(1, len(n), BATCH_ROWS):
+        yield _counts(buffer.langs[lo : lo + BATCH_ROWS], buffer.words[lo : lo + BATCH_ROWS], n[lo : lo + BATCH_ROWS])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, phrase, f): occurrences of every word."""
 
     @task("collocations")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buffer in _buffers(batches):
-            n = np.bincount(buffer.array(), minlength=len(buffer.words))[1:]
-            for lo in range(0, len(n), BATCH_ROWS):
-                langs, words = (x[1 + lo : 1 + lo + BATCH_ROWS] for x in (buffer.langs, buffer.words))
-                yield _counts(langs, words, n[lo : lo + BATCH_ROWS])
+        yield from _each(batches, _words)
 
     return texts.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
@@ -149,59 +167,92 @@ class Filter:
         return (self.map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
 
 
+def _pair_counts(buffer: Buffer, words: Filter) -> Iterator[pa.RecordBatch]:
+    tokens, hashes = buffer.array(), buffer.hashes()
+    good = words.may_hold(hashes)
+    good[0] = False
+    h, size = np.empty(len(tokens), np.uint64), 0
+    for lo in range(0, len(tokens) - 1, STEP):
+        some = tokens[lo : lo + STEP + 1]
+        known = good[some]
+        both = np.flatnonzero(known[:-1] & known[1:])
+        h[size : size + len(both)] = _pair_hash(hashes[some[both]], hashes[some[both + 1]])
+        size += len(both)
+    h = h[:size]
+    h.sort()
+    first = _firsts(h)
+    for lo in range(0, len(first), BATCH_ROWS):
+        some = first[lo : lo + BATCH_ROWS + 1]
+        n = np.diff(some if len(some) > BATCH_ROWS else np.r_[some, size]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h[some[: len(n)]].view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _firsts(ascending: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
+
+
 def frequent_pair_hashes(texts: DataFrame, words: Filter, least: int) -> DataFrame:
     """(h): hashes of adjacent words that occur `least` times or more, of words that `words` may hold."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     @task("collocations")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buffer in _buffers(batches):
-            tokens, hashes = buffer.array(), buffer.hashes()
-            good = shared.value.may_hold(hashes)
-            good[0] = False
-            both = np.flatnonzero(good[tokens[:-1]] & good[tokens[1:]])
-            h, n = np.unique(_pair_hash(hashes[tokens[both]], hashes[tokens[both + 1]]), return_counts=True)
-            found = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
-            for lo in range(0, len(h), BATCH_ROWS):
-                yield found.slice(lo, BATCH_ROWS)
+        yield from _each(batches, lambda buffer: _pair_counts(buffer, shared.value))
 
     # Rows of a task are distinct already: they are dealt out as they are and added up once.
     rows = texts.mapInArrow(run, "h bigint, n int").repartition("h")
     return rows.groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("h")
 
 
+def _phrases(buffer: Buffer, pairs: Filter, longest: int) -> Iterator[pa.RecordBatch]:
+    tokens, hashes = buffer.array(), buffer.hashes()
+    pair = np.zeros(len(tokens), bool)
+    for lo in range(0, len(tokens) - 1, STEP):
+        some = tokens[lo : lo + STEP + 1]
+        inside = np.flatnonzero((some[:-1] > 0) & (some[1:] > 0))
+        h = _pair_hash(hashes[some[inside]], hashes[some[inside + 1]])
+        pair[lo + inside[pairs.may_hold(h)]] = True
+    del hashes
+    at = np.flatnonzero(pair)
+    # A phrase of n words is its first n - 1, known by a number, and its last word.
+    code = tokens.copy()
+    for size in range(2, longest + 1):
+        if size > 2:
+            # The pair that ends the longer phrase must be there too.
+            at = at[at + size - 1 < len(tokens)]
+            at = at[pair[at + size - 2]]
+        if not len(at):
+            break
+        # Equal phrases end with one word, so phrases are sorted in parts by their last words.
+        parts, known = -(-len(at) // STEP), 0
+        part_of = (tokens[at + size - 1] % parts).astype(np.uint16)
+        for part in range(parts):
+            own = at[part_of == part]
+            key = code[own].astype(np.int64) << 32 | tokens[own + size - 1]
+            order = np.argsort(key)
+            first = _firsts(key[order])
+            n = np.diff(first, append=len(own))
+            code[own[order]] = np.repeat(np.arange(known, known + len(first), dtype=np.int32), n)
+            known += len(first)
+            start = own[order[first]]
+            del own, key, order, first
+            for lo in range(0, len(start), BATCH_ROWS):
+                some = start[lo : lo + BATCH_ROWS]
+                columns = [tokens[some + i].tolist() for i in range(size)]
+                phrases = [b" ".join([buffer.words[t] for t in row]) for row in zip(*columns, strict=True)]
+                yield _counts([buffer.langs[t] for t in columns[0]], phrases, n[lo : lo + BATCH_ROWS])
+
+
 def phrase_counts(texts: DataFrame, pairs: Filter, longest: int) -> DataFrame:
     """(lang, phrase, f): occurrences of the phrases of 2 to `longest` words all of whose pairs `pairs` may hold."""
     shared = texts.sparkSession.sparkContext.broadcast(pairs)
 
     @task("collocations")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buffer in _buffers(batches):
-            tokens, hashes = buffer.array(), buffer.hashes()
-            inside = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
-            h = _pair_hash(hashes[tokens[inside]], hashes[tokens[inside + 1]])
-            at = inside[shared.value.may_hold(h)]
-            # A phrase of n words is its first n - 1, known by a number, and its last word.
-            pair = np.zeros(len(tokens), bool)
-            pair[at] = True
-            code = np.zeros(len(tokens), np.int64)
-            code[at] = tokens[at]
-            for size in range(2, longest + 1):
-                if size > 2:
-                    # The pair that ends the longer phrase must be there too.
-                    at = at[at + size - 1 < len(tokens)]
-                    at = at[pair[at + size - 2]]
-                if not len(at):
-                    break
-                key = code[at] << 32 | tokens[at + size - 1]
-                _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                code[at] = number
-                start = at[first]
-                for lo in range(0, len(start), BATCH_ROWS):
-                    some = start[lo : lo + BATCH_ROWS]
-                    columns = [tokens[some + i].tolist() for i in range(size)]
-                    phrases = [b" ".join([buffer.words[t] for t in row]) for row in zip(*columns, strict=True)]
-                    yield _counts([buffer.langs[t] for t in columns[0]], phrases, n[lo : lo + BATCH_ROWS])
+        yield from _each(batches, lambda buffer: _phrases(buffer, shared.value, longest))
 
     return texts.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 

@@ -5,9 +5,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
+import unittest.mock
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +132,47 @@ def test_phrases_against_brute_force(spark, monkeypatch, seed, least, top, buffe
     assert sorted(map(tuple, got.collect())) == phrases(rows, least, 4, top)
 
 
+class Texts:
+    """Stands for a table of texts: takes the function that would run in a task."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def broadcast(self, value):
+        return types.SimpleNamespace(value=value)
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return unittest.mock.MagicMock()
+
+
+class Every(collocations.Filter):
+    """Holds every hash."""
+
+    def __init__(self):
+        self.bits, self.map = 22, np.full(1 << 19, 255, np.uint8)
+
+
+@pytest.mark.parametrize(("count", "most"), [((collocations.frequent_pair_hashes, 3), 32), ((collocations.phrase_counts, 4), 64)])
+def test_memory_of_a_task_is_bounded_by_its_buffer(spark, monkeypatch, count, most):
+    """Peak bytes for each token of a buffer; 57 and 130 while arrays of whole buffers were made and those of the last buffer stayed."""
+    monkeypatch.setattr(collocations, "BUFFER_TOKENS", 500_000)
+    monkeypatch.setattr(collocations, "STEP", 1 << 16, raising=False)
+    draw = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(300)])
+    docs = [" ".join(words[draw.integers(0, 300, 10_000)]).encode() for _ in range(20)]
+    batches = [pa.record_batch([pa.array(["en"] * 20), pa.array(docs)], names=["lang", "text"])] * 7
+    texts, (by, last) = Texts(), count
+    by(texts, Every(), last)
+    tracemalloc.start()
+    try:
+        n = sum(pa.compute.sum(b.column("n")).as_py() for b in texts.run(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 140 * (9_999 if last == 3 else 9_999 + 9_998 + 9_997)
+    assert peak < most * 500_000
+
+
 def test_phrases_of_nothing(spark):
     assert collocations.mine(table(spark, spoken(1)).limit(0)).count() == 0
 
